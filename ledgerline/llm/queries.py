@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, media, minhash, urlfilter
+from . import bpe, decontam, langid, linededup, media, minhash, urlfilter
 from .common import id_bucket, table
 
 URL_RULES = [
@@ -41,6 +41,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs, details=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket("doc_id", 5) == 0
@@ -102,8 +108,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM dw d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
 
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS line,
+         list_sort(list_distinct(list_filter(regexp_split_to_array(lower(parts[i]), '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS t(i)),
+classes AS (
+  SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS place FROM l WHERE len(w) >= 5 GROUP BY w),
+near AS (
+  SELECT DISTINCT a.place
+  FROM classes a JOIN classes b ON b.place < a.place AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  WHERE len(list_intersect(a.w, b.w)) * 180 >= (a.n + b.n) * 80),
+gone AS (
+  SELECT l.doc_id, l.line_no FROM l JOIN classes c ON l.w = c.w
+  WHERE c.place IN (SELECT place FROM near) OR c.place <> {'d': l.doc_id, 'l': l.line_no})
+SELECT d.doc_id, CAST(coalesce(max(k.n_lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(max(k.n_removed), 0) AS BIGINT) AS n_removed,
+       coalesce(max(k.removed_lines), '') AS removed_lines, sha256(coalesce(max(k.kept), '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+         string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY l.line_no) AS removed_lines,
+         string_agg(CASE WHEN g.line_no IS NULL THEN l.line END, chr(10) ORDER BY l.line_no) AS kept
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id) k ON d.doc_id = k.doc_id
+GROUP BY d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op7_language_id, op8_bpe, op9_minhash_near_dedup)
+    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op7_language_id, op8_bpe, op9_minhash_near_dedup)
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
