@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, media, minhash, urlfilter
+from . import bpe, decontam, langid, linededup, media, minhash, quality, toxicity, urlfilter
 from .common import id_bucket, table
 
 URL_RULES = [
@@ -47,6 +47,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with their whole texts, labels with a value); one label row an id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull())
+    return docs, labels.groupBy("doc_id").agg(F.min(label).alias(label))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _labelled(spark, sf_dir, "quality")
+    sampled = quality.bounded_sample(labels.filter(id_bucket("doc_id", 5) != 0), "doc_id", "quality", quality.SAMPLE)
+    model = quality.train(docs.join(F.broadcast(sampled), "doc_id"))
+    scored = quality.score(docs.select("doc_id", "text", (id_bucket("doc_id", 5) == 0).alias("held_out")), model, keep_text=False)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _labelled(spark, sf_dir, "toxic")
+    sampled = quality.bounded_sample(labels.filter(id_bucket("doc_id", 3) != 1), "doc_id", "toxicity", toxicity.SAMPLE)
+    model = toxicity.train(docs.join(F.broadcast(sampled), "doc_id"))
+    scored = toxicity.score(docs.select("doc_id", "text", (id_bucket("doc_id", 3) == 1).alias("held_out")), model, keep_text=False)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket("doc_id", 5) == 0
@@ -133,7 +156,7 @@ GROUP BY d.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op7_language_id, op8_bpe, op9_minhash_near_dedup)
+    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op7_language_id, op8_bpe, op9_minhash_near_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
