@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, media, minhash, quality, toxicity, urlfilter
+from . import bpe, chat, decontam, langid, linededup, media, minhash, quality, toxicity, urlfilter
 from .common import id_bucket, table
 
 URL_RULES = [
@@ -70,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.reformat_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket("doc_id", 5) == 0
@@ -156,7 +160,7 @@ GROUP BY d.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op7_language_id, op8_bpe, op9_minhash_near_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_language_id, op8_bpe, op9_minhash_near_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
