@@ -42,8 +42,9 @@ def quarter_grid(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 
 def expand_span(df: DataFrame, start: str | Column, end: str | Column, out: str = "q", lower: int | None = None, upper: int | None = None) -> DataFrame:
-    """One row for each whole number from ``start`` to ``end``, clipped; empty spans give no row."""
+    """One row for each whole number from ``start`` to ``end``, clipped; empty spans and unknown ends give no row."""
     first = F.greatest(_c(start), F.lit(lower)) if lower is not None else _c(start)
     last = F.least(_c(end), F.lit(upper)) if upper is not None else _c(end)
-    span = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    known = _c(start).isNotNull() & _c(end).isNotNull()
+    span = F.when(known & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn(out, F.explode(span))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import quarter_index
-from .temporal import next_after, range_anti, range_semi
+from .temporal import range_anti, range_semi
 
 HORIZONS = (1, 4, 8)
 
@@ -62,43 +62,58 @@ def with_observable(rows: DataFrame, key: str = "gvkey") -> DataFrame:
     return rows.withColumn("observable", F.coalesce(F.lag("q").over(w) == F.col("q") - 1, F.lit(False)))
 
 
-def forward_labels(rows: DataFrame, events: DataFrame, name: str, last_q: int, key: str = "gvkey", countdown: bool = False) -> DataFrame:
-    """``rows`` (with ``observable``) plus a flag and, for each horizon, whether an event follows.
+def wide_events(families: dict[str, DataFrame], key: str = "gvkey") -> DataFrame:
+    """One row for each key and quarter with an event, and a flag for each family."""
+    tagged = reduce(DataFrame.unionByName, [e.select(key, "q", F.lit(n).alias("family__")) for n, e in families.items()])
+    return tagged.groupBy(key, "q").agg(*[F.bool_or(F.col("family__") == n).alias(n) for n in families])
 
-    The flag is 1 at an event, 0 if the quarter before was observed, else null. A horizon
-    that runs past ``last_q`` is null even where an event has come already.
+
+def forward_labels(rows: DataFrame, events: DataFrame, names: list[str], last_q: int, key: str = "gvkey", countdown: bool = False) -> DataFrame:
+    """``rows`` (with ``observable``) plus, for each family, a flag and whether an event follows.
+
+    ``events`` has one row for each key and quarter, as :func:`wide_events` makes it. The
+    flag is 1 at an event, 0 if the quarter before was observed, else null. A horizon that
+    runs past ``last_q`` is null even where an event has come already. Rows and events are
+    put under each other and sorted once by key for all families and horizons.
     """
-    once = events.select(key, "q").distinct()
-    now = once.withColumn("event__", F.lit(True))
-    flagged = rows.join(now, [key, "q"], "left")
-    ahead = next_after(flagged, once, [key], "q", "next__")
-    gap = F.col("next__") - F.col("q")
-    columns = {name: F.when(F.col("event__"), 1.0).when(F.col("observable"), 0.0)}
-    for h in HORIZONS:
-        columns[f"{name}_{h}q"] = F.when(F.col("q") + h <= last_q, F.coalesce(gap <= h, F.lit(False)).cast("double"))
-    if countdown:
-        columns[f"quarters_to_next_{name}"] = gap
-    return ahead.withColumns(columns).drop("event__", "next__")
-
-
-def label_panel(rows: DataFrame, families: dict[str, DataFrame], spells: DataFrame, last_q: int, key: str = "gvkey") -> DataFrame:
+    flags = F.struct("q", *names)
+    under = rows.select(key, "q", F.lit(1).alias("side__"), F.struct(*rows.columns).alias("row__")).unionByName(
+        events.select(key, "q", F.lit(0).alias("side__"), flags.alias("event__")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(key).orderBy("q", "side__")
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    columns = {"now__": F.last("event__", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    for n in names:
+        columns[f"next__{n}"] = F.first(F.when(F.col(f"event__.{n}"), F.col("event__.q")), ignorenulls=True).over(ahead)
+    held = under.withColumns(columns).filter(F.col("row__").isNotNull())
+    out = [F.col(f"row__.{c}").alias(c) for c in rows.columns]
+    for n in names:
+        gap = F.col(f"next__{n}") - F.col("q")
+        hit = (F.col("now__.q") == F.col("q")) & F.col(f"now__.{n}")
+        out.append(F.when(hit, 1.0).when(F.col("row__.observable"), 0.0).alias(n))
+        out += [F.when(F.col("q") + h <= last_q, F.coalesce(gap <= h, F.lit(False)).cast("double")).alias(f"{n}_{h}q") for h in HORIZONS]
+        if countdown:
+            out.append(gap.alias(f"quarters_to_next_{n}"))
+    return held.select(*out)
+
+
+def label_panel(rows: DataFrame, events: DataFrame, names: list[str], spells: DataFrame, last_q: int, key: str = "gvkey") -> DataFrame:
     """Labels of each event family for ``rows``; masked events and rows are left out, but
     ``observable`` looks at all rows."""
-    seen = with_observable(rows, key)
-    labelled = reduce(lambda d, f: forward_labels(d, mask_after_default(f[1], spells, key), f[0], last_q, key), families.items(), seen)
-    return mask_after_default(labelled, spells, key)
+    kept = mask_after_default(events, spells, key)
+    return mask_after_default(forward_labels(with_observable(rows, key), kept, names, last_q, key), spells, key)
 
 
-def downgrade_panel(d: DataFrame, refs: DataFrame, cuts: DataFrame, combined: DataFrame, spells: DataFrame, last_q: int, agencies: dict[str, str]) -> DataFrame:
-    """The firm-quarter panel with six families of labels; defaults count as events of each.
+def downgrade_panel(cuts: DataFrame, combined: DataFrame, spells: DataFrame, last_q: int, agencies: dict[str, str]) -> DataFrame:
+    """The firm-quarter panel with its families of labels; defaults count as events of each.
 
     Labels of an agency are null where it has no rating.
     """
-    starts = spells.select("gvkey", F.col("default_q").alias("q"))
-    family = lambda rows: rows.select("gvkey", "q").unionByName(starts)
-    families = {n: family(cuts.filter(F.col(c))) for n, c in (("downgrade", "cut_primary"), ("downgrade_strict", "cut_strict"), ("downgrade_anybond", "cut_anybond"))}
-    for code, n in agencies.items():
-        families[f"downgrade_{n}"] = family(cuts.filter(F.col("cut_primary") & (F.col("rating_type") == code)))
-    panel = label_panel(combined, families, spells, last_q)
+    tests = {"downgrade": F.col("cut_primary"), "downgrade_strict": F.col("cut_strict"), "downgrade_anybond": F.col("cut_anybond")}
+    tests |= {f"downgrade_{n}": F.col("cut_primary") & (F.col("rating_type") == code) for code, n in agencies.items()}
+    cut = cuts.select("gvkey", "q", *[t.alias(n) for n, t in tests.items()])
+    starts = spells.select("gvkey", F.col("default_q").alias("q"), *[F.lit(True).alias(n) for n in tests])
+    events = cut.unionByName(starts).groupBy("gvkey", "q").agg(*[F.bool_or(n).alias(n) for n in tests])
+    panel = label_panel(combined, events, list(tests), spells, last_q)
     blank = {c: F.when(F.col(f"has_{n}"), F.col(c)) for n in agencies.values() for c in panel.columns if c.startswith(f"downgrade_{n}")}
     return panel.withColumns(blank)

@@ -319,21 +319,22 @@ def default_episodes(spark, sf_dir):
 def forward_labels(spark, sf_dir):
     rows = labels.with_observable(_user_days(spark, sf_dir), "user_id")
     events = _events(spark, sf_dir).filter("event_type = 'error'").select("user_id", F.col("d").alias("q"))
-    return labels.forward_labels(rows, events, "err", 29, "user_id", countdown=True)
+    return labels.forward_labels(rows, labels.wide_events({"err": events}, "user_id"), ["err"], 29, "user_id", countdown=True)
 
 
 @query
 def label_panel(spark, sf_dir):
     e = _events(spark, sf_dir)
     family = lambda kind: e.filter(F.col("event_type") == kind).select("user_id", F.col("d").alias("q"))
-    return labels.label_panel(_user_days(spark, sf_dir), {"err": family("error"), "buy": family("purchase")}, _spells(spark, sf_dir), 29, "user_id")
+    events = labels.wide_events({"err": family("error"), "buy": family("purchase")}, "user_id")
+    return labels.label_panel(_user_days(spark, sf_dir), events, ["err", "buy"], _spells(spark, sf_dir), 29, "user_id")
 
 
 @query
 def downgrade_panel(spark, sf_dir):
     d = _enriched(spark, sf_dir)
     refs = ratings.reference_ratings(d)
-    panel = labels.downgrade_panel(d, refs, ratings.cut_events(d, refs), ratings.combine_agencies(refs), _episodes(spark, sf_dir), GRID[1], ratings.AGENCY_NAMES)
+    panel = labels.downgrade_panel(ratings.cut_events(d, refs), ratings.combine_agencies(refs), _episodes(spark, sf_dir), GRID[1], ratings.AGENCY_NAMES)
     return panel.select("gvkey", "q", "rating_ord", "downgrade", "downgrade_4q", "downgrade_strict_8q", "downgrade_anybond_1q", "downgrade_sp_4q", "downgrade_moodys_4q", "downgrade_fitch_4q")
 
 
