@@ -15,8 +15,11 @@ groups are the connected components of the links.
    in one component need no test, so a group of thousands of near copies costs a few
    tests a member and never all pairs.
 4. A proposed pair passes if the collision-corrected estimate from the packed bits (bit
-   counts of xor-ed planes) comes near the threshold; its texts are then compared on full
-   sets. Only that comparison makes a link.
+   counts of xor-ed planes) comes near the threshold, and if a parity sketch of the two
+   sets allows it: the bits in which the sketches differ are at most the elements in which
+   the sets differ, so that test never loses a link, and it keeps thousands of documents
+   that are alike, yet not alike enough, from being compared text by text. Texts of pairs
+   that pass are compared on full sets. Only that comparison makes a link.
 
 Candidate buckets and links live in tables of the shared checkpoint folder; components
 are found by alternating star contraction over them. Nothing that grows with the corpus
@@ -44,6 +47,8 @@ ROWS = 4
 BITS = 2
 #: Standard deviations of the estimate that a pair may lie below the threshold.
 SLACK = 6.0
+#: Bits of a set's parity sketch.
+PARITY = 1024
 _K = BANDS * ROWS
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, dtype=bool)
@@ -129,13 +134,19 @@ def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.concatenate(planes)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` buckets, whether an odd number of the set's elements falls in it."""
+    counts = np.bincount((hashes >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, digest of the set (null if empty), band keys and packed signature."""
+    """key, n_shingles, digest of the set (null if empty), band keys, packed signature, parity sketch."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches, text):
-            n, digests, bands, packed = [], [], [], []
+            n, digests, bands, packed, odd = [], [], [], [], []
             for t in batch.column(text):
                 hashes = shingle_hashes(t.as_py())
                 n.append(len(hashes))
@@ -143,17 +154,19 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                     digests.append(None)
                     bands.append(None)
                     packed.append(None)
+                    odd.append(None)
                     continue
                 keys, planes = signature(minima(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 bands.append(keys)
                 packed.append(planes)
+                odd.append(parity(hashes))
             longs = pa.list_(pa.int64())
-            columns = [pa.array(n, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(bands, type=longs), pa.array(packed, type=longs)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "n_shingles", "digest", "bands", "packed"])
+            columns = [pa.array(n, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(bands, type=longs), pa.array(packed, type=longs), pa.array(odd, type=longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "n_shingles", "digest", "bands", "packed", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>, odd array<bigint>")
 
 
 def estimate(a: str, b: str) -> F.Column:
@@ -182,6 +195,15 @@ def _least_estimate(threshold: float) -> float:
     return threshold - SLACK * (agree * (1 - agree) / _K) ** 0.5 / (1 - chance)
 
 
+def may_link(percent: int) -> F.Column:
+    """Whether sketches ``a`` and ``b`` (n, packed, odd) leave it open that their sets are linked."""
+    na, nb = F.col("sa.n"), F.col("sb.n")
+    differing = sum(F.bit_count(F.col("sa.odd")[w].bitwiseXOR(F.col("sb.odd")[w])) for w in range(PARITY // 64))
+    sizes = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    # |A ^ B| (100 + p) <= (100 - p) (|A| + |B|) wherever 100 |A & B| >= p |A | B|.
+    return sizes & (estimate("sa.packed", "sb.packed") >= _least_estimate(percent / 100)) & (differing * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -239,22 +261,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(sketch(plain), "sketch")
     classes = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("packed").alias("packed")
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first(F.struct(F.col("n_shingles").alias("n"), "packed", "odd")).alias("s")
     )
     classes = materialize(classes, "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(banded.join(hubs, "band").select("band", "node", "hub", "n"), "members")
-    packed = classes.select("node", "packed")
-    least = _least_estimate(percent / 100)
+    sketches = classes.select("node", "s")
 
     def linked(pairs: DataFrame) -> DataFrame:
         # Materialized: the candidates are read for their ids and again with their texts.
         near = materialize(
             pairs.distinct()
-            .join(packed.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-            .join(packed.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-            .filter(estimate("pa", "pb") >= least)
+            .join(sketches.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+            .join(sketches.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            .filter(may_link(percent))
             .select("a", "b"),
             "candidates",
         )
@@ -279,11 +300,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
         groups = materialize(components(links), "components")
         rest = rest.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-        rest = rest.filter("node != hub").join(mixed, "band").join(packed, "node")
-        left = rest.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"))
-        right = rest.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"))
+        rest = rest.filter("node != hub").join(mixed, "band").join(sketches, "node")
+        left = rest.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("s").alias("sa"))
+        right = rest.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("s").alias("sb"))
         # What is left after two rounds: different components of one bucket, by estimate.
-        last = left.join(right, (left["band"] == right["band"]) & (F.col("ca") < F.col("cb")) & (estimate("pa", "pb") >= least)).select("a", "b")
+        last = left.join(right, (left["band"] == right["band"]) & (F.col("ca") < F.col("cb")) & may_link(percent)).select("a", "b")
         final = linked(last)
         if not final.isEmpty():
             groups = materialize(components(links.unionByName(final)), "components")
