@@ -142,7 +142,7 @@ def _freeze(languages: tuple[str, ...], per_language: list[tuple[np.ndarray, np.
             p[i] = below * (len(seen) / total / left) if left > 1e-12 else 0
             p[i, seen] = n / total if left > 1e-12 else n / n.sum()
         bits[:, :, l] = -np.log2(np.maximum(p, 1e-30))
-    return LanguageModel(languages, np.array(kept, dtype=np.int64), bits.reshape(-1, len(languages)).astype(np.float32))
+    return LanguageModel(languages, np.array(kept, dtype=np.int64), bits.reshape(256 * len(kept), len(languages)).astype(np.float32))
 
 
 def node_table(nodes: np.ndarray) -> np.ndarray:
