@@ -37,7 +37,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _LOOSE = re.compile(r"\s | \s|^ | $")
 _TIGHT = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks that a worker remembers, about; then it starts anew.
-MEMORY = 150_000
+MEMORY = 250_000
 #: Texts of about so many bytes are encoded together.
 TOGETHER = 2 << 20
 
