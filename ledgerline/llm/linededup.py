@@ -8,18 +8,16 @@ itself doesn't matter, so the result doesn't depend on any order of work.
 1. Word counts, gathered over all texts into a fixed number of hash buckets, order each
    line's words by rarity. The bucket table has a fixed size and is read as a scalar.
 2. Lines with equal sets become one class, shown by its first line: later ones go.
-3. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words. Rows of
-   (word, class) meet by word. Length, positional and bitmap filters (bits of the words'
-   hashes; differing bits bound the overlap) drop most pairs before any set is read.
-4. First round: every class meets just the first class of its word's group. Those that
-   verify are settled, which clears groups of near copies at a cost in proportion to them.
-   Second round: what is left meets all earlier classes of its words' groups. It is exact;
-   pairs whose later line is settled are all that it leaves out.
+3. Leaders: a line's words are dealt into four parts by hash; lines that share a whole part
+   of three words or more meet the first line of that part. Those that verify are settled,
+   which clears groups of near copies at a cost in proportion to them.
+4. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words. Rows of
+   (word, class) meet by word, in a join that Spark can split, unless both are settled.
+   Length, positional and parity filters (bits in which parity sketches differ bound the
+   words in which sets differ) drop most pairs before any set is read. None of them loses
+   a pair, so steps 3 and 4 together are exact.
 5. Pairs that pass the filters are verified on the words themselves.
 
-A word in very many prefixes is dealt over several keys in the first round, and joined by
-a splittable join in the second. Classes and groups are tables in the shared folder.
-
 Defined cases: a null text stays null and an empty text empty; a text whose lines all go
 becomes empty; short lines always stay. Null ids come first in the order. Rows that share
 id and text are treated alike: neither is later than the other. Other columns pass through.
@@ -37,12 +35,12 @@ MIN_WORDS = 5
 #: Buckets of the word counts. A bucket holds a level: LEVELS for each doubling of the count.
 BUCKETS = 1 << 19
 LEVELS = 4
-#: Bits of the table of ids that prefilters what is read again, by 64.
-FILTER_WORDS = 1 << 14
-#: About so many rows of a word share one key in the first round.
-GROUP_ROWS = 20_000
+#: Bits of the tables of ids that prefilter what is read again, by 64.
+FILTER_WORDS = 1 << 16
+#: Parts of a line's words for leaders, and the words that a part needs.
+PARTS, PART_WORDS = 4, 3
 _HASH_BITS = 40
-_BLANKS = r"[ \t\x0B\f\r]+"
+_MASK20 = (1 << 20) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,8 +48,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _split(text: str) -> Column:
+    """Words of a text, with empty ones where blanks adjoin; one plain blank splits fastest."""
+    plain = F.lower(text)
+    for blank in "\t\x0b\f\r\n":
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.split(plain, " ", -1)
+
+
 def _words(line: str) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), _BLANKS, -1)), "")
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
 def _at(table: Column, place: Column) -> Column:
@@ -60,26 +66,29 @@ def _at(table: Column, place: Column) -> Column:
 
 def _word_levels(docs: DataFrame) -> Column:
     """Rarity of the words of all texts by hash bucket: one array of fixed length."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[ \t\x0B\f\r\n]+", -1)).alias("word"))
+    words = docs.select(F.explode(_split("text")).alias("word"))
     seen = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
     dense = seen.unionByName(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1) * LEVELS).cast("tinyint").alias("n"))
     return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"])).scalar()
 
 
+def _bit(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
+
+
 def _id_filter(ids: DataFrame) -> Column:
-    """Bit table of fixed length of the ids in column ``doc``; false positives only."""
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_WORDS * 64))
-    words = ids.groupBy((bit / 64).cast("bigint").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")
-    )
+    """Bit table of fixed length of the ids in all columns; false positives only."""
+    bit = _bit(ids.columns)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = ids.groupBy((bit / 64).cast("bigint").alias("word")).agg(F.bit_or(one).alias("bits"))
     every = ids.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
     dense = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
 
 
-def _may_hold(table: Column, doc: str = "doc") -> Column:
-    bit = F.pmod(F.xxhash64(doc), F.lit(FILTER_WORDS * 64))
+def _may_hold(table: Column, columns: list[str]) -> Column:
+    bit = _bit(columns)
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
     return _at(table, bit / 64).bitwiseAND(mask) != 0
 
@@ -100,49 +109,72 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
     key = lambda h: F.call_function("shiftleft", level(h), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
 
-    def sketch(hashes: Column) -> Column:
-        n = F.size(hashes).cast("bigint")
+    def sketch(keys: Column) -> Column:
+        n = F.size(keys).cast("bigint")
+
+        def cell(own: Column, j: Column) -> Column:
+            """Of one part of the words: its digest, if it is large enough, and its parity bits."""
+            digest = F.when(F.size(own) >= PART_WORDS, F.xxhash64(j, own))
+            odd = F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(F.call_function("shiftright", k, F.lit(8)))))
+            return F.struct(digest.alias("part"), odd.alias("odd"))
+
+        def of_part(j: Column) -> Column:
+            own = F.filter(keys, lambda k: k.bitwiseAND(F.lit(PARTS - 1)) == j)
+            return F.transform(F.array(own), lambda o: cell(o, j)).getItem(0)
+
         return F.struct(
-            F.xxhash64(hashes).alias("d1"),
-            F.xxhash64(F.lit(17), hashes).alias("d2"),
+            F.xxhash64(keys).alias("d1"),
+            F.xxhash64(F.lit(17), keys).alias("d2"),
             n.alias("n"),
-            F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(bit(h))).alias("bits"),
-            F.slice(F.sort_array(F.transform(hashes, key)), F.lit(1), (n - _least_size(n, percent) + 1).cast("int")).alias("prefix"),
+            F.slice(keys, F.lit(1), (n - _least_size(n, percent) + 1).cast("int")).alias("prefix"),
+            F.transform(F.array(*[F.lit(j) for j in range(PARTS)]), of_part).alias("cells"),
         )
 
-    hashes = F.sort_array(F.transform(_words("line"), lambda w: F.xxhash64(w))).alias("hashes")
-    lines = _lines(docs).select("doc", "hash", "line_no", hashes)
-    together = lines.withColumn("levels", _word_levels(docs)).select("doc", "hash", "line_no", F.transform(F.array("hashes"), sketch).getItem(0).alias("s"))
+    hashes = F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w))
+    lines = _lines(docs).select("doc", "hash", "line_no", hashes.alias("hashes")).withColumn("levels", _word_levels(docs))
+    keys = F.sort_array(F.array_distinct(F.transform("hashes", key)))
+    together = lines.select("doc", "hash", "line_no", F.transform(F.array(keys), sketch).getItem(0).alias("s"))
     return together.select("doc", "hash", "line_no", "s.*")
 
 
-def _passes(a: str, b: str, percent: int) -> Column:
-    """Length, positional and bitmap filters of two prefix rows that share a word."""
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Length and parity filters of two classes (n, bits)."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.floor(((na + nb) * percent + 99 + percent) / (100 + percent))  # ceil(p (na + nb) / (100 + p))
-    left = F.lit(1) + F.least(na - F.col(f"{a}.pos") - 1, nb - F.col(f"{b}.pos") - 1) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
     differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (left >= need) & (na + nb - differing >= need * 2)
+    # |A ^ B| (100 + p) <= (100 - p) (|A| + |B|) wherever 100 |A & B| >= p |A | B|.
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differing * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _ids(alias: str) -> Column:
-    return F.struct(*(F.col(f"{alias}.{c}").alias(c) for c in ("doc", "line_no", "hash")))
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Positional filter of two prefix rows that share a word."""
+    na, nb, pa, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+    need = F.floor(((na + nb) * percent + 99 + percent) / (100 + percent))  # ceil(p (na + nb) / (100 + p))
+    return F.lit(1) + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb) >= need
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (later, earlier) of lines, the ones similar enough, one for each later line."""
-    ends = materialize(pairs, "linepairs")
-    lines = ends.select("later.*").unionByName(ends.select("earlier.*")).distinct()
-    near = docs.filter(_may_hold(_id_filter(lines.select("doc"))))
-    read = _lines(near).join(lines, ["doc", "hash", "line_no"], "left_semi").select(F.struct("doc", "line_no", "hash").alias("at"), _words("line").alias("words"))
+def _odd_alike(percent: int) -> Column:
+    """The parity filter once more, with the bits of each part apart."""
+    differing = sum(F.bit_count(F.col("odd_a")[j].bitwiseXOR(F.col("odd_b")[j])) for j in range(PARTS))
+    return differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, the similar ones: (d1 of the later one, place of the earlier one)."""
+    of = lambda x: classes.select(F.col("d1").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("cells.odd").alias(f"odd_{x}"))
+    ends = pairs.join(of("a"), "a").join(of("b"), "b").filter(_odd_alike(percent))
+    ends = materialize(ends.select("at_a", "at_b", "a", "b"), "linepairs")
+    lines = ends.select("at_a.*").unionByName(ends.select("at_b.*")).distinct()
+    where = ["doc", "line_no", "hash"]
+    near = _lines(docs.filter(_may_hold(_id_filter(lines.select("doc")), ["doc"]))).filter(_may_hold(_id_filter(lines.select(*where)), where))
+    read = near.join(lines, where, "left_semi").select(F.struct(*where).alias("at"), _words("line").alias("words"))
     # Rows that share id and text give equal lines; one of them is enough.
     words = materialize(read.dropDuplicates(["at"]), "linewords")
-    a = words.select(F.col("at").alias("later"), F.col("words").alias("wa"))
-    b = words.select(F.col("at").alias("earlier"), F.col("words").alias("wb"))
-    both = ends.join(a, "later").join(b, "earlier")
+    both = ends.join(words.select(F.col("at").alias("at_a"), F.col("words").alias("wa")), "at_a").join(words.select(F.col("at").alias("at_b"), F.col("words").alias("wb")), "at_b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent)
-    out = materialize(alike.groupBy("later").agg(F.min("earlier").alias("earlier")), "linelinks")
+    first = F.col("at_a") < F.col("at_b")
+    later = alike.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("d1"), F.least("at_a", "at_b").alias("earlier"))
+    out = materialize(later.groupBy("d1").agg(F.min("earlier").alias("earlier")), "linelinks")
     drop_materialized(ends, words)
     return out
 
@@ -155,42 +187,34 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MI
     """
     texts = docs.filter(F.col("text").isNotNull())
     # The filter stands behind the table: before it, Spark would work out the words twice.
-    lines = materialize(_sketches(texts, percent), "lines")
-    lines = lines.filter(F.col("n") >= min_words)
+    wide = materialize(_sketches(texts, percent), "linesketches")
+    lines = wide.filter(F.col("n") >= min_words)
     place = F.struct("doc", "line_no", "hash")
-    classes = materialize(
-        lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")),
-        "lineclasses",
-    )
-    rows = classes.select("at.doc", "at.line_no", "at.hash", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    # The high bits of a word's key are its level: words in many lines get several keys.
-    count = F.pow(F.lit(2.0), F.shiftright("word", _HASH_BITS) / LEVELS)
-    parts = (count / GROUP_ROWS + 1).cast("bigint")
-    salt = F.pmod(F.xxhash64("doc", "line_no"), parts)
-    group = Window.partitionBy("word", "salt").orderBy("doc", "line_no", "hash")
-    grouped = rows.withColumn("salt", salt).withColumns({
-        "first": F.first(F.struct("doc", "line_no", "hash", "n", "bits", "pos")).over(group.rowsBetween(Window.unboundedPreceding, 0)),
-        "place": F.row_number().over(group),
-        "more": F.lead("doc").over(group).isNotNull(),
-    })
-    many = (F.col("place") > 1) | F.col("more") | (parts > 1)
-    groups = materialize(grouped.filter(many).drop("salt", "more"), "linegroups")
-    g = groups.alias("g")
-    hub = g.filter((F.col("place") > 1) & _passes("g", "first", percent)).select(_ids("g").alias("later"), _ids("first").alias("earlier")).distinct()
-    settled = _verified(hub, texts, percent)
-    gone = settled.select("later.doc", "later.line_no", "later.hash")
-    open_rows = groups.join(gone, ["doc", "line_no", "hash"], "left_anti").drop("first", "place").alias("u")
-    index = groups.drop("first", "place").alias("i")
-    before = F.struct("i.doc", "i.line_no", "i.hash") < F.struct("u.doc", "u.line_no", "u.hash")
-    later = open_rows.join(index, (F.col("u.word") == F.col("i.word")) & before & _passes("u", "i", percent))
-    found = _verified(later.select(_ids("u").alias("later"), _ids("i").alias("earlier")).distinct(), texts, percent)
-    near = settled.unionByName(found)
-    ends = classes.join(near, classes["at"] == near["later"], "left").select("d1", "d2", "at", "earlier")
-    marked = lines.select("doc", "hash", "line_no", "d1", "d2").join(ends, ["d1", "d2"])
-    first = (F.col("at.doc") == F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & (F.col("at.hash") == F.col("hash"))
+    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "cells")])
+    bits = F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(c["odd"])).alias("bits")
+    classes = materialize(merged.select("*", bits), "lineclasses")
+    lines = materialize(lines.select("doc", "hash", "line_no", "d1", "d2"), "lines")
+    drop_materialized(wide)
+    parted = classes.select("d1", "n", "bits", F.col("at.doc").alias("doc"), F.explode("cells.part").alias("part")).filter(F.col("part").isNotNull())
+    group = Window.partitionBy("part").orderBy("doc", "d1").rowsBetween(Window.unboundedPreceding, 0)
+    led = parted.withColumn("lead", F.first(F.struct("d1", "n", "bits")).over(group)).alias("m")
+    leaders = led.filter((F.col("lead.d1") != F.col("m.d1")) & _alike("m", "lead", percent)).select(F.col("m.d1").alias("a"), F.col("lead.d1").alias("b")).distinct()
+    settled = _verified(leaders, classes, texts, percent)
+    flagged = classes.select("d1", "n", "bits", "prefix").join(settled.select("d1", F.lit(True).alias("done")), "d1", "left")
+    packed = F.call_function("shiftleft", F.col("n"), F.lit(20)).bitwiseOR(F.least(F.col("pos"), F.lit(_MASK20)).cast("bigint"))
+    rows = flagged.select("d1", "bits", F.coalesce("done", F.lit(False)).alias("done"), "n", F.posexplode("prefix").alias("pos", "word")).select("word", "d1", "bits", "done", packed.alias("np"))
+    rows = rows.repartition("word")
+    unpacked = rows.select("word", "d1", "bits", "done", F.shiftright("np", 20).alias("n"), F.col("np").bitwiseAND(F.lit(_MASK20)).alias("pos"))
+    u, v = unpacked.alias("u"), unpacked.alias("v")
+    met = u.join(v, (F.col("u.word") == F.col("v.word")) & (F.col("u.d1") < F.col("v.d1")) & ~(F.col("u.done") & F.col("v.done")) & _alike("u", "v", percent) & _fits("u", "v", percent))
+    found = _verified(met.select(F.col("u.d1").alias("a"), F.col("v.d1").alias("b")).distinct(), classes, texts, percent)
+    near = settled.unionByName(found).groupBy("d1").agg(F.min("earlier").alias("earlier"))
+    ends = classes.select("d1", "d2", "at").join(near, "d1", "left")
+    marked = lines.join(ends, ["d1", "d2"])
+    first = F.struct("doc", "line_no", "hash") == F.col("at")
     out = marked.filter(F.col("earlier").isNotNull() | ~first).select("doc", "hash", "line_no", F.coalesce("earlier", "at").alias("earlier"))
     out = materialize(out.distinct(), "linesgone")
-    drop_materialized(groups, classes, lines, settled, found)
+    drop_materialized(classes, lines, settled, found)
     return out
 
 
@@ -213,7 +237,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     keyed = docs.withColumns({k: doc, h: F.xxhash64(text)})
     cut = per_doc.select(F.col("doc").alias(k), F.col("hash").alias(h), F.col("cut").alias(c))
     # Only texts that may lose lines are moved.
-    touched = _may_hold(_id_filter(per_doc.select("doc")), k)
+    touched = _may_hold(_id_filter(per_doc.select("doc")), [k])
     untouched = keyed.filter(~touched).withColumn(c, F.lit(None).cast(cut.schema[c].dataType))
     joined = keyed.filter(touched).join(cut, [k, h], "left").unionByName(untouched)
     parts = F.split(text, "\n", -1)

@@ -149,8 +149,7 @@ def test_lines_of_repeated_rows_null_ids_and_empty_tables(spark):
         linededup.dedup_lines(df.selectExpr("*", "1 AS n_lines"), details=True)
 
 
-def test_hot_words_are_dealt_over_keys_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "GROUP_ROWS", 3)
+def test_a_family_of_near_copies(spark):
     r = random.Random(9)
     base = WORDS[:20]
     rows = [(i, " ".join(w if r.random() > 0.05 else r.choice(WORDS) for w in base)) for i in range(80)]
