@@ -159,9 +159,12 @@ def _odd_alike(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, the similar ones: (d1 of the later one, place of the earlier one)."""
+    """Of pairs (a, b, done_a, done_b) of classes, the similar ones whose later one isn't settled:
+    (d1 of the later one, place of the earlier one)."""
     of = lambda x: classes.select(F.col("d1").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("cells.odd").alias(f"odd_{x}"))
-    ends = pairs.join(of("a"), "a").join(of("b"), "b").filter(_odd_alike(percent))
+    # A later line that is settled has nothing to gain from another pair.
+    settled = F.when(F.col("at_a") < F.col("at_b"), F.col("done_b")).otherwise(F.col("done_a"))
+    ends = pairs.join(of("a"), "a").join(of("b"), "b").filter(_odd_alike(percent) & ~settled)
     ends = materialize(ends.select("at_a", "at_b", "a", "b"), "linepairs")
     lines = ends.select("at_a.*").unionByName(ends.select("at_b.*")).distinct()
     where = ["doc", "line_no", "hash"]
@@ -198,7 +201,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MI
     parted = classes.select("d1", "n", "bits", F.col("at.doc").alias("doc"), F.explode("cells.part").alias("part")).filter(F.col("part").isNotNull())
     group = Window.partitionBy("part").orderBy("doc", "d1").rowsBetween(Window.unboundedPreceding, 0)
     led = parted.withColumn("lead", F.first(F.struct("d1", "n", "bits")).over(group)).alias("m")
-    leaders = led.filter((F.col("lead.d1") != F.col("m.d1")) & _alike("m", "lead", percent)).select(F.col("m.d1").alias("a"), F.col("lead.d1").alias("b")).distinct()
+    leaders = led.filter((F.col("lead.d1") != F.col("m.d1")) & _alike("m", "lead", percent)).select(F.col("m.d1").alias("a"), F.col("lead.d1").alias("b"), F.lit(False).alias("done_a"), F.lit(False).alias("done_b")).distinct()
     settled = _verified(leaders, classes, texts, percent)
     flagged = classes.select("d1", "n", "bits", "prefix").join(settled.select("d1", F.lit(True).alias("done")), "d1", "left")
     packed = F.call_function("shiftleft", F.col("n"), F.lit(20)).bitwiseOR(F.least(F.col("pos"), F.lit(_MASK20)).cast("bigint"))
@@ -207,7 +210,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MI
     unpacked = rows.select("word", "d1", "bits", "done", F.shiftright("np", 20).alias("n"), F.col("np").bitwiseAND(F.lit(_MASK20)).alias("pos"))
     u, v = unpacked.alias("u"), unpacked.alias("v")
     met = u.join(v, (F.col("u.word") == F.col("v.word")) & (F.col("u.d1") < F.col("v.d1")) & ~(F.col("u.done") & F.col("v.done")) & _alike("u", "v", percent) & _fits("u", "v", percent))
-    found = _verified(met.select(F.col("u.d1").alias("a"), F.col("v.d1").alias("b")).distinct(), classes, texts, percent)
+    found = _verified(met.select(F.col("u.d1").alias("a"), F.col("v.d1").alias("b"), F.col("u.done").alias("done_a"), F.col("v.done").alias("done_b")).distinct(), classes, texts, percent)
     near = settled.unionByName(found).groupBy("d1").agg(F.min("earlier").alias("earlier"))
     ends = classes.select("d1", "d2", "at").join(near, "d1", "left")
     marked = lines.join(ends, ["d1", "d2"])
