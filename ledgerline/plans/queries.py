@@ -252,12 +252,13 @@ def affirmation_dedup(spark, sf_dir):
 
 
 def _bonds(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").filter("c_custkey < 150")
+    """Customers as bonds; the day offsets wrap around, so that every bond lives in the grid."""
+    c = _t(spark, sf_dir, "customer")
     levels = F.array(*[F.lit(x) for x in ("SEN", "SS", "SENS", "SUB", "JUN", "NON")])
-    start = F.date_add(F.lit("1991-06-01").cast("date"), (F.col("c_custkey") * 11).cast("int"))
+    start = F.date_add(F.lit("1991-06-01").cast("date"), (F.col("c_custkey") * 11 % 1650).cast("int"))
     return c.select(
         F.col("c_custkey").alias("issue_id"), (F.col("c_custkey") % 40).alias("gvkey"), start.alias("offering_date"),
-        F.when(F.col("c_custkey") % 6 != 0, F.date_add(start, (700 + F.col("c_custkey") * 13).cast("int"))).alias("maturity"),
+        F.when(F.col("c_custkey") % 6 != 0, F.date_add(start, (700 + F.col("c_custkey") * 13 % 1950).cast("int"))).alias("maturity"),
         F.get(levels, (F.col("c_custkey") % 6).cast("int")).alias("security_level"), F.floor(F.col("c_acctbal")).cast("double").alias("offering_amt"),
     )
 
