@@ -58,9 +58,11 @@ def _fuzzy(open_: DataFrame, firms: DataFrame) -> DataFrame:
     block = F.substring("name_core", 1, FUZZY_BLOCK)
     left = open_.filter(F.length("name_core") >= FUZZY_CORE).select("id", F.col("name_core").alias("core__"), block.alias("block__"))
     right = firms.filter(F.length("name_core") >= FUZZY_CORE).select(F.col("name_core").alias("other__"), block.alias("block__")).distinct()
-    # The length alone bounds the ratio, so most pairs of a block are never scored.
+    # Length and edit distance bound the ratio: what lies outside the matching blocks is at least
+    # as much as the edits. So most pairs of a block are never scored, and none that counts is lost.
     bound = 2 * F.least(F.length("core__"), F.length("other__")) / (F.length("core__") + F.length("other__")) >= FUZZY_LEAST
-    scored = left.join(right, (left["block__"] == right["block__"]) & bound).withColumn("s", similarity("other__", "core__")).filter(F.col("s") >= FUZZY_LEAST)
+    edits = F.levenshtein("core__", "other__") <= (1 - FUZZY_LEAST) * (F.length("core__") + F.length("other__")) + 1e-6
+    scored = left.join(right, (left["block__"] == right["block__"]) & bound & edits).withColumn("s", similarity("other__", "core__")).filter(F.col("s") >= FUZZY_LEAST)
     best = scored.groupBy("id").agg(F.max(F.struct("s", "other__")).alias("b")).select("id", F.col("b.other__").alias("core__"))
     return _layer(open_.drop("name_core").join(best.withColumnRenamed("core__", "name_core"), "id"), firms, "name_core", "fuzzy")
 

@@ -636,13 +636,26 @@ def _company(key: str) -> Column:
     return F.concat(F.get(stems, (k % 6).cast("int")), F.lit(" "), F.floor(k / 12).cast("string"), F.get(ends, (k % 7).cast("int")))
 
 
+def _pairs(k: Column, n: int) -> Column:
+    """A number that ``k`` shares with one other, ``n`` away, at any size of the table."""
+    return (F.floor(k / (2 * n)) * n + k % n).cast("string")
+
+
+def _name(key: str) -> Column:
+    """The made-up name; where there is none, one that a few companies of the dozen share."""
+    return F.coalesce(_company(key), F.concat(F.lit("Acme "), F.floor(F.col(key) / 12).cast("string")))
+
+
 def _people(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").filter("c_custkey < 600").select(F.col("c_custkey").alias("id"), F.coalesce(_company("c_custkey"), F.lit("Acme")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit(" t"), (F.col("c_custkey") % 300).cast("string"))).alias("ticker"))
+    k = F.col("c_custkey")
+    return _t(spark, sf_dir, "customer").select(k.alias("id"), _name("c_custkey").alias("name"), F.when(k % 5 == 0, F.concat(F.lit(" t"), _pairs(k, 300))).alias("ticker"))
 
 
 def _firms(spark, sf_dir):
+    """All customers once more; those with debts are written with a slip, so that names differ."""
     k = F.col("c_custkey")
-    return _t(spark, sf_dir, "customer").filter("c_custkey >= 300 AND c_custkey < 900").select((k % 400).alias("gvkey"), F.coalesce(_company("c_custkey"), F.lit("Acme")).alias("name"), F.when(k % 4 == 0, F.concat(F.lit("T"), (k % 300).cast("string"))).alias("ticker"))
+    name = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("Nu "), _name("c_custkey"))).when(F.col("c_acctbal") < 3000, F.regexp_replace(_name("c_custkey"), "([0-9]+)", "$1x")).otherwise(_name("c_custkey"))
+    return _t(spark, sf_dir, "customer").select(_pairs(k, 400).cast("bigint").alias("gvkey"), name.alias("name"), F.when(k % 4 == 0, F.concat(F.lit("T"), _pairs(k, 300))).alias("ticker"))
 
 
 @query

@@ -1,11 +1,14 @@
 """Queries run over whole tables: more rows than any id bound, against SQL with its bound lifted."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerline.operators import linkage
+from ledgerline.plans import queries
 
 from .test_entry import plain
 
@@ -47,3 +50,20 @@ def test_all_bonds(spark, duck, name):
     assert rows
     if "issue_id" in rows[0]:
         assert max(r.issue_id for r in rows) > 1400
+
+
+def test_all_people_and_firms(spark, duck):
+    _, folder = duck
+    n = spark.read.parquet(f"{folder}/customer.parquet").count()
+    plain_, fuzzy = ({r.id: r for r in entry.queries()[q](spark, folder).collect()} for q in ("layered_link", "fuzzy_link"))
+    assert len(plain_) == len(fuzzy) == n > 1400
+    assert sum(r.n for r in entry.queries()["link_counts"](spark, folder).collect()) == n
+    assert max(r.gvkey for r in plain_.values() if r.gvkey is not None) > 700
+    people = {r.id: r.name_core for r in linkage.with_name_keys(queries._people(spark, folder), "name").collect()}
+    blocks = {}
+    for r in linkage.with_name_keys(queries._firms(spark, folder), "name").select("name_core").distinct().collect():
+        blocks.setdefault(r.name_core[:4], []).append(r.name_core)
+    near = lambda x: len(x) >= 6 and any(len(y) >= 6 and SequenceMatcher(None, y, x).ratio() >= 0.92 for y in blocks.get(x[:4], ()))
+    open_ = [i for i, r in plain_.items() if r.match_type == "unmatched"]
+    assert {i for i in open_ if fuzzy[i].match_type != "unmatched"} == {i for i in open_ if near(people[i])}
+    assert any(fuzzy[i].match_type == "fuzzy" for i in open_) and any(fuzzy[i].match_type == "unmatched" for i in open_)
