@@ -67,3 +67,11 @@ def test_all_people_and_firms(spark, duck):
     open_ = [i for i, r in plain_.items() if r.match_type == "unmatched"]
     assert {i for i in open_ if fuzzy[i].match_type != "unmatched"} == {i for i in open_ if near(people[i])}
     assert any(fuzzy[i].match_type == "fuzzy" for i in open_) and any(fuzzy[i].match_type == "unmatched" for i in open_)
+
+
+LINKS = [(" WHERE o_orderkey % 3 = 0)", ")"), (" WHERE o_orderkey % 10 = 0)", ")"), (" WHERE o_orderkey % 400 = 0", ""), (" WHERE l_orderkey % 400 = 0", "")]
+
+
+@pytest.mark.parametrize("name", ["time_align", "span_expand", "valid_window_join", "window_grace_join", "latest_valid_left", "range_overlap"])
+def test_all_orders_and_lines(spark, duck, name):
+    assert same_rows(spark, duck, name, *LINKS)
