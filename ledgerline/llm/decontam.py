@@ -227,8 +227,8 @@ def find_contamination(
                     spans += s
                     found |= f
                     longest = max(longest, n)
-                if len(automata) > 1:
-                    spans = merge_spans(spans)
+                # A long window may reach back over several spans, of the same block too.
+                spans = merge_spans(spans)
                 hit = sum(b - a for a, b in spans)
                 rows.append((len(seq), hit, sorted(found), longest))
                 if cleaned:
