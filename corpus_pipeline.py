@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out lines similar to earlier ones; documents that lose all their lines go."""
-    cut = linededup.dedup_lines(docs)
+    cut = linededup.dedup_lines(docs, min_words=1)
     return _counted(cut.filter(F.trim("text") != ""))
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate line removal by an exact set-similarity join, in DataFrame functions only.
 
 A line's set holds its different lower-cased words (runs without blanks). Lines with at
-least ``MIN_WORDS`` words take part; a line goes if an earlier line, by (doc_id, place in
+least ``min_words`` words take part (the queries let all that have a word); a line goes if an earlier line, by (doc_id, place in
 the text), has Jaccard similarity of ``percent`` or more. Whether that earlier line goes
 itself doesn't matter, so the result doesn't depend on any order of work.
 
@@ -203,7 +203,9 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MI
     led = parted.withColumn("lead", F.first(F.struct("d1", "n", "bits")).over(group)).alias("m")
     leaders = led.filter((F.col("lead.d1") != F.col("m.d1")) & _alike("m", "lead", percent)).select(F.col("m.d1").alias("a"), F.col("lead.d1").alias("b"), F.lit(False).alias("done_a"), F.lit(False).alias("done_b")).distinct()
     settled = _verified(leaders, classes, texts, percent)
-    flagged = classes.select("d1", "n", "bits", "prefix").join(settled.select("d1", F.lit(True).alias("done")), "d1", "left")
+    # Sets so small that one word more or less is too much are similar to equal sets only.
+    open_ = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    flagged = open_.select("d1", "n", "bits", "prefix").join(settled.select("d1", F.lit(True).alias("done")), "d1", "left")
     packed = F.call_function("shiftleft", F.col("n"), F.lit(20)).bitwiseOR(F.least(F.col("pos"), F.lit(_MASK20)).cast("bigint"))
     rows = flagged.select("d1", "bits", F.coalesce("done", F.lit(False)).alias("done"), "n", F.posexplode("prefix").alias("pos", "word")).select("word", "d1", "bits", "done", packed.alias("np"))
     rows = rows.repartition("word")

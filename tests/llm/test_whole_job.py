@@ -1,8 +1,13 @@
 """Cases in which an operator of this subpackage did less than its whole job."""
 
+import random
+
 import pytest
 
-from ledgerline.llm import decontam
+import corpus_pipeline
+from ledgerline.llm import decontam, queries
+
+from .test_near_duplicates import lines_left
 
 
 @pytest.mark.parametrize("max_words", [decontam.MAX_WORDS, 3])
@@ -13,3 +18,31 @@ def test_a_window_over_several_spans_counts_each_word_once(spark, max_words):
     out = decontam.find_contamination(docs, items, max_words=max_words, cleaned=True, max_coverage=0.95)
     got = {r.doc_id: (r.n_words, r.n_hit, list(r.hit_items), r.covered, r.text.strip()) for r in out.collect()}
     assert got == {1: (10, 10, ["1", "2"], True, ""), 2: (11, 10, ["1", "2"], False, "z")}
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Documents of lines of one to seven words, of few different words."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(7)]
+    rows = [(i, "\n".join(" ".join(r.choices(words, k=r.randrange(8))) for _ in range(r.randrange(1, 6)))) for i in range(80)]
+    rows += [(90, "All rights reserved.\n\n"), (91, "all  rights RESERVED.\nla la la la la la\n词词词词"), (92, "la la\n词词词词"), (93, "a b c d"), (94, "a b c d e")]
+    folder = tmp_path_factory.mktemp("lines")
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{folder}/documents.parquet")
+    return rows, df, str(folder)
+
+
+def test_short_lines_take_part_in_the_query(spark, lines):
+    rows, _, folder = lines
+    got = {r.doc_id: r.n_removed for r in queries.op4_line_dedup(spark, folder).collect()}
+    left = dict(lines_left(rows, least=1))
+    kept = {i: len(t.split("\n")) for i, t in rows}
+    assert {i: n for i, n in got.items() if i >= 90} == {90: 0, 91: 1, 92: 2, 93: 0, 94: 1}
+    assert all((left[i].count("\n") + 1 if kept[i] > got[i] else 0) == kept[i] - got[i] for i in got)
+
+
+def test_short_lines_take_part_in_the_pipeline(spark, lines):
+    rows, df, folder = lines
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, folder).collect()}
+    assert got == {i: t for i, t in lines_left(rows, least=1) if t.strip(" ")}
