@@ -5,7 +5,8 @@ transducers rewrite the symbols of a clause and are composed into one machine:
 
 - *report*: an insult or threat after a word of speech ("said that ...") is reported;
 - *negation*: within three words after a negation it is negated;
-- *target*: near a word of address or person it is aimed;
+- *target*: within four words before or after a word of address or person it is aimed (a
+  machine that reads the clause from its end marks those before such a word);
 - *weights*: each kind of match adds its weight times that of the lexicon entry.
 
 Only clauses with a match count; a text's features are built from its clauses' weights and
@@ -41,11 +42,18 @@ LEAST_GAIN = 25.0
 _REMEMBERED = 200_000
 
 #: Words of the closed classes (fixed values; the insults themselves are learned).
-THREATS = "kill hurt destroy burn shoot stab beat töten umbringen verletzen tuer frapper détruire matar herir destruir".split()
-TARGETS = "you your yours youre u he she they them his her their du dich dir dein deine ihr euch sie tu toi ton ta vous votre tú ti tus usted ustedes vosotros".split()
+_THREAT_STEMS = {
+    "kill hurt destroy burn shoot": " s ed ing", "stab": " s bed bing", "beat": " s en ing", "shot": "", "burnt": "",
+    "töt getöt": "e en et est ete eten", "verletz": "e en t te ten", "umbring umzubring": "e en t st", "umgebracht": "",
+    "tu frapp": "er e es é ée és ez ons ent ait erai era eront", "détrui": "re s t sez sons sent rai ra ront",
+    "mat": "ar o as a an amos é ó aron aré ará arán ando ado arte arlo arla aros", "hier": "o e es en",
+    "her destru": "ir iré irá irán ido irte irlo irla", "destru": "yo ye yes yen yó yendo",
+}
+THREATS = sorted({stem + end for stems, ends in _THREAT_STEMS.items() for stem in stems.split() for end in ends.split(" ")})
+TARGETS = "you your yours youre u he she they them him his her their du dich dir dein deine ihr euch sie tu te toi ton ta vous votre tú ti tus usted ustedes vosotros".split()
 NEGATIONS = "not no never nobody isnt arent dont nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split()
 REPORTS = "said says say called wrote quoted reported claimed told sagte sagt schrieb dit disait écrit dijo dice escribió".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED_INSULT, AIMED_THREAT = range(8)
 
 #: ASCII letters and digits (lower case) and all bytes from 128 stay; ends of clauses become
 #: line ends, anything else a blank.
@@ -80,25 +88,25 @@ def _after(trigger: str, marks: dict[str, str], reach: int | None) -> Transducer
 
 #: Symbols: o other, i insult, t threat, y target, n negation, r report; then d reported,
 #: e negated, I and T aimed at someone.
+AIM = _after("y", {"i": "I", "t": "T"}, 4)
 GRAMMAR = (
-    _after("r", {"i": "d", "t": "d"}, None),
-    _after("n", {"i": "e", "t": "e"}, 3),
-    _after("y", {"i": "I", "t": "T"}, 4),
+    _after("r", {"i": "d", "t": "d", "I": "d", "T": "d"}, None),
+    _after("n", {"i": "e", "t": "e", "I": "e", "T": "e"}, 3),
+    AIM,
 )
 #: Weight of a match by its final symbol; a threat counts only where it is aimed.
 WEIGHTS = {"i": 1.0, "I": 1.5, "T": 1.0, "d": 0.25, "e": 0.1}
-
+_NAMES = {OTHER: "o", INSULT: "i", THREAT: "t", TARGET: "y", NEGATION: "n", REPORT: "r", AIMED_INSULT: "I", AIMED_THREAT: "T"}
 
 
 def compose(parts: tuple[Transducer, ...]) -> dict[tuple[int, int], tuple[int, float]]:
     """The composed machine: (state, word class) -> (state, weight); state 0 is the start."""
-    names = {OTHER: "o", INSULT: "i", THREAT: "t", TARGET: "y", NEGATION: "n", REPORT: "r"}
     start = (0,) * len(parts)
     number = {start: 0}
     queue = [start]
     table: dict[tuple[int, int], tuple[int, float]] = {}
     for state in queue:
-        for kind, symbol in names.items():
+        for kind, symbol in _NAMES.items():
             to = []
             for part, s in zip(parts, state, strict=True):
                 s, symbol = part.step(s, symbol)
@@ -112,6 +120,9 @@ def compose(parts: tuple[Transducer, ...]) -> dict[tuple[int, int], tuple[int, f
 
 
 MACHINE = compose(GRAMMAR)
+_KINDS = {c: k for k, c in _NAMES.items()}
+#: (state, word class) -> (state, word class) of ``AIM``, for a clause read from its end.
+BACKWARD = {(s, k): (to, _KINDS[x]) for s in range(5) for k, c in _NAMES.items() for to, x in [AIM.step(s, c)]}
 
 
 class Lexicon(dict):
@@ -146,8 +157,15 @@ def clause_weights(text: str | None, lexicon: Lexicon) -> tuple[list[float], int
         return [], len(kinds)
     out = []
     for clause in raw.split(b"\n"):
+        read = list(map(lexicon.__getitem__, clause.split()))
+        if not any(k[0] == INSULT or k[0] == THREAT for k in read):
+            continue
+        state, marked = 0, []
+        for kind, weight in reversed(read):
+            state, kind = BACKWARD[state, kind]
+            marked.append((kind, weight))
         state, total = 0, 0.0
-        for kind, weight in map(lexicon.__getitem__, clause.split()):
+        for kind, weight in reversed(marked):
             state, times = MACHINE[state, kind]
             total += times * weight
         if total > 0:

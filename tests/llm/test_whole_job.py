@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import decontam, queries
+from ledgerline.llm import decontam, queries, toxicity
 
 from .test_near_duplicates import lines_left
 
@@ -46,3 +46,12 @@ def test_short_lines_take_part_in_the_pipeline(spark, lines):
     rows, df, folder = lines
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, folder).collect()}
     assert got == {i: t for i, t in lines_left(rows, least=1) if t.strip(" ")}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("I will kill you", [1.0]), ("we will destroy them", [1.0]), ("te voy a matar a ti", [1.0]), ("idiot, you", [3.0]), ("you idiot, you", [3.0]),
+    ("killing you", [1.0]), ("they destroyed it", [1.0]), ("ich töte dich", [1.0]), ("kill the lights in this room, you", []), ("killer whales, you know", []), ("mathematics and you", []),
+    ("I will not kill you", [0.1]), ("it said: kill you", [0.25]), ("kill. you", []),
+])
+def test_the_object_behind_the_verb_is_a_target(text, want):
+    assert toxicity.clause_weights(text, toxicity.Lexicon({"idiot": 2.0}))[0] == pytest.approx(want)
