@@ -162,12 +162,20 @@ def _sizes(data: memoryview, stbl: dict) -> tuple[int, list[int] | None, int]:
 
 
 def parse(file: bytes) -> MediaIndex:
-    """Index of the first track that has a sample table; ``ValueError`` where there is none."""
+    """Index of the first video track that has a sample table, else of the first such track.
+
+    ``ValueError`` where there is none, and for fragmented files: their samples stand
+    outside the sample tables, so an index of these would not be whole.
+    """
     data = memoryview(file)
     try:
         top = _tree(data, 0, len(data))
+        if b"moof" in top or any(b"mvex" in m for m in top.get(b"moov", ())):
+            raise ValueError("a fragmented file: its sample tables are not whole")
         tracks = [t for m in top.get(b"moov", ()) for t in m.get(b"trak", ())]
-        mdia = next(m for t in tracks for m in t.get(b"mdia", ()) if b"stbl" in m.get(b"minf", [{}])[0])
+        media = [m for t in tracks for m in t.get(b"mdia", ()) if b"stbl" in m.get(b"minf", [{}])[0]]
+        video = [m for m in media if bytes(data[m[b"hdlr"][0][0] + 8 :][:4]) == b"vide"]
+        mdia = (video or media)[0]
         stbl = mdia[b"minf"][0][b"stbl"][0]
         at, _ = mdia[b"mdhd"][0]
         timescale, ticks = struct.unpack_from(">16xIQ" if data[at] == 1 else ">8xII", data, at + 4)

@@ -5,8 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import decontam, queries, toxicity
+from ledgerline.llm import decontam, media, queries, toxicity
 
+from .test_bpe_decontam_url_media import boxed, movie
 from .test_near_duplicates import lines_left
 
 
@@ -55,3 +56,21 @@ def test_short_lines_take_part_in_the_pipeline(spark, lines):
 ])
 def test_the_object_behind_the_verb_is_a_target(text, want):
     assert toxicity.clause_weights(text, toxicity.Lexicon({"idiot": 2.0}))[0] == pytest.approx(want)
+
+
+def test_the_video_track_is_indexed_though_sound_comes_first():
+    video = movie()
+    mdat, moov = video[: 16 + 600], video[16 + 600 :]
+    trak = moov[8:]
+    sound = trak.replace(b"vide", b"soun").replace(b"avc1", b"mp4a")
+    m = media.parse(mdat + boxed(b"moov", sound, trak))
+    assert (m.handler, m.codec, m.key_ranges) == ("vide", "avc1", ((100, 10), (200, 30)))
+    assert media.parse(mdat + boxed(b"moov", sound)).handler == "soun"
+
+
+@pytest.mark.parametrize("parts", [(b"", boxed(b"moof")), (boxed(b"mvex"), b"")])
+def test_fragmented_files_are_errors(parts):
+    video = movie()
+    mdat, trak = video[: 16 + 600], video[16 + 600 + 8 :]
+    with pytest.raises(ValueError, match="fragmented"):
+        media.parse(mdat + boxed(b"moov", trak, parts[0]) + parts[1])
