@@ -64,10 +64,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of finished plans go only when the driver collects its garbage.
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files of finished plans go: they stay until the driver collects its garbage."""
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(*frames: DataFrame) -> None:

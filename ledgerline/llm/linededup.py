@@ -1,26 +1,33 @@
 """Near-duplicate line removal by an exact set-similarity join, in DataFrame functions only.
 
-A line's set holds its different lower-cased words (runs without blanks). Lines with at
-least ``min_words`` words take part (the queries let all that have a word); a line goes if an earlier line, by (doc_id, place in
-the text), has Jaccard similarity of ``percent`` or more. Whether that earlier line goes
-itself doesn't matter, so the result doesn't depend on any order of work.
+A line's set holds its different lower-cased words (runs without blanks). Lines of
+``min_words`` different words and more take part; a line goes if an earlier line, by (id,
+place in the text), has Jaccard similarity of ``percent`` or more. Whether that earlier line
+goes itself doesn't matter, so the result doesn't depend on any order of work.
 
 1. Word counts, gathered over all texts into a fixed number of hash buckets, order each
    line's words by rarity. The bucket table has a fixed size and is read as a scalar.
-2. Lines with equal sets become one class, shown by its first line: later ones go.
-3. Leaders: a line's words are dealt into four parts by hash; lines that share a whole part
-   of three words or more meet the first line of that part. Those that verify are settled,
-   which clears groups of near copies at a cost in proportion to them.
-4. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words. Rows of
-   (word, class) meet by word, in a join that Spark can split, unless both are settled.
-   Length, positional and parity filters (bits in which parity sketches differ bound the
-   words in which sets differ) drop most pairs before any set is read. None of them loses
-   a pair, so steps 3 and 4 together are exact.
-5. Pairs that pass the filters are verified on the words themselves.
+2. Lines with equal sets become one class, shown by its first line: later ones go. Sets are
+   told apart by 128 bits made from 64 hash bits of each word.
+3. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words, and two of
+   one more. A rare word is a key by itself. A frequent one would gather a group that grows
+   with the corpus, so frequent words of the longer prefix are keys in pairs: if the first
+   word that two sets share is frequent, so is the second.
+4. Leaders: lines of one key meet the first of them. Those that verify are settled, and
+   families of near copies are settled at a cost in proportion to them.
+5. Join: the lines that are still open meet the earlier ones of their keys. Settled lines
+   are met but meet none, so no pair is made within a settled family.
+6. Length, positional and parity filters (bits in which parity sketches differ bound the
+   words in which sets differ) drop pairs inside the join. None of the filters loses a
+   pair, so the join is exact. What is left is verified on the words themselves.
 
 Defined cases: a null text stays null and an empty text empty; a text whose lines all go
-becomes empty; short lines always stay. Null ids come first in the order. Rows that share
-id and text are treated alike: neither is later than the other. Other columns pass through.
+becomes empty; lines without words, or with fewer than ``min_words``, stay. Ids may be of any
+type with an order; null ids come first in it. Rows that share id and text are treated
+alike: neither is later than the other. Other columns pass through, whatever their names;
+the columns of ``details`` may not be there already (ValueError). An empty table gives an
+empty table. Very long texts are split into lines and words inside the JVM, one row at a
+time; a line's row in the join holds 48 bytes a key, whatever its length.
 """
 
 from __future__ import annotations
@@ -28,19 +35,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, free_name, materialize
+from .common import drop_materialized, free_name, materialize, tidy
 
 PERCENT = 80
-MIN_WORDS = 5
 #: Buckets of the word counts. A bucket holds a level: LEVELS for each doubling of the count.
 BUCKETS = 1 << 19
 LEVELS = 4
-#: Bits of the tables of ids that prefilter what is read again, by 64.
-FILTER_WORDS = 1 << 16
-#: Parts of a line's words for leaders, and the words that a part needs.
-PARTS, PART_WORDS = 4, 3
-_HASH_BITS = 40
-_MASK20 = (1 << 20) - 1
+#: Words whose bucket counts this often are frequent: keys in pairs only.
+FREQUENT = 1 << 10
+#: A key of frequent words has this many leaders.
+LEADERS = 16
+#: Up to so many words, one parity word tells sets apart as well as two.
+SHORT = 96
+#: Bits for each id in the table that tells which texts to read again, and most words of it.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 20
+_KEY_BITS = 56
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -56,41 +65,40 @@ def _split(text: str) -> Column:
     return F.split(plain, " ", -1)
 
 
-def _words(line: str) -> Column:
-    return F.array_remove(F.array_distinct(_split(line)), "")
+def _shift_left(value: Column, by: Column | int) -> Column:
+    return F.call_function("shiftleft", value, F.lit(by) if isinstance(by, int) else by)
 
 
-def _at(table: Column, place: Column) -> Column:
-    return F.get(table, place.cast("int"))
+def _one(place: Column) -> Column:
+    """A long with one bit set."""
+    return _shift_left(F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _dense(sparse: DataFrame, size: int, value: Column) -> Column:
+    """Array of ``size`` values from rows of (place, value), 0 where there is none, as a scalar."""
+    every = sparse.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("place"), F.lit(0).cast("bigint").alias("value"))
+    dense = sparse.unionByName(every).groupBy("place").agg(value.alias("value"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])).scalar()
 
 
 def _word_levels(docs: DataFrame) -> Column:
     """Rarity of the words of all texts by hash bucket: one array of fixed length."""
     words = docs.select(F.explode(_split("text")).alias("word"))
-    seen = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").alias("bucket"), F.lit(0).cast("bigint").alias("n"))
-    dense = seen.unionByName(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("n") + 1) * LEVELS).cast("tinyint").alias("n"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"])).scalar()
-
+    seen = words.select(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("place"), F.lit(1).cast("bigint").alias("value"))
+    return _dense(seen, BUCKETS, F.least(F.floor(F.log2(F.sum("value") + 1) * LEVELS), F.lit(127)).cast("tinyint"))
 
-def _bit(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_WORDS * 64))
 
+def _id_filter(ids: DataFrame, n: int) -> tuple[Column, int]:
+    """Bit table of the ids in all columns (false positives only), and its number of bits."""
+    size = min(FILTER_WORDS, 1 << max(10, (n * FILTER_BITS // 64).bit_length()))
+    bit = F.xxhash64(*ids.columns).bitwiseAND(F.lit(size * 64 - 1))
+    return _dense(ids.select(F.shiftright(bit, 6).alias("place"), _one(bit).alias("value")), size, F.bit_or("value")), size * 64
 
-def _id_filter(ids: DataFrame) -> Column:
-    """Bit table of fixed length of the ids in all columns; false positives only."""
-    bit = _bit(ids.columns)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
-    words = ids.groupBy((bit / 64).cast("bigint").alias("word")).agg(F.bit_or(one).alias("bits"))
-    every = ids.sparkSession.range(0, FILTER_WORDS, 1, 1).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
-    dense = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
 
-
-def _may_hold(table: Column, columns: list[str]) -> Column:
-    bit = _bit(columns)
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
-    return _at(table, bit / 64).bitwiseAND(mask) != 0
+def _may_hold(table: tuple[Column, int], columns: list[str]) -> Column:
+    bits, size = table
+    bit = F.xxhash64(*columns).bitwiseAND(F.lit(size - 1))
+    return F.get(bits, F.shiftright(bit, 6).cast("int")).bitwiseAND(_one(bit)) != 0
 
 
 def _least_size(n: Column, percent: int) -> Column:
@@ -99,131 +107,136 @@ def _least_size(n: Column, percent: int) -> Column:
 
 
 def _sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """For each line: two digests of its set, n, bits and its rarest words' keys.
+    """For each line: two digests of its set, n, the keys of its rarest words, parity bits.
 
-    All of it comes from one expression over the line's hashes, so that the optimizer moves
-    the scalar table of levels into it; as a column the table would be copied for every line.
+    A key holds the word's level above 56 bits of its hash, so that keys sort by rarity.
+    Two words of a line may share a key; both stay, which keeps the counts of shared keys
+    at least as high as those of shared words. The optimizer moves the scalar table of
+    levels into the one expression that reads it, as long as what it stands beside reads
+    ``hashes`` more than once; as a column the table would be copied for every line.
     """
-    mask = F.lit((1 << _HASH_BITS) - 1)
-    level = lambda h: F.get(F.col("levels"), F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("bigint")
-    key = lambda h: F.call_function("shiftleft", level(h), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-
-    def sketch(keys: Column) -> Column:
-        n = F.size(keys).cast("bigint")
-
-        def cell(own: Column, j: Column) -> Column:
-            """Of one part of the words: its digest, if it is large enough, and its parity bits."""
-            digest = F.when(F.size(own) >= PART_WORDS, F.xxhash64(j, own))
-            odd = F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(F.call_function("shiftright", k, F.lit(8)))))
-            return F.struct(digest.alias("part"), odd.alias("odd"))
-
-        def of_part(j: Column) -> Column:
-            own = F.filter(keys, lambda k: k.bitwiseAND(F.lit(PARTS - 1)) == j)
-            return F.transform(F.array(own), lambda o: cell(o, j)).getItem(0)
-
-        return F.struct(
-            F.xxhash64(keys).alias("d1"),
-            F.xxhash64(F.lit(17), keys).alias("d2"),
-            n.alias("n"),
-            F.slice(keys, F.lit(1), (n - _least_size(n, percent) + 1).cast("int")).alias("prefix"),
-            F.transform(F.array(*[F.lit(j) for j in range(PARTS)]), of_part).alias("cells"),
-        )
-
-    hashes = F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w))
-    lines = _lines(docs).select("doc", "hash", "line_no", hashes.alias("hashes")).withColumn("levels", _word_levels(docs))
-    keys = F.sort_array(F.array_distinct(F.transform("hashes", key)))
-    together = lines.select("doc", "hash", "line_no", F.transform(F.array(keys), sketch).getItem(0).alias("s"))
-    return together.select("doc", "hash", "line_no", "s.*")
+    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
+    key = lambda h: _shift_left(level(h), _KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
+
+    def odd(half: int) -> Column:
+        """Parity of the words of one half, by six bits of the key."""
+        mine = F.filter("keys", lambda k: k.bitwiseAND(F.lit(1 << 20)) == half << 20)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(_one(F.shiftright(k, 24))))
+
+    where = ["doc", "hash", "line_no"]
+    hashes = F.array_distinct(F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w)))
+    lines = _lines(docs).select(*where, F.sort_array(hashes).alias("hashes"))
+    lines = lines.select(*where, "hashes", F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(17), "hashes").alias("d2"), F.size("hashes").cast("bigint").alias("n"))
+    lines = lines.withColumn("levels", _word_levels(docs)).select(*where, "d1", "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
+    prefix = F.slice("keys", F.lit(1), F.least(F.col("n"), F.col("n") - _least_size(F.col("n"), percent) + 2).cast("int"))
+    return lines.select(*where, "d1", "d2", "n", prefix.alias("prefix"), odd(0).alias("q0"), odd(1).alias("q1"))
+
+
+def _keyed(classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each key of each class: (key, id, np, q0, q1).
+
+    ``np`` packs n, the place of the key's first word, and whether the key is of two words.
+    """
+    frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit((FREQUENT.bit_length() - 1) * LEVELS)
+    shorter = (F.col("n") - _least_size(F.col("n"), percent) + 1).cast("int")
+    spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i")))
+    rare = F.filter(F.slice(spots, F.lit(1), shorter), lambda x: ~frequent(x["k"]))
+    many = F.filter(spots, lambda x: frequent(x["k"]))
+    after = lambda all_, x: F.filter(all_, lambda y: y["i"] > x["i"])
+    pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"))
+    pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
+    keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
+    folded = F.col("n") < SHORT
+    q0, q1 = F.when(folded, F.col("q0").bitwiseXOR(F.col("q1"))).otherwise(F.col("q0")), F.when(folded, F.lit(0).cast("bigint")).otherwise(F.col("q1"))
+    rows = classes.select("id", "n", q0.alias("q0"), q1.alias("q1"), F.explode(keys).alias("x"))
+    return rows.select(F.col("x.k").alias("key"), "id", _shift_left(F.col("n"), 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Length and parity filters of two classes (n, bits)."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    # |A ^ B| (100 + p) <= (100 - p) (|A| + |B|) wherever 100 |A & B| >= p |A | B|.
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differing * (100 + percent) <= (na + nb) * (100 - percent))
-
-
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Positional filter of two prefix rows that share a word."""
-    na, nb, pa, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    need = F.floor(((na + nb) * percent + 99 + percent) / (100 + percent))  # ceil(p (na + nb) / (100 + p))
-    return F.lit(1) + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb) >= need
-
-
-def _odd_alike(percent: int) -> Column:
-    """The parity filter once more, with the bits of each part apart."""
-    differing = sum(F.bit_count(F.col("odd_a")[j].bitwiseXOR(F.col("odd_b")[j])) for j in range(PARTS))
-    return differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, done_a, done_b) of classes, the similar ones whose later one isn't settled:
-    (d1 of the later one, place of the earlier one)."""
-    of = lambda x: classes.select(F.col("d1").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("cells.odd").alias(f"odd_{x}"))
-    # A later line that is settled has nothing to gain from another pair.
-    settled = F.when(F.col("at_a") < F.col("at_b"), F.col("done_b")).otherwise(F.col("done_a"))
-    ends = pairs.join(of("a"), "a").join(of("b"), "b").filter(_odd_alike(percent) & ~settled)
-    ends = materialize(ends.select("at_a", "at_b", "a", "b"), "linepairs")
-    lines = ends.select("at_a.*").unionByName(ends.select("at_b.*")).distinct()
-    where = ["doc", "line_no", "hash"]
-    near = _lines(docs.filter(_may_hold(_id_filter(lines.select("doc")), ["doc"]))).filter(_may_hold(_id_filter(lines.select(*where)), where))
-    read = near.join(lines, where, "left_semi").select(F.struct(*where).alias("at"), _words("line").alias("words"))
+    """Length, parity and positional filters of two rows that share a key."""
+    of = lambda x, c: F.col(f"{x}.{c}")
+    na, nb = F.shiftright(of(a, "np"), 32), F.shiftright(of(b, "np"), 32)
+    pa, pb = (F.shiftright(of(x, "np").bitwiseAND(F.lit((1 << 32) - 1)), 1) for x in (a, b))
+    x0, x1 = of(a, "q0").bitwiseXOR(of(b, "q0")), of(a, "q1").bitwiseXOR(of(b, "q1"))
+    differing = F.when(F.least(na, nb) < SHORT, F.bit_count(x0.bitwiseXOR(x1))).otherwise(F.bit_count(x0) + F.bit_count(x1))
+    shared = F.lit(1) + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb)
+    return (
+        # |A ^ B| (100 + p) <= (100 - p) (|A| + |B|) wherever 100 |A & B| >= p |A | B|.
+        (differing * (100 + percent) <= (na + nb) * (100 - percent))
+        & (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+        & (shared * (100 + percent) >= (na + nb) * percent)
+    )
+
+
+def _verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: least id of an earlier one)."""
+    ends = materialize(pairs, "linepairs")
+    ids = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
+    where = ["doc", "hash", "line_no"]
+    wanted = materialize(places.select("id", *where).join(ids, "id"), "lineplaces")
+    n = wanted.count()
+    near = _lines(docs.filter(_may_hold(_id_filter(wanted.select("doc", "hash"), n), ["doc", "hash"])))
+    near = near.filter(_may_hold(_id_filter(wanted.select(*where), n), where))
     # Rows that share id and text give equal lines; one of them is enough.
-    words = materialize(read.dropDuplicates(["at"]), "linewords")
-    both = ends.join(words.select(F.col("at").alias("at_a"), F.col("words").alias("wa")), "at_a").join(words.select(F.col("at").alias("at_b"), F.col("words").alias("wb")), "at_b")
+    words = materialize(near.join(wanted, where).select("id", F.array_distinct(F.array_remove(_split("line"), "")).alias("words")).dropDuplicates(["id"]), "linewords")
+    both = ends.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent)
-    first = F.col("at_a") < F.col("at_b")
-    later = alike.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("d1"), F.least("at_a", "at_b").alias("earlier"))
-    out = materialize(later.groupBy("d1").agg(F.min("earlier").alias("earlier")), "linelinks")
-    drop_materialized(ends, words)
+    out = materialize(alike.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("earlier")), "linelinks")
+    drop_materialized(ends, wanted, words)
+    tidy(docs.sparkSession)
     return out
 
 
-def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1) -> DataFrame:
     """(doc, hash, line_no, earlier) of the lines of (doc, hash, text) that go.
 
     ``earlier``: the first line of its class for a repeat; else the first earlier line
-    found to be similar.
+    found to be similar. The table is the caller's to delete.
     """
+    spark = docs.sparkSession
     texts = docs.filter(F.col("text").isNotNull())
     # The filter stands behind the table: before it, Spark would work out the words twice.
     wide = materialize(_sketches(texts, percent), "linesketches")
-    lines = wide.filter(F.col("n") >= min_words)
+    tidy(spark)
+    lines = wide.filter(F.col("n") >= max(1, min_words))
     place = F.struct("doc", "line_no", "hash")
-    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "cells")])
-    bits = F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(c["odd"])).alias("bits")
-    classes = materialize(merged.select("*", bits), "lineclasses")
-    lines = materialize(lines.select("doc", "hash", "line_no", "d1", "d2"), "lines")
+    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "q0", "q1")])
+    # Ids in the order of places.
+    ordered = merged.select("at.*", "d1", "d2", "copies", "n", "prefix", "q0", "q1").repartitionByRange("doc", "line_no", "hash").sortWithinPartitions("doc", "line_no", "hash")
+    classes = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "lineclasses")
+    tidy(spark)
+    repeated = classes.filter("copies > 1").select("d1", "d2", F.struct("doc", "line_no", "hash").alias("earlier"))
+    repeats = lines.select("doc", "hash", "line_no", "d1", "d2").join(repeated, ["d1", "d2"]).filter(place != F.col("earlier"))
+    repeats = materialize(repeats.select("doc", "hash", "line_no", "earlier"), "linerepeats")
     drop_materialized(wide)
-    parted = classes.select("d1", "n", "bits", F.col("at.doc").alias("doc"), F.explode("cells.part").alias("part")).filter(F.col("part").isNotNull())
-    group = Window.partitionBy("part").orderBy("doc", "d1").rowsBetween(Window.unboundedPreceding, 0)
-    led = parted.withColumn("lead", F.first(F.struct("d1", "n", "bits")).over(group)).alias("m")
-    leaders = led.filter((F.col("lead.d1") != F.col("m.d1")) & _alike("m", "lead", percent)).select(F.col("m.d1").alias("a"), F.col("lead.d1").alias("b"), F.lit(False).alias("done_a"), F.lit(False).alias("done_b")).distinct()
-    settled = _verified(leaders, classes, texts, percent)
+
     # Sets so small that one word more or less is too much are similar to equal sets only.
-    open_ = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    flagged = open_.select("d1", "n", "bits", "prefix").join(settled.select("d1", F.lit(True).alias("done")), "d1", "left")
-    packed = F.call_function("shiftleft", F.col("n"), F.lit(20)).bitwiseOR(F.least(F.col("pos"), F.lit(_MASK20)).cast("bigint"))
-    rows = flagged.select("d1", "bits", F.coalesce("done", F.lit(False)).alias("done"), "n", F.posexplode("prefix").alias("pos", "word")).select("word", "d1", "bits", "done", packed.alias("np"))
-    rows = rows.repartition("word")
-    unpacked = rows.select("word", "d1", "bits", "done", F.shiftright("np", 20).alias("n"), F.col("np").bitwiseAND(F.lit(_MASK20)).alias("pos"))
-    u, v = unpacked.alias("u"), unpacked.alias("v")
-    met = u.join(v, (F.col("u.word") == F.col("v.word")) & (F.col("u.d1") < F.col("v.d1")) & ~(F.col("u.done") & F.col("v.done")) & _alike("u", "v", percent) & _fits("u", "v", percent))
-    found = _verified(met.select(F.col("u.d1").alias("a"), F.col("v.d1").alias("b"), F.col("u.done").alias("done_a"), F.col("v.done").alias("done_b")).distinct(), classes, texts, percent)
-    near = settled.unionByName(found).groupBy("d1").agg(F.min("earlier").alias("earlier"))
-    ends = classes.select("d1", "d2", "at").join(near, "d1", "left")
-    marked = lines.join(ends, ["d1", "d2"])
-    first = F.struct("doc", "line_no", "hash") == F.col("at")
-    out = marked.filter(F.col("earlier").isNotNull() | ~first).select("doc", "hash", "line_no", F.coalesce("earlier", "at").alias("earlier"))
-    out = materialize(out.distinct(), "linesgone")
-    drop_materialized(classes, lines, settled, found)
+    joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "prefix", "q0", "q1")
+    group = F.when(F.col("np").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", F.pmod("id", F.lit(LEADERS)))).otherwise(F.col("key"))
+    first = F.first(F.struct("id", "np", "q0", "q1")).over(Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    led = _keyed(joinable, percent).select(group.alias("group"), "id", "np", "q0", "q1").withColumn("lead", first).alias("m")
+    pairs = led.filter((F.col("lead.id") < F.col("m.id")) & _alike("lead", "m", percent)).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"))
+    settled = _verified(pairs.distinct(), classes, texts, percent)
+
+    maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
+    checked = joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left")
+    checked = materialize(checked, "linesettled")
+    open_ = _keyed(joinable.filter(~maybe).unionByName(checked.filter("done IS NULL").drop("done")), percent)
+    closed = _keyed(checked.filter("done"), percent)
+    meet = lambda u, v: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & (F.col("u.id") < F.col("v.id")) & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
+    found = _verified(meet(open_, open_).unionByName(meet(closed, open_)).distinct(), classes, texts, percent)
+
+    at = classes.select("id", "doc", "hash", "line_no")
+    of = at.select(F.col("id").alias("earlier"), F.struct("doc", "line_no", "hash").alias("earlier_at"))
+    near = settled.unionByName(found).join(at, "id").join(of, "earlier").select("doc", "hash", "line_no", F.col("earlier_at").alias("earlier"))
+    out = materialize(repeats.unionByName(near).distinct(), "linesgone")
+    drop_materialized(classes, repeats, settled, checked, found)
+    tidy(spark)
     return out
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS, details: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, min_words: int = 1, details: bool = False) -> DataFrame:
     """``docs`` with the later of similar lines cut out of ``text``.
 
     With ``details`` also n_lines, n_removed, removed_lines (places from 0) and
@@ -232,17 +245,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     clash = {c.lower() for c in docs.columns} & {"n_lines", "n_removed", "removed_lines", "matched_docs"} if details else ()
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    doc = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    # The id stands in a struct, in which nulls are equal and come first.
+    doc = F.struct(F.col(key).alias("of"))
     plain = docs.select(doc.alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     gone = duplicate_lines(plain, percent, min_words)
-    per_doc = materialize(
-        gone.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("line_no", F.col("earlier.doc").alias("of")))).alias("cut")), "linecuts"
-    )
+    per_doc = gone.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("line_no", F.col("earlier.doc.of").alias("of")))).alias("cut"))
+    per_doc = materialize(per_doc, "linecuts")
+    drop_materialized(gone)
     k, h, c = (free_name(docs, x) for x in ("doc", "text_h", "line_cut"))
     keyed = docs.withColumns({k: doc, h: F.xxhash64(text)})
     cut = per_doc.select(F.col("doc").alias(k), F.col("hash").alias(h), F.col("cut").alias(c))
-    # Only texts that may lose lines are moved.
-    touched = _may_hold(_id_filter(per_doc.select("doc")), [k])
+    # Only texts that lose lines are moved.
+    touched = _may_hold(_id_filter(cut.select(k, h), per_doc.count()), [k, h])
     untouched = keyed.filter(~touched).withColumn(c, F.lit(None).cast(cut.schema[c].dataType))
     joined = keyed.filter(touched).join(cut, [k, h], "left").unionByName(untouched)
     parts = F.split(text, "\n", -1)
@@ -252,7 +266,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
         F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(places, F.array().cast("array<int>")).alias("removed_lines"),
-        F.coalesce(F.transform(F.col(c), lambda x: x["of"]), F.array().cast("array<bigint>")).alias("matched_docs"),
+        F.coalesce(F.transform(F.col(c), lambda x: x["of"]), F.array().cast(f"array<{docs.schema[key].dataType.simpleString()}>")).alias("matched_docs"),
     ]
     body = F.when(F.col(c).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text)
     return joined.select(*(body if x == text else F.col(x) for x in docs.columns), *(extra if details else ()))

@@ -43,7 +43,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = linededup.dedup_lines(docs, min_words=1, details=True)
+    out = linededup.dedup_lines(docs, details=True)
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -141,7 +141,7 @@ WITH l AS (
          list_sort(list_distinct(list_filter(regexp_split_to_array(lower(parts[i]), '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS t(i)),
 classes AS (
-  SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS place FROM l WHERE len(w) >= 5 GROUP BY w),
+  SELECT w, len(w) AS n, min({'d': doc_id, 'l': line_no}) AS place FROM l WHERE len(w) >= 1 GROUP BY w),
 near AS (
   SELECT DISTINCT a.place
   FROM classes a JOIN classes b ON b.place < a.place AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
