@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -68,9 +69,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let shuffle files of finished plans go: they stay until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let shuffle files of finished plans go: they stay until the driver collects its garbage.
+
+    Python lets go of the JVM's objects in the background, so the first round may miss some.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.1)
+        spark._jvm.System.gc()
 
 
 def drop_materialized(*frames: DataFrame) -> None:

@@ -38,9 +38,8 @@ from pyspark.sql import functions as F
 from .common import drop_materialized, free_name, materialize, tidy
 
 PERCENT = 80
-#: Buckets of the word counts. A bucket holds a level: LEVELS for each doubling of the count.
+#: Buckets of the word counts. A bucket holds a level, one for each doubling of the count.
 BUCKETS = 1 << 19
-LEVELS = 4
 #: Words whose bucket counts this often are frequent: keys in pairs only.
 FREQUENT = 1 << 10
 #: A key of frequent words has this many leaders.
@@ -49,7 +48,9 @@ LEADERS = 16
 SHORT = 96
 #: Bits for each id in the table that tells which texts to read again, and most words of it.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 20
-_KEY_BITS = 56
+#: Blanks other than the plain one, and line ends.
+_BLANKS = "[\\t\\x0B\\f\\r\\n]"
+_KEY_BITS = 58
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -59,10 +60,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _split(text: str) -> Column:
     """Words of a text, with empty ones where blanks adjoin; one plain blank splits fastest."""
-    plain = F.lower(text)
-    for blank in "\t\x0b\f\r\n":
-        plain = F.replace(plain, F.lit(blank), F.lit(" "))
-    return F.split(plain, " ", -1)
+    return F.split(F.regexp_replace(F.lower(text), _BLANKS, " "), " ", -1)
 
 
 def _shift_left(value: Column, by: Column | int) -> Column:
@@ -85,7 +83,8 @@ def _word_levels(docs: DataFrame) -> Column:
     """Rarity of the words of all texts by hash bucket: one array of fixed length."""
     words = docs.select(F.explode(_split("text")).alias("word"))
     seen = words.select(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("place"), F.lit(1).cast("bigint").alias("value"))
-    return _dense(seen, BUCKETS, F.least(F.floor(F.log2(F.sum("value") + 1) * LEVELS), F.lit(127)).cast("tinyint"))
+    level = F.least(F.floor(F.log2(F.sum("value") + 1)), F.lit(31)).cast("bigint")
+    return _dense(seen, BUCKETS, _shift_left(level, _KEY_BITS))
 
 
 def _id_filter(ids: DataFrame, n: int) -> tuple[Column, int]:
@@ -109,14 +108,15 @@ def _least_size(n: Column, percent: int) -> Column:
 def _sketches(docs: DataFrame, percent: int) -> DataFrame:
     """For each line: two digests of its set, n, the keys of its rarest words, parity bits.
 
-    A key holds the word's level above 56 bits of its hash, so that keys sort by rarity.
+    A key holds the word's level above 58 bits of its hash, so that keys sort by rarity.
     Two words of a line may share a key; both stay, which keeps the counts of shared keys
-    at least as high as those of shared words. The optimizer moves the scalar table of
-    levels into the one expression that reads it, as long as what it stands beside reads
-    ``hashes`` more than once; as a column the table would be copied for every line.
+    at least as high as those of shared words. The first digest is of the keys, the second
+    of whole hashes. The optimizer moves the scalar table of levels into the one expression
+    that reads it, as long as what it stands beside reads ``hashes`` more than once; as a
+    column the table would be copied for every line.
     """
-    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
-    key = lambda h: _shift_left(level(h), _KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
+    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint"))
+    key = lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
 
     def odd(half: int) -> Column:
         """Parity of the words of one half, by six bits of the key."""
@@ -124,20 +124,22 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
         return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(_one(F.shiftright(k, 24))))
 
     where = ["doc", "hash", "line_no"]
-    hashes = F.array_distinct(F.transform(F.array_remove(_split("line"), ""), lambda w: F.xxhash64(w)))
-    lines = _lines(docs).select(*where, F.sort_array(hashes).alias("hashes"))
-    lines = lines.select(*where, "hashes", F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(17), "hashes").alias("d2"), F.size("hashes").cast("bigint").alias("n"))
-    lines = lines.withColumn("levels", _word_levels(docs)).select(*where, "d1", "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
+    hashes = F.array_distinct(F.transform(_split("line"), lambda w: F.xxhash64(w)))
+    lines = _lines(docs).select(*where, F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("hashes"))
+    folded = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h))
+    lines = lines.select(*where, "hashes", folded.alias("d2"), F.size("hashes").cast("bigint").alias("n"))
+    lines = lines.withColumn("levels", _word_levels(docs)).select(*where, "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
     prefix = F.slice("keys", F.lit(1), F.least(F.col("n"), F.col("n") - _least_size(F.col("n"), percent) + 2).cast("int"))
-    return lines.select(*where, "d1", "d2", "n", prefix.alias("prefix"), odd(0).alias("q0"), odd(1).alias("q1"))
+    return lines.select(*where, F.xxhash64("keys").alias("d1"), "d2", "n", prefix.alias("prefix"), odd(0).alias("q0"), odd(1).alias("q1"))
 
 
-def _keyed(classes: DataFrame, percent: int) -> DataFrame:
-    """A row for each key of each class: (key, id, np, q0, q1).
+def _keyed(classes: DataFrame, percent: int, sampled: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each key of each class: (key, id, np, q0, q1, and the columns ``more``).
 
     ``np`` packs n, the place of the key's first word, and whether the key is of two words.
+    With ``sampled``, only the keys that have two bits unset.
     """
-    frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit((FREQUENT.bit_length() - 1) * LEVELS)
+    frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit(FREQUENT.bit_length() - 1)
     shorter = (F.col("n") - _least_size(F.col("n"), percent) + 1).cast("int")
     spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i")))
     rare = F.filter(F.slice(spots, F.lit(1), shorter), lambda x: ~frequent(x["k"]))
@@ -146,10 +148,12 @@ def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"))
     pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
     keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
+    if sampled:
+        keys = F.filter(keys, lambda x: F.shiftright(x["k"], 40).bitwiseAND(F.lit(3)) == 0)
     folded = F.col("n") < SHORT
     q0, q1 = F.when(folded, F.col("q0").bitwiseXOR(F.col("q1"))).otherwise(F.col("q0")), F.when(folded, F.lit(0).cast("bigint")).otherwise(F.col("q1"))
-    rows = classes.select("id", "n", q0.alias("q0"), q1.alias("q1"), F.explode(keys).alias("x"))
-    return rows.select(F.col("x.k").alias("key"), "id", _shift_left(F.col("n"), 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1")
+    rows = classes.select("id", "n", *more, q0.alias("q0"), q1.alias("q1"), F.explode(keys).alias("x"))
+    return rows.select(F.col("x.k").alias("key"), "id", _shift_left(F.col("n"), 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", *more)
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -168,21 +172,23 @@ def _alike(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: least id of an earlier one)."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: the first place found)."""
     ends = materialize(pairs, "linepairs")
     ids = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
     where = ["doc", "hash", "line_no"]
-    wanted = materialize(places.select("id", *where).join(ids, "id"), "lineplaces")
+    wanted = materialize(classes.select("id", "at", "at.*").join(ids, "id"), "lineplaces")
     n = wanted.count()
     near = _lines(docs.filter(_may_hold(_id_filter(wanted.select("doc", "hash"), n), ["doc", "hash"])))
     near = near.filter(_may_hold(_id_filter(wanted.select(*where), n), where))
     # Rows that share id and text give equal lines; one of them is enough.
-    words = materialize(near.join(wanted, where).select("id", F.array_distinct(F.array_remove(_split("line"), "")).alias("words")).dropDuplicates(["id"]), "linewords")
-    both = ends.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    words = F.array_distinct(F.array_remove(_split("line"), ""))
+    words = materialize(near.join(wanted, where).select("id", "at", words.alias("words")).dropDuplicates(["id"]), "linewords")
+    both = ends.join(words.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent)
-    out = materialize(alike.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("earlier")), "linelinks")
+    later = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"), F.least("at_a", "at_b").alias("earlier"))
+    out = materialize(later.groupBy("id").agg(F.min("earlier").alias("earlier")), "linelinks")
     drop_materialized(ends, wanted, words)
     tidy(docs.sparkSession)
     return out
@@ -202,34 +208,34 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     lines = wide.filter(F.col("n") >= max(1, min_words))
     place = F.struct("doc", "line_no", "hash")
     merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "q0", "q1")])
-    # Ids in the order of places.
-    ordered = merged.select("at.*", "d1", "d2", "copies", "n", "prefix", "q0", "q1").repartitionByRange("doc", "line_no", "hash").sortWithinPartitions("doc", "line_no", "hash")
-    classes = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "lineclasses")
+    classes = materialize(merged.withColumn("id", F.xxhash64("d1", "d2")), "lineclasses")
     tidy(spark)
-    repeated = classes.filter("copies > 1").select("d1", "d2", F.struct("doc", "line_no", "hash").alias("earlier"))
+    repeated = classes.filter("copies > 1").select("d1", "d2", F.col("at").alias("earlier"))
     repeats = lines.select("doc", "hash", "line_no", "d1", "d2").join(repeated, ["d1", "d2"]).filter(place != F.col("earlier"))
     repeats = materialize(repeats.select("doc", "hash", "line_no", "earlier"), "linerepeats")
     drop_materialized(wide)
 
     # Sets so small that one word more or less is too much are similar to equal sets only.
-    joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "prefix", "q0", "q1")
+    joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "at", "n", "prefix", "q0", "q1")
     group = F.when(F.col("np").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", F.pmod("id", F.lit(LEADERS)))).otherwise(F.col("key"))
-    first = F.first(F.struct("id", "np", "q0", "q1")).over(Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    led = _keyed(joinable, percent).select(group.alias("group"), "id", "np", "q0", "q1").withColumn("lead", first).alias("m")
-    pairs = led.filter((F.col("lead.id") < F.col("m.id")) & _alike("lead", "m", percent)).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"))
+    first = F.first(F.struct("id", "np", "q0", "q1")).over(Window.partitionBy("group").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = _keyed(joinable, percent, sampled=True, more=("at",)).select(group.alias("group"), "id", "np", "q0", "q1", "at")
+    led = rows.withColumn("lead", first).alias("m")
+    pairs = led.filter((F.col("lead.id") != F.col("m.id")) & _alike("lead", "m", percent)).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"))
     settled = _verified(pairs.distinct(), classes, texts, percent)
 
     maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
-    checked = joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left")
-    checked = materialize(checked, "linesettled")
+    checked = materialize(joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left"), "linesettled")
     open_ = _keyed(joinable.filter(~maybe).unionByName(checked.filter("done IS NULL").drop("done")), percent)
     closed = _keyed(checked.filter("done"), percent)
-    meet = lambda u, v: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & (F.col("u.id") < F.col("v.id")) & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
-    found = _verified(meet(open_, open_).unionByName(meet(closed, open_)).distinct(), classes, texts, percent)
-
-    at = classes.select("id", "doc", "hash", "line_no")
-    of = at.select(F.col("id").alias("earlier"), F.struct("doc", "line_no", "hash").alias("earlier_at"))
-    near = settled.unionByName(found).join(at, "id").join(of, "earlier").select("doc", "hash", "line_no", F.col("earlier_at").alias("earlier"))
+    meet = lambda u, v, which: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & which & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
+    # Both conditions tell Spark that ids aren't null, so that all three uses of the open rows share one exchange.
+    met = meet(open_, open_, F.col("u.id") < F.col("v.id")).unionByName(meet(closed, open_, F.col("u.id") != F.col("v.id")))
+    found = _verified(met.distinct(), classes, texts, percent)
+
+    # A settled line that was met again may turn out to be the later one; it has its partner already.
+    links = settled.unionByName(found.join(settled.select("id"), "id", "left_anti"))
+    near = links.join(classes.select("id", "at"), "id").select("at.*", "earlier").select("doc", "hash", "line_no", "earlier")
     out = materialize(repeats.unionByName(near).distinct(), "linesgone")
     drop_materialized(classes, repeats, settled, checked, found)
     tidy(spark)
