@@ -13,10 +13,11 @@ goes itself doesn't matter, so the result doesn't depend on any order of work.
    one more. A rare word is a key by itself. A frequent one would gather a group that grows
    with the corpus, so frequent words of the longer prefix are keys in pairs: if the first
    word that two sets share is frequent, so is the second.
-4. Leaders: lines of one key meet the first of them. Those that verify are settled, and
-   families of near copies are settled at a cost in proportion to them.
-5. Join: the lines that are still open meet the earlier ones of their keys. Settled lines
-   are met but meet none, so no pair is made within a settled family.
+4. Leaders: lines that share two words, of three chosen by hash from the longer prefix, meet
+   the first of them. Those that verify are settled, and families of near copies are
+   settled at a cost in proportion to them.
+5. Join: open lines meet each other, and the settled ones before them. Settled lines meet
+   none, so no pair is made within a settled family.
 6. Length, positional and parity filters (bits in which parity sketches differ bound the
    words in which sets differ) drop pairs inside the join. None of the filters loses a
    pair, so the join is exact. What is left is verified on the words themselves.
@@ -32,8 +33,9 @@ time; a line's row in the join holds 48 bytes a key, whatever its length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from .common import drop_materialized, free_name, materialize, tidy
 
@@ -42,8 +44,8 @@ PERCENT = 80
 BUCKETS = 1 << 19
 #: Words whose bucket counts this often are frequent: keys in pairs only.
 FREQUENT = 1 << 10
-#: A key of frequent words has this many leaders.
-LEADERS = 16
+#: Words whose pairs are a line's leader keys.
+LEAST = 3
 #: Up to so many words, one parity word tells sets apart as well as two.
 SHORT = 96
 #: Bits for each id in the table that tells which texts to read again, and most words of it.
@@ -133,11 +135,46 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
     return lines.select(*where, F.xxhash64("keys").alias("d1"), "d2", "n", prefix.alias("prefix"), odd(0).alias("q0"), odd(1).alias("q1"))
 
 
-def _keyed(classes: DataFrame, percent: int, sampled: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each key of each class: (key, id, np, q0, q1, and the columns ``more``).
+def _folded(classes: DataFrame) -> tuple[Column, Column]:
+    """Parity words: for short sets one of all words, and 0."""
+    short = F.col("n") < SHORT
+    return F.when(short, F.col("q0").bitwiseXOR(F.col("q1"))).otherwise(F.col("q0")).alias("q0"), F.when(short, F.lit(0).cast("bigint")).otherwise(F.col("q1")).alias("q1")
+
+
+def _order(doc: str, kind: DataType) -> Column:
+    """A long that never falls as the id in ``doc`` rises, nulls first."""
+    value = F.col(f"{doc}.of")
+    if isinstance(kind, IntegralType):
+        value = value.cast("bigint")
+    elif isinstance(kind, StringType):
+        value = F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    else:
+        value = F.lit(0).cast("bigint")
+    return F.coalesce(value, F.lit(-(1 << 63)).cast("bigint"))
+
+
+def _led(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the first class of a leader key and another class of that key.
+
+    Leader keys are the pairs among the three words of the prefix with the least hashes,
+    so that near copies choose the same ones more often than not.
+    """
+    least = F.slice(F.sort_array(F.transform("prefix", lambda k: F.xxhash64(k))), 1, LEAST)
+    picked = classes.select("id", "at", F.shiftleft("n", 32).alias("np"), *_folded(classes), least.alias("w"))
+    two = lambda i, j: F.xxhash64(F.get("w", F.lit(i)), F.get("w", F.lit(j)))
+    keys = F.array(*[two(i, j) for j in range(LEAST) for i in range(j)])
+    rows = picked.select("id", "at", "np", "q0", "q1", F.explode(F.slice(keys, F.lit(1), F.expr("int(size(w) * (size(w) - 1) / 2)"))).alias("key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("at", "id", "np", "q0", "q1")).alias("lead"), F.count("*").alias("members"))
+    first = first.filter("members > 1").select("key", "lead.id", "lead.np", "lead.q0", "lead.q1").alias("lead")
+    m = rows.drop("at").alias("m")
+    met = m.join(first, (F.col("m.key") == F.col("lead.key")) & (F.col("m.id") != F.col("lead.id")) & _alike("lead", "m", percent))
+    return met.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct()
+
+
+def _keyed(classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each key of each class: (key, id, ord, np, q0, q1).
 
     ``np`` packs n, the place of the key's first word, and whether the key is of two words.
-    With ``sampled``, only the keys that have two bits unset.
     """
     frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit(FREQUENT.bit_length() - 1)
     shorter = (F.col("n") - _least_size(F.col("n"), percent) + 1).cast("int")
@@ -148,12 +185,8 @@ def _keyed(classes: DataFrame, percent: int, sampled: bool = False, more: tuple[
     pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"))
     pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
     keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
-    if sampled:
-        keys = F.filter(keys, lambda x: F.shiftright(x["k"], 40).bitwiseAND(F.lit(3)) == 0)
-    folded = F.col("n") < SHORT
-    q0, q1 = F.when(folded, F.col("q0").bitwiseXOR(F.col("q1"))).otherwise(F.col("q0")), F.when(folded, F.lit(0).cast("bigint")).otherwise(F.col("q1"))
-    rows = classes.select("id", "n", *more, q0.alias("q0"), q1.alias("q1"), F.explode(keys).alias("x"))
-    return rows.select(F.col("x.k").alias("key"), "id", _shift_left(F.col("n"), 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", *more)
+    rows = classes.select("id", "ord", "n", *_folded(classes), F.explode(keys).alias("x"))
+    return rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -216,21 +249,18 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     drop_materialized(wide)
 
     # Sets so small that one word more or less is too much are similar to equal sets only.
-    joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "at", "n", "prefix", "q0", "q1")
-    group = F.when(F.col("np").bitwiseAND(F.lit(1)) == 1, F.xxhash64("key", F.pmod("id", F.lit(LEADERS)))).otherwise(F.col("key"))
-    first = F.first(F.struct("id", "np", "q0", "q1")).over(Window.partitionBy("group").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    rows = _keyed(joinable, percent, sampled=True, more=("at",)).select(group.alias("group"), "id", "np", "q0", "q1", "at")
-    led = rows.withColumn("lead", first).alias("m")
-    pairs = led.filter((F.col("lead.id") != F.col("m.id")) & _alike("lead", "m", percent)).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b"))
-    settled = _verified(pairs.distinct(), classes, texts, percent)
+    joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    joinable = joinable.select("id", "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), "n", "prefix", "q0", "q1")
+    settled = _verified(_led(joinable, percent), classes, texts, percent)
 
     maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
     checked = materialize(joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left"), "linesettled")
     open_ = _keyed(joinable.filter(~maybe).unionByName(checked.filter("done IS NULL").drop("done")), percent)
     closed = _keyed(checked.filter("done"), percent)
+    # Both joins read the same columns under the same filters, so that all uses of the open rows share one exchange.
+    not_after = (F.col("u.id") != F.col("v.id")) & (F.col("u.ord") <= F.col("v.ord"))
     meet = lambda u, v, which: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & which & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
-    # Both conditions tell Spark that ids aren't null, so that all three uses of the open rows share one exchange.
-    met = meet(open_, open_, F.col("u.id") < F.col("v.id")).unionByName(meet(closed, open_, F.col("u.id") != F.col("v.id")))
+    met = meet(open_, open_, not_after & ((F.col("u.ord") < F.col("v.ord")) | (F.col("u.id") < F.col("v.id")))).unionByName(meet(closed, open_, not_after))
     found = _verified(met.distinct(), classes, texts, percent)
 
     # A settled line that was met again may turn out to be the later one; it has its partner already.
