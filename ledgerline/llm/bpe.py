@@ -12,10 +12,12 @@ tree, without encoding anything.
 
 Texts are cut as the vocabulary file's pre-tokenizer does; special tokens that occur in a
 text are single ids. Unseen pieces are encoded in sorted order, so that pieces share the
-work on common prefixes, and each worker remembers a bounded number of them.
+work on common prefixes, and each worker remembers a bounded number of bytes of them.
 
 Defined cases: null texts count as empty; empty texts have no ids and decode to ''.
 Very long texts are linear in time; a text without any cut is one piece and still linear.
+Other columns pass through; the added ones may not be there already (ValueError). An empty
+table gives an empty table; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -29,15 +31,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, text_runs
+from .common import resident, ship, text_runs
 
 #: Cuts of the byte-level pre-tokenizer (fixed value of the vocabulary's format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank next to other white space or at an end of the text; a blank that is neither.
 _LOOSE = re.compile(r"\s | \s|^ | $")
 _TIGHT = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks that a worker remembers, about; then it starts anew.
-MEMORY = 250_000
+#: Bytes of chunks and their ids that a worker remembers, about; then it starts anew.
+MEMORY = 96 << 20
+#: Of these for each chunk besides its letters, and for each tested pair of tokens.
+_CHUNK, _PAIR = 320, 160
 #: Texts of about so many bytes are encoded together.
 TOGETHER = 2 << 20
 
@@ -89,6 +93,7 @@ class BpeModel:
         self._cut_special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.cut = regex.compile(PIECES)
         self.memory: dict[str | int, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
         """States are token prefixes; ``ends``: longest token that ends in a state, ``shorter``: the next token that ends there."""
@@ -155,7 +160,7 @@ class BpeModel:
         return to
 
     def _fit(self, left: int, right: int) -> bool:
-        if len(self.fits) > 2 * MEMORY:
+        if len(self.fits) * _PAIR > MEMORY:
             self.fits.clear()
         ok = self.fits[left << 20 | right] = self.compatible(left, right)
         return ok
@@ -216,15 +221,17 @@ class BpeModel:
         """For each text, what its chunks encode to: (decimal ids, their number, the bytes they decode to)."""
         cut = [[c for chunk in self.chunks(t) for c in chunk] for t in texts]
         own = self.memory
-        if len(own) > MEMORY:
+        if self.held > MEMORY:
             own.clear()
+            self.held = 0
         fresh = {c for chunks in cut for c in chunks} - own.keys()
         split = {c: self.cut.findall(c) if isinstance(c, str) else (c,) for c in fresh}
         pieces = sorted({p.encode() for ps in split.values() for p in ps if isinstance(p, str)})
         ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         for c, ps in split.items():
             found = [i for p in ps for i in (ids[p.encode()] if isinstance(p, str) else (p,))]
-            own[c] = (",".join(map(str, found)), len(found), b"".join(map(self.text.__getitem__, found)))
+            own[c] = kept = (",".join(map(str, found)), len(found), b"".join(map(self.text.__getitem__, found)))
+            self.held += _CHUNK + len(kept[0]) + 2 * len(kept[2])
         return [list(map(own.__getitem__, chunks)) for chunks in cut]
 
     def encode(self, text: str) -> list[int]:
@@ -234,16 +241,9 @@ class BpeModel:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_MODELS: dict[str, BpeModel] = {}
-
-
 def load_model(source: str) -> BpeModel:
     """The model of a vocabulary file's text, built once in each process."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = BpeModel(source)
-    return _MODELS[key]
+    return resident(("bpe", hashlib.sha256(source.encode()).hexdigest()), lambda: BpeModel(source))
 
 
 def _broadcast(spark: SparkSession, path: str | None):

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 #: Texts of one Arrow batch are handled in runs of about this many bytes, so memory
@@ -52,11 +56,16 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a folder of our own only where none is set."""
+    """The folder that all executors see; a folder of our own only in local mode with none set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else _own_dir()
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            root = found.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            root = _own_dir()
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -89,6 +98,20 @@ def drop_materialized(*frames: DataFrame) -> None:
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, build: Callable[[], T]) -> T:
+    """What ``build`` returns, kept in a Python worker until another key is asked for.
+
+    Workers outlive their tasks; so at most one operator's model stays in memory.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]  # type: ignore[return-value]
+
+
 def text_runs(batches: Iterable[pa.RecordBatch], text: str, run_bytes: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each piece stay near ``run_bytes``."""
     for batch in batches:
@@ -113,3 +136,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed to free ones, and the new name of each."""
+    wanted = {n.lower() for n in names}
+    renamed = {c: free_name(df, f"{c}_given") for c in df.columns if c.lower() in wanted}
+    return df.withColumnsRenamed(renamed), renamed
