@@ -10,15 +10,20 @@ and a text's code length is an exact sum, for every byte of the text. The langua
 the shortest code wins; ties go to the first name.
 
 Training reads a bounded sample: about ``SAMPLE`` documents a language, chosen by a hash
-of the id; the tree keeps the ``NODES`` nodes with the highest counts over all languages.
-Both bounds are parameters; the model's size follows from them and the number of languages.
+of the id; of each language the ``NODES`` nodes with the highest counts are kept, so that no
+language loses nodes because others are learned. Both bounds are parameters; the model's
+size follows from them and the number of languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no
-training rows everything is ``und``. Repeated rows get equal results.
+training rows everything is ``und``. Repeated rows get equal results. Very long texts are
+coded whole, a few million bytes at a time. Other columns pass through, whatever their
+names; the three added ones may not be there already (ValueError). An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,18 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_runs
+from .common import free_name, resident, set_aside, ship, text_runs
 
 #: Training documents of a language, about.
 SAMPLE = 500
-#: Nodes of the context tree, for all languages together.
-NODES = 3000
+#: Nodes of a language's context tree.
+NODES = 2000
 DEPTH = 3
 UNKNOWN = "und"
-#: A text that costs more bits a byte than this under its best language is in none of them.
-REJECT_BITS = 8.0
-#: Texts of fewer bytes are too short to be told from noise that way.
-REJECT_BYTES = 64
+#: A text is in no language if plain bytes, at 8 bits each and so many bits for saying so, are a shorter code.
+REJECT_BITS = 64.0
 _TOGETHER = 1 << 20
 
 
@@ -116,15 +119,12 @@ def _order(grams: np.ndarray, n: np.ndarray, order: int) -> dict[int, dict[int,
 
 def _freeze(languages: tuple[str, ...], per_language: list[tuple[np.ndarray, np.ndarray]], nodes: int) -> LanguageModel:
     tables = [[_order(g, n, k) for k in range(DEPTH + 1)] for g, n in per_language]
-    weight: dict[tuple[int, int], float] = {}
+    union = {(0, 0)}
     for t in tables:
-        for order, contexts in enumerate(t):
-            for c, after in contexts.items():
-                weight[order, c] = weight.get((order, c), 0) + sum(after.values())
-    weight.setdefault((0, 0), 0)
-    # A node counts no more often than its suffix, so a suffix is kept wherever the node is.
-    kept = sorted(weight, key=lambda x: (-weight[x], x))[: max(1, nodes)]
-    kept.sort()
+        # A node counts no more often than its suffix, so a suffix is kept wherever the node is.
+        weight = {(order, c): sum(after.values()) for order, contexts in enumerate(t) for c, after in contexts.items()}
+        union.update(sorted(weight, key=lambda x: (-weight[x], x))[: max(1, nodes)])
+    kept = sorted(union)
     number = {x: i for i, x in enumerate(kept)}
     bits = np.empty((len(kept), 256, len(languages)), dtype=np.float64)
     for l, t in enumerate(tables):
@@ -168,7 +168,6 @@ def code_lengths(model: LanguageModel, deepest: np.ndarray, texts: list[str]) ->
     return out, sizes
 
 
-
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` plus lang_pred, score (posterior at equal priors) and bits_per_byte of the best language."""
     spark = df.sparkSession
@@ -176,14 +175,13 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
     added = {"lang_pred": "string", "score": "double", "bits_per_byte": "double"}
     if clash := {c.lower() for c in df.columns} & set(added):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    frozen = spark.sparkContext.broadcast(model)
-    mark = "has_letter__"
+    frozen, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    mark = free_name(df, "has_letter")
     keep = [c for c in df.columns if keep_text or c != text]
     source = df.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = frozen.value
-        deepest = node_table(m.nodes)
+        m, deepest = resident(("langid", token), lambda: (frozen.value, node_table(frozen.value.nodes)))
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in text_runs(batches, text, _TOGETHER):
             bits, sizes = code_lengths(m, deepest, [t or "" for t in batch.column(text).to_pylist()])
@@ -203,6 +201,12 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", max_bits: float = REJECT_BITS) -> DataFrame:
-    """Rows whose language is known: not ``und``, and not a long text that costs over ``max_bits`` bits a byte."""
-    foreign = (F.col("bits_per_byte") > max_bits) & (F.octet_length(text) >= REJECT_BYTES)
-    return predict(docs, model, text).filter((F.col("lang_pred") != UNKNOWN) & ~foreign).select(*docs.columns)
+    """Rows whose language is known: not ``und``, and not better coded as plain bytes by over ``max_bits`` bits.
+
+    The columns of :func:`predict` that ``docs`` has already are carried along under other names.
+    """
+    plain, aside = set_aside(docs, "lang_pred", "score", "bits_per_byte")
+    found = predict(plain, model, text)
+    foreign = (F.col("bits_per_byte") - 8) * F.octet_length(text) > max_bits
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign)
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
