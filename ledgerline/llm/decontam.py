@@ -12,8 +12,11 @@ leaves all documents clean. Very long texts stream in one pass with memory in pr
 to their own length.
 
 The automaton is broadcast in blocks of at most ``max_words`` benchmark words (a state
-takes under 1 kB); a larger benchmark is cut into several blocks, each streamed against
-in turn inside the same scan, so the broadcast of a block has a fixed bound.
+takes under 1 kB). A larger benchmark is cut into several blocks, and a longer item into
+parts that overlap by a window less one word. Each block is a pass of its own over the
+documents, written to the shared folder, so that a worker never holds more than one block.
+Columns that :func:`find_contamination` adds may not be there already (ValueError); other
+columns pass through. ``longest_match`` tells matches of a window or more; it is 0 else.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_runs
+from .common import drop_materialized, free_name, materialize, resident, ship, text_runs
 
 WINDOW = 10
 #: Benchmark words in one block.
@@ -170,18 +173,21 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, item: str, text: str, max_words: int, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items with their words, read one partition at a time, in blocks of bounded size."""
     rows = benchmark.filter(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string"), text)
     block: list[tuple[str, list[bytes]]] = []
     size = 0
+    longest = max(max_words, 2 * window)
     for name, body in rows.toLocalIterator():
-        seq = words(body)
-        if block and size + len(seq) > max_words:
-            yield block
-            block, size = [], 0
-        block.append((name, seq))
-        size += len(seq)
+        whole = words(body)
+        for start in range(0, max(1, len(whole) - window + 1), longest - window + 1):
+            seq = whole[start : start + longest]
+            if block and size + len(seq) > max_words:
+                yield block
+                block, size = [], 0
+            block.append((name, seq))
+            size += len(seq)
     if block:
         yield block
 
@@ -209,49 +215,61 @@ def find_contamination(
         added["covered"] = "boolean"
     if clash := {c.lower() for c in documents.columns} & set(added):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item, item_text, max_words)]
-    keep = [c for c in documents.columns if c != text]
-    key = uuid.uuid4().hex
+    given = documents.columns
+    held = free_name(documents, "found_so_far")
+    passes = list(item_blocks(benchmark, item, item_text, max_words, window)) or [[]]
+    df, written = documents, []
+    for block in passes[:-1]:
+        df = materialize(_pass(df, block, text, held, given, added, window, max_coverage, cleaned, last=False), "decontam")
+        drop_materialized(*written)
+        written = [df]
+    return _pass(df, passes[-1], text, held, given, added, window, max_coverage, cleaned, last=True)
+
+
+#: Spans hit by earlier passes, items they found and the longest match.
+_HELD = "struct<spans:array<struct<a:bigint,b:bigint>>,items:array<string>,longest:bigint>"
+_HELD_ARROW = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+
+
+def _pass(df: DataFrame, block: list, text: str, held: str, given: list[str], added: dict[str, str], window: int, max_coverage: float, cleaned: bool, last: bool) -> DataFrame:
+    """Streams all texts through one block: what was found so far, or with ``last`` the result."""
+    frozen, key = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    more = held in df.columns
+    keep = [c for c in given if c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _built(key, blocks, window)
+        automaton = resident(("decontam", key), lambda: ItemAutomaton(frozen.value, window))
         for batch in text_runs(batches, text):
+            before = batch.column(held).to_pylist() if more else [None] * batch.num_rows
             rows, texts = [], []
-            for t in batch.column(text).to_pylist():
+            for t, old in zip(batch.column(text).to_pylist(), before, strict=True):
                 seq = words(t)
-                spans: list[tuple[int, int]] = []
-                found: set[str] = set()
-                longest = 0
-                for a in automata:
-                    s, f, n = a.scan(seq)
-                    spans += s
-                    found |= f
-                    longest = max(longest, n)
+                spans, found, longest = automaton.scan(seq)
+                if old:
+                    spans = [*spans, *((x["a"], x["b"]) for x in old["spans"])]
+                    found, longest = found | set(old["items"]), max(longest, old["longest"])
                 # A long window may reach back over several spans, of the same block too.
                 spans = merge_spans(spans)
+                if not last:
+                    rows.append({"spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(found), "longest": longest})
+                    continue
                 hit = sum(b - a for a, b in spans)
                 rows.append((len(seq), hit, sorted(found), longest))
                 if cleaned:
                     rows[-1] += (hit > max_coverage * len(seq),)
                     texts.append(without(t, spans) if spans else t)
+            own = [batch.column(k) for k in keep]
+            if not last:
+                yield pa.RecordBatch.from_arrays([*own, batch.column(text), pa.array(rows, type=_HELD_ARROW)], names=[*keep, text, held])
+                continue
             types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()] + [pa.bool_()] * cleaned
             columns = [pa.array([r[k] for r in rows], type=ty) for k, ty in enumerate(types)]
             body = pa.array(texts, type=pa.string()) if cleaned else batch.column(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), body, *columns], names=[*keep, text, *added])
-
-    fields = [f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in [*keep, text]]
-    return documents.select(*keep, text).mapInArrow(run, ", ".join(fields + [f"{k} {v}" for k, v in added.items()]))
-
-
-_AUTOMATA: dict[str, list[ItemAutomaton]] = {}
-
+            yield pa.RecordBatch.from_arrays([*own, body, *columns], names=[*keep, text, *added])
 
-def _built(key: str, blocks: list, window: int) -> list[ItemAutomaton]:
-    """Automata of the broadcast blocks, built once in each Python worker."""
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = [ItemAutomaton(b.value, window) for b in blocks]
-    return _AUTOMATA[key]
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keep, text]]
+    fields += [f"{k} {v}" for k, v in added.items()] if last else [f"`{held}` {_HELD}"]
+    return df.select(*keep, text, *([held] if more else [])).mapInArrow(run, ", ".join(fields))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
