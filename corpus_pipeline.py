@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Defined cases, for every stage: an empty table gives an empty table of the same columns.
+Null texts have no language and go in the first stage; a stage that is given them by itself
+drops them too, but for near_dedup, which keeps each, and encode, which encodes them as
+empty. Null ids come before all others. Very long texts are handled whole; repeated rows
+get equal results, and near_dedup keeps all rows of a kept id. Extra columns pass through,
+under their own names in all stages but the last, where a column that has the name of one
+of its results is called ``<name>_given``. ``n_chars`` is renewed where there is one.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, decontam, langid, linededup, minhash
-from ledgerline.llm.common import id_bucket, materialize, table
+from ledgerline.llm.common import drop_materialized, id_bucket, materialize, set_aside, table, tidy
 
 #: A text goes in whole if more than this share of its words are benchmark words.
 MAX_COVERAGE = 0.5
@@ -25,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out lines similar to earlier ones; documents that lose all their lines go."""
     cut = linededup.dedup_lines(docs)
-    return _counted(cut.filter(F.trim("text") != ""))
+    return _counted(cut.filter(F.col("text").rlike(r"\S")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +45,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out benchmark passages; a document that they cover for the most part goes."""
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), cleaned=True, max_coverage=MAX_COVERAGE)
-    return _counted(found.filter(~F.col("covered")).select(*docs.columns))
+    plain, aside = set_aside(docs, "n_words", "n_hit", "hit_items", "longest_match", "covered")
+    found = decontam.find_contamination(plain, table(spark, sf_dir, "benchmark"), cleaned=True, max_coverage=MAX_COVERAGE)
+    kept = found.filter(~F.col("covered") & F.col("text").isNotNull())
+    return _counted(kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode each text; the last stage returns digests of ids and of the decoded text."""
-    return bpe.encode_digest(docs)
+    plain, _ = set_aside(docs, "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_digest(plain)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -64,6 +76,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows go through a Parquet table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        after = materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_materialized(docs)
+        tidy(spark)
+        docs = after
     return docs
