@@ -30,62 +30,109 @@ def with_name_keys(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("name_norm", name_norm(name)).withColumn("name_core", name_core("name_norm"))
 
 
-def _layer(open_: DataFrame, firms: DataFrame, key: str, match: str) -> DataFrame:
-    """(id, gvkey, match_type, name_similarity) of the borrowers whose key some firm has.
+_FOUND = ("gvkey", "match_type", "name_similarity")
+
+
+def _layer(state: DataFrame, firms: DataFrame, key: str, match: str, note: bool = True) -> DataFrame:
+    """``state`` (a row a borrower) after the open borrowers' ``key`` has been looked up.
 
     One firm is taken as it is; of several the most similar name, if it is clearly ahead.
+    Else, with ``note``, the ambiguity is recorded; the borrower stays open.
     """
-    left = open_.filter(F.coalesce(F.col(key), F.lit("")) != "").select("id", F.col(key).alias("key__"), F.col("name_core").alias("core__"))
-    right = firms.filter(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).alias("key__"), "gvkey", F.col("name_norm").alias("norm__"), F.col("name_core").alias("other__")).distinct()
-    scored = left.join(right, "key__").withColumn("s", similarity("core__", "other__"))
+    right = firms.filter(F.coalesce(F.col(key if key in firms.columns else "name_core"), F.lit("")) != "")
+    right = right.select(F.col(key if key in firms.columns else "name_core").alias("key__"), F.col("gvkey").alias("firm__"), F.col("name_norm").alias("norm__"), F.col("name_core").alias("other__")).distinct()
+    asked = F.when(F.col("gvkey").isNull() & (F.col(key) != ""), F.col(key))
+    scored = state.withColumn("ask__", asked).join(right, F.col("ask__") == F.col("key__"), "left").withColumn("s__", similarity("name_core", "other__"))
     w = Window.partitionBy("id")
+    ahead = w.orderBy(F.desc_nulls_last("s__"), F.desc_nulls_last("firm__"), "norm__")
     ranked = scored.withColumns({
-        "n__": F.size(F.collect_set("gvkey").over(w)), "place__": F.row_number().over(w.orderBy(F.desc("s"), F.desc("gvkey"), "norm__")),
-        "next__": F.coalesce(F.lead("s").over(w.orderBy(F.desc("s"), F.desc("gvkey"), "norm__")), F.lit(0.0)),
-        "first__": F.first("s").over(w.orderBy("gvkey", "norm__", "other__")),
+        "n__": F.size(F.collect_set("firm__").over(w)), "place__": F.row_number().over(ahead), "next__": F.coalesce(F.lead("s__").over(ahead), F.lit(0.0)),
+        "first__": F.first("s__").over(w.orderBy("firm__", "norm__", "other__")),
     }).filter("place__ = 1")
     sole = F.col("n__") == 1
-    clear = (F.col("s") >= RESOLVE_LEAST) & (F.col("s") - F.col("next__") >= RESOLVE_MARGIN)
+    clear = (F.col("n__") > 1) & (F.col("s__") >= RESOLVE_LEAST) & (F.col("s__") - F.col("next__") >= RESOLVE_MARGIN)
+    unclear = (F.col("n__") > 1) & F.lit(note)
     return ranked.select(
-        "id", F.when(sole | clear, F.col("gvkey")).alias("gvkey"),
-        F.when(sole, match).when(clear, f"{match}_resolved").otherwise("ambiguous_needs_review").alias("match_type"),
-        F.when(sole, F.col("first__")).otherwise(F.col("s")).alias("name_similarity"),
+        *(c for c in state.columns if c not in _FOUND),
+        F.when(sole | clear, F.col("firm__")).otherwise(F.col("gvkey")).alias("gvkey"),
+        F.when(sole, match).when(clear, f"{match}_resolved").when(unclear, "ambiguous_needs_review").otherwise(F.col("match_type")).alias("match_type"),
+        F.when(sole, F.col("first__")).when(clear | unclear, F.col("s__")).otherwise(F.col("name_similarity")).alias("name_similarity"),
     )
 
 
-def _fuzzy(open_: DataFrame, firms: DataFrame) -> DataFrame:
-    """The most similar core name of the same first letters, if similar enough; then as for any key."""
+def _close(state: DataFrame, firms: DataFrame) -> DataFrame:
+    """``state`` plus ``close``: for open borrowers the most similar core name of the same first letters, if similar enough."""
     block = F.substring("name_core", 1, FUZZY_BLOCK)
-    left = open_.filter(F.length("name_core") >= FUZZY_CORE).select("id", F.col("name_core").alias("core__"), block.alias("block__"))
     right = firms.filter(F.length("name_core") >= FUZZY_CORE).select(F.col("name_core").alias("other__"), block.alias("block__")).distinct()
+    left = state.withColumn("ask__", F.when(F.col("gvkey").isNull() & (F.length("name_core") >= FUZZY_CORE), block))
     # Length and edit distance bound the ratio: what lies outside the matching blocks is at least
     # as much as the edits. So most pairs of a block are never scored, and none that counts is lost.
-    bound = 2 * F.least(F.length("core__"), F.length("other__")) / (F.length("core__") + F.length("other__")) >= FUZZY_LEAST
-    edits = F.levenshtein("core__", "other__") <= (1 - FUZZY_LEAST) * (F.length("core__") + F.length("other__")) + 1e-6
-    scored = left.join(right, (left["block__"] == right["block__"]) & bound & edits).withColumn("s", similarity("other__", "core__")).filter(F.col("s") >= FUZZY_LEAST)
-    best = scored.groupBy("id").agg(F.max(F.struct("s", "other__")).alias("b")).select("id", F.col("b.other__").alias("core__"))
-    return _layer(open_.drop("name_core").join(best.withColumnRenamed("core__", "name_core"), "id"), firms, "name_core", "fuzzy")
+    sizes = F.length("name_core") + F.length("other__")
+    bound = 2 * F.least(F.length("name_core"), F.length("other__")) / sizes >= FUZZY_LEAST
+    edits = F.levenshtein("name_core", "other__") <= (1 - FUZZY_LEAST) * sizes + 1e-6
+    scored = left.join(right, (F.col("ask__") == F.col("block__")) & bound & edits, "left").withColumn("s__", similarity("other__", "name_core"))
+    near = F.when(F.col("s__") >= FUZZY_LEAST, F.struct("s__", "other__"))
+    best = F.max(near).over(Window.partitionBy("id"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("other__"))
+    return scored.withColumns({"best__": best, "place__": first}).filter("place__ = 1").select(*state.columns, F.col("best__.other__").alias("close"))
+
+
+def link_borrowers(borrowers: DataFrame, firms: DataFrame, fuzzy: bool = False, securities: DataFrame | None = None) -> DataFrame:
+    """Link (id, name, ticker) to firms (gvkey, name[, ticker]) by ticker, exact name, core name, and similar name.
+
+    Tickers are looked up in ``securities`` (ticker, gvkey, name; see :func:`ticker_firms`), or in
+    ``firms`` itself. A layer works on what earlier ones haven't linked; an ambiguous
+    borrower may be resolved later, else it needs review. A similar name that stays
+    unresolved changes nothing. Every borrower has one row.
+    """
+    people = with_name_keys(borrowers, "name").withColumn("ticker", F.upper(F.trim("ticker")))
+    known = with_name_keys(firms, "name")
+    listed = known if securities is None else with_name_keys(securities, "name")
+    listed = listed.withColumn("ticker", F.upper(F.trim("ticker")))
+    none = {"gvkey": F.lit(None).cast(firms.schema["gvkey"].dataType), "match_type": F.lit("unmatched"), "name_similarity": F.lit(None).cast("double")}
+    state = people.select("id", "ticker", "name_norm", "name_core").dropDuplicates(["id"]).withColumns(none)
+    state = _layer(state, listed, "ticker", "ticker_crsp")
+    state = _layer(state, known, "name_norm", "exact_name")
+    state = _layer(state, known, "name_core", "core_name")
+    if fuzzy:
+        state = _layer(_close(state, known), known, "close", "fuzzy_name", note=False)
+    return state.select("id", *_FOUND)
 
 
-def link_borrowers(borrowers: DataFrame, firms: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """Link (id, name, ticker) to firms (gvkey, name, ticker) by ticker, exact name, core name, and similar name.
+def borrower_universe(companies: DataFrame, wide: DataFrame) -> DataFrame:
+    """Borrowers of the company table, and those that only the wide loan table has, one row an id.
 
-    A layer works on what earlier ones haven't linked; an ambiguous borrower may be
-    resolved later, else it needs review. Every borrower has one row.
+    Of several rows of an id, the one with the least name, then ticker. ``source`` tells the table.
     """
-    people = with_name_keys(borrowers, "name").withColumn("ticker", F.upper(F.trim("ticker")))
-    known = with_name_keys(firms, "name").withColumn("ticker", F.upper(F.trim("ticker")))
-    layers = [_layer(people, known, k, m) for k, m in (("ticker", "ticker"), ("name_norm", "exact_name"), ("name_core", "core_name"))]
-    if fuzzy:
-        layers.append(_fuzzy(people, known))
-    found = None
-    for rank, layer in enumerate(layers):
-        ranked = layer.withColumn("rank__", F.lit(rank))
-        found = ranked if found is None else found.unionByName(ranked)
-    # A link of the first layer that has one; else the last ambiguity.
-    best = found.groupBy("id").agg(F.min_by(F.struct("gvkey", "match_type", "name_similarity"), F.when(F.col("gvkey").isNotNull(), F.col("rank__")).otherwise(100 - F.col("rank__"))).alias("b"))
-    return people.select("id").distinct().join(best, "id", "left").select("id", "b.gvkey", F.coalesce("b.match_type", F.lit("unmatched")).alias("match_type"), "b.name_similarity")
+    one = lambda df, source: df.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "ticker")).alias("b")).select("id", "b.name", "b.ticker", F.lit(source).alias("source"))
+    first = one(companies, "company")
+    return first.unionByName(one(wide, "wide").join(first.select("id"), "id", "left_anti"))
+
+
+def firm_identities(names: DataFrame) -> DataFrame:
+    """Different (gvkey, name) of all years, with the keys of the name."""
+    return with_name_keys(names.select("gvkey", "name").dropna().distinct(), "name")
+
+
+def ticker_firms(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(ticker, gvkey, name) over securities: names history (permno, ticker, name) and firm links (permno, gvkey).
+
+    Firm links count for primary issues and kinds in order, one firm a security.
+    """
+    tickers = names.select("permno", F.upper(F.trim("ticker")).alias("ticker"), "name").filter(F.col("ticker") != "").distinct()
+    return tickers.join(links.select("permno", "gvkey").filter(F.col("gvkey").isNotNull()).distinct(), "permno").select("ticker", "gvkey", "name").distinct()
 
 
 def link_summary(links: DataFrame) -> DataFrame:
     return links.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gvkey").alias("n_firms"))
+
+
+def link_totals(links: DataFrame) -> DataFrame:
+    """(kind, value, n): borrowers, linked ones, different firms, and counts by match type and by source."""
+    count = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value"), "n")
+    linked = links.filter(F.col("gvkey").isNotNull())
+    whole = count("total", links.agg(F.count("*").alias("n"))).unionByName(count("linked", linked.agg(F.count("*").alias("n")))).unionByName(count("firms", linked.agg(F.count_distinct("gvkey").alias("n"))))
+    for kind in ("match_type", "source"):
+        if kind in links.columns:
+            whole = whole.unionByName(links.groupBy(F.col(kind).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n"))
+    return whole

@@ -26,7 +26,7 @@ def total(x: str) -> str:
 
 ORD = "(SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)"
 EV = "(SELECT event_id, ts, user_id, event_type, value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d FROM events)"
-LINKS = f"(SELECT o_custkey, o_orderkey AS link, day AS linkdt, CASE WHEN o_orderkey % 15 <> 0 THEN day + CAST(o_orderkey % 400 AS INT) END AS linkenddt FROM {ORD} WHERE o_orderkey % 3 = 0)"
+LINKS = f"(SELECT o_custkey, o_orderkey AS link, day AS linkdt, CASE WHEN o_orderkey % 15 <> 0 THEN day + CAST(o_orderkey % 400 AS INT) END AS linkenddt FROM {ORD})"
 MONTHLY = f"""(SELECT permno, month, revenue, n, CASE WHEN (permno + month(month)) % 17 <> 0 THEN revenue / lag(revenue) OVER (PARTITION BY permno ORDER BY month) - 1 END AS ret
   FROM (SELECT l_suppkey AS permno, last_day(CAST(l_shipdate AS DATE)) AS month, {total('l_extendedprice')} AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2))"""
 DAYS = f"(SELECT DISTINCT user_id, d AS q FROM {EV})"
@@ -145,9 +145,9 @@ clean AS (SELECT * FROM daily WINDOW w AS (PARTITION BY issue_id, rating_type OR
 ORACLES["affirmation_dedup"] = f"WITH {RATINGS} SELECT issue_id, rating_type, rating_date, ord, is_terminator FROM clean"
 
 BONDS = f"""{RATINGS},
-bonds AS (SELECT c_custkey AS issue_id, c_custkey % 40 AS gvkey, DATE '1991-06-01' + CAST(c_custkey * 11 AS INT) AS offering_date,
-  CASE WHEN c_custkey % 6 <> 0 THEN DATE '1991-06-01' + CAST(c_custkey * 11 + 700 + c_custkey * 13 AS INT) END AS maturity,
-  ['SEN','SS','SENS','SUB','JUN','NON'][c_custkey % 6 + 1] AS security_level, CAST(floor(c_acctbal) AS DOUBLE) AS offering_amt FROM customer WHERE c_custkey < 150),
+bonds AS (SELECT c_custkey AS issue_id, c_custkey % 40 AS gvkey, DATE '1991-06-01' + CAST(c_custkey * 11 % 1650 AS INT) AS offering_date,
+  CASE WHEN c_custkey % 6 <> 0 THEN DATE '1991-06-01' + CAST(c_custkey * 11 % 1650 + 700 + c_custkey * 13 % 1950 AS INT) END AS maturity,
+  ['SEN','SS','SENS','SUB','JUN','NON'][c_custkey % 6 + 1] AS security_level, CAST(floor(c_acctbal) AS DOUBLE) AS offering_amt FROM customer),
 defaults AS (SELECT issue_id, gvkey, offering_date + CAST(400 + issue_id * 7 % 300 AS INT) AS default_date, CASE WHEN issue_id % 2 = 0 THEN offering_date + 900 END AS reinstated_date FROM bonds WHERE issue_id % 9 = 0),
 grid AS (SELECT q, {qe('q')} AS quarter_end FROM range(7968, 7996) t(q)),
 spans AS (SELECT b.issue_id, {qi('b.offering_date')} AS s, least({qi("coalesce(b.maturity, DATE '2099-12-31')")}, {qi("coalesce(d.default_date, DATE '2099-12-31')")}) AS e FROM bonds b LEFT JOIN defaults d USING (issue_id)),
@@ -238,7 +238,7 @@ p AS (SELECT *, last_value(CASE WHEN month(month) <> 5 THEN total END IGNORE NUL
 SELECT month, round(total - lag(total) OVER (ORDER BY month), 4) AS diff, round((level - lag(level, 12) OVER (ORDER BY month)) / lag(level, 12) OVER (ORDER BY month) * 100, 6) AS pct_12 FROM p"""
 ORACLES["quarter_grid_days"] = f"SELECT q, {qe('q')} AS quarter_end FROM range(8000, 8100) t(q)"
 ORACLES["span_expand"] = f"""
-WITH o AS (SELECT o_orderkey, {qi('day')} AS s, {qi('(day + CAST(o_orderkey % 900 AS INT))')} AS e FROM {ORD} WHERE o_orderkey % 10 = 0)
+WITH o AS (SELECT o_orderkey, {qi('day')} AS s, {qi('(day + CAST(o_orderkey % 900 AS INT))')} AS e FROM {ORD})
 SELECT o_orderkey, q, {qe('q')} AS quarter_end FROM o JOIN range(7972, 7992) t(q) ON q BETWEEN s AND e"""
 ORACLES["presence_crosstab"] = f"SELECT user_id, d, {', '.join(f'bool_or(event_type = {chr(39)}{k}{chr(39)}) AS has_{k}' for k in ('view', 'click', 'purchase', 'signup', 'error'))}, count(DISTINCT event_type) AS n_types FROM {EV} GROUP BY 1, 2"
 ORACLES["value_shares"] = "SELECT nullif(o_orderpriority, '5-LOW') AS p, count(*) AS n, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1"
@@ -289,8 +289,8 @@ ORACLES["near_interval"] = f"SELECT user_id, q, EXISTS (SELECT 1 FROM {MARKED} b
 ORACLES["prefix_join"] = "SELECT p_partkey, count(*) AS n, min(s_suppkey) AS first_supp FROM part JOIN supplier ON left(p_brand, 7) = 'Brand#' || CAST(s_nationkey % 5 + 1 AS VARCHAR) GROUP BY 1"
 ORACLES["shifted_self_join"] = f"SELECT d.user_id, d.q, d.ours, p.ours AS ours_before FROM {MARKED} d JOIN {MARKED} p ON p.user_id = d.user_id AND d.q = p.q + 1"
 ORACLES["time_align"] = f"""
-SELECT coalesce(a.day, b.day) AS day, n_orders, n_lines FROM (SELECT day, count(*) AS n_orders FROM {ORD} WHERE o_orderkey % 400 = 0 GROUP BY 1) a
-FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n_lines FROM lineitem WHERE l_orderkey % 400 = 0 GROUP BY 1) b ON a.day = b.day"""
+SELECT coalesce(a.day, b.day) AS day, n_orders, n_lines FROM (SELECT day, count(*) AS n_orders FROM {ORD} GROUP BY 1) a
+FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n_lines FROM lineitem GROUP BY 1) b ON a.day = b.day"""
 ORACLES["union_distinct_all"] = "SELECT k, count(*) AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY 1"
 ORACLES["union_missing_columns"] = "SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier"
 ORACLES["set_overlap"] = """

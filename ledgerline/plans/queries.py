@@ -518,16 +518,17 @@ def trailing_event_join(spark, sf_dir):
 
 @query
 def near_interval(spark, sf_dir):
-    days = _marked_days(spark, sf_dir)
-    hit, base = days.filter("ours").select("user_id", "q"), days.filter("theirs").select(F.col("user_id").alias("u"), F.col("q").alias("p"))
-    return hit.join(base, F.col("user_id") == F.col("u"), "left").groupBy("user_id", "q").agg(F.coalesce(F.bool_or(F.abs(F.col("p") - F.col("q")) <= 2), F.lit(False)).alias("near"))
+    around = Window.partitionBy("user_id").orderBy("q").rangeBetween(-2, 2)
+    near = F.coalesce(F.max("theirs").over(around), F.lit(False))
+    return _marked_days(spark, sf_dir).select("user_id", "q", "ours", near.alias("near")).filter("ours").drop("ours")
 
 
 @query
 def prefix_join(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 1, 7).alias("k"))
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_nationkey") % 5 + 1).cast("string")).alias("k"))
-    return p.join(s, "k").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_supp"))
+    by_key = s.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("first_supp"))
+    return p.join(by_key, "k").select("p_partkey", "n", "first_supp")
 
 
 @query

@@ -23,14 +23,34 @@ FIRMS = [("1", "Acme Holdings Inc", "ACM"), ("2", "Zinc Works Corp", "ZNC"), ("3
 
 def test_layers(spark):
     people = [("t", "whatever", " acm "), ("n", "ZINC WORKS CORPORATION", None), ("c", "Zinc Works", None), ("a", "Twin Stars", None), ("u", "Nobody", None), ("f", "Grand Meridan Foods", None), ("e", None, None)]
-    want = {"t": ("1", "ticker"), "n": ("2", "exact_name"), "c": ("2", "core_name"), "a": (None, "ambiguous_needs_review"), "u": (None, "unmatched"), "f": (None, "unmatched"), "e": (None, "unmatched")}
+    want = {"t": ("1", "ticker_crsp"), "n": ("2", "exact_name"), "c": ("2", "core_name"), "a": (None, "ambiguous_needs_review"), "u": (None, "unmatched"), "f": (None, "unmatched"), "e": (None, "unmatched")}
     assert link(spark, people, FIRMS) == want
-    assert link(spark, people, FIRMS, fuzzy=True)["f"] == ("5", "fuzzy")
+    assert link(spark, people, FIRMS, fuzzy=True)["f"] == ("5", "fuzzy_name")
+
+
+def test_a_similar_name_of_two_firms_stays_unmatched(spark):
+    firms = [("7", "Meridian Widgetri", None), ("8", "Meridian Widgetri", None)]
+    assert link(spark, [("m", "Meridian Widgetry Inc", None)], firms, fuzzy=True) == {"m": (None, "unmatched")}
+
+
+def test_universe_identities_and_ticker_map(spark):
+    companies = spark.createDataFrame([(1, "B", "x"), (1, "A", "y"), (2, None, None)], "id long, name string, ticker string")
+    wide = spark.createDataFrame([(2, "W", "w"), (3, "V", None), (3, "V", "v"), (None, "N", None)], "id long, name string, ticker string")
+    got = {r.id: (r.name, r.ticker, r.source) for r in linkage.borrower_universe(companies, wide).collect()}
+    assert got == {1: ("A", "y", "company"), 2: (None, None, "company"), 3: ("V", None, "wide")}
+    names = spark.createDataFrame([("1", "Acme Inc"), ("1", "Acme Inc"), ("1", "Acme Corp"), (None, "x")], "gvkey string, name string")
+    assert sorted((r.gvkey, r.name, r.name_core) for r in linkage.firm_identities(names).collect()) == [("1", "Acme Corp", "ACME"), ("1", "Acme Inc", "ACME")]
+    held = spark.createDataFrame([(10, " ab ", "Acme"), (10, "ab", "Acme"), (11, None, "Zinc")], "permno long, ticker string, name string")
+    links = spark.createDataFrame([(10, "1"), (11, "2"), (10, None)], "permno long, gvkey string")
+    assert [tuple(r) for r in linkage.ticker_firms(held, links).collect()] == [("AB", "1", "Acme")]
+    linked = linkage.link_borrowers(companies, names.filter("gvkey = '1'"), securities=linkage.ticker_firms(held, links))
+    totals = {(r.kind, r.value): r.n for r in linkage.link_totals(linked.withColumn("source", F.lit("s"))).collect()}
+    assert totals[("total", None)] == 2 and totals[("source", "s")] == 2 and totals[("match_type", "unmatched")] == totals[("total", None)] - totals[("linked", None)]
 
 
 def test_similar_name_decides_between_firms_of_one_ticker(spark):
     firms = [("1", "Alpha Mining", "AM"), ("2", "Omega Retail", "AM")]
-    assert link(spark, [("x", "Alpha Mining Inc", "AM")], firms) == {"x": ("1", "ticker_resolved")}
+    assert link(spark, [("x", "Alpha Mining Inc", "AM")], firms) == {"x": ("1", "ticker_crsp_resolved")}
 
 
 def test_ratio_is_not_symmetric(spark):
