@@ -14,8 +14,9 @@ goes itself doesn't matter, so the result doesn't depend on any order of work.
    with the corpus, so frequent words of the longer prefix are keys in pairs: if the first
    word that two sets share is frequent, so is the second.
 4. Leaders: lines that share two words, of three chosen by hash from the longer prefix, meet
-   the first of them. Those that verify are settled, and families of near copies are
-   settled at a cost in proportion to them.
+   the first of them; those that verify are settled. The others meet other leaders, for a
+   fixed number of rounds. So families of near copies are settled at a cost in proportion
+   to them.
 5. Join: open lines meet each other, and the settled ones before them. Settled lines meet
    none, so no pair is made within a settled family.
 6. Length, positional and parity filters (bits in which parity sketches differ bound the
@@ -28,7 +29,7 @@ type with an order; null ids come first in it. Rows that share id and text are t
 alike: neither is later than the other. Other columns pass through, whatever their names;
 the columns of ``details`` may not be there already (ValueError). An empty table gives an
 empty table. Very long texts are split into lines and words inside the JVM, one row at a
-time; a line's row in the join holds 48 bytes a key, whatever its length.
+time; a line's row in the join holds 64 bytes a key, whatever its length.
 """
 
 from __future__ import annotations
@@ -46,8 +47,12 @@ BUCKETS = 1 << 19
 FREQUENT = 1 << 10
 #: Words whose pairs are a line's leader keys.
 LEAST = 3
+#: Rounds of leaders at most; what is open then is left to the join, which is exact by itself.
+ROUNDS = 8
+#: Of these, rounds in which the first open line leads.
+FIRSTS = 2
 #: Up to so many words, one parity word tells sets apart as well as two.
-SHORT = 96
+SHORT = 32
 #: Bits for each id in the table that tells which texts to read again, and most words of it.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 20
 #: Blanks other than the plain one, and line ends.
@@ -153,8 +158,8 @@ def _order(doc: str, kind: DataType) -> Column:
     return F.coalesce(value, F.lit(-(1 << 63)).cast("bigint"))
 
 
-def _led(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the first class of a leader key and another class of that key.
+def _families(classes: DataFrame) -> DataFrame:
+    """(key, id, at, np, q0, q1) of the classes that share a leader key with another one.
 
     Leader keys are the pairs among the three words of the prefix with the least hashes,
     so that near copies choose the same ones more often than not.
@@ -164,29 +169,55 @@ def _led(classes: DataFrame, percent: int) -> DataFrame:
     two = lambda i, j: F.xxhash64(F.get("w", F.lit(i)), F.get("w", F.lit(j)))
     keys = F.array(*[two(i, j) for j in range(LEAST) for i in range(j)])
     rows = picked.select("id", "at", "np", "q0", "q1", F.explode(F.slice(keys, F.lit(1), F.expr("int(size(w) * (size(w) - 1) / 2)"))).alias("key"))
-    first = rows.groupBy("key").agg(F.min(F.struct("at", "id", "np", "q0", "q1")).alias("lead"), F.count("*").alias("members"))
-    first = first.filter("members > 1").select("key", "lead.id", "lead.np", "lead.q0", "lead.q1").alias("lead")
-    m = rows.drop("at").alias("m")
-    met = m.join(first, (F.col("m.key") == F.col("lead.key")) & (F.col("m.id") != F.col("lead.id")) & _alike("lead", "m", percent))
-    return met.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct()
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    return rows.join(shared, "key")
+
+
+def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(id, ``earlier``) of the classes that a leader settles, in rounds.
+
+    In the first rounds the open members of a key meet the first of them, in the others one
+    drawn by hash from all members, settled ones included. Those that verify are settled.
+    What is open after the last round is left to the join.
+    """
+    spark = classes.sparkSession
+    rows = materialize(_families(classes), "linefamilies")
+    words = _words_of(rows.select("id", "at").distinct(), texts)
+    done = spark.createDataFrame([], words.select("id", F.col("at").alias("earlier")).schema)
+    for k in range(ROUNDS):
+        open_ = rows.join(done.select("id"), "id", "left_anti")
+        among, order = (open_, F.struct("at")) if k < FIRSTS else (rows, F.struct(F.xxhash64("id", F.lit(k))))
+        lead = among.groupBy("key").agg(F.min(F.struct(order.alias("order"), "at", "id", "np", "q0", "q1")).alias("lead")).select("key", "lead.*").alias("lead")
+        met = open_.alias("m").join(lead, (F.col("m.key") == F.col("lead.key")) & (F.col("m.at") > F.col("lead.at")) & _alike("lead", "m", percent))
+        found = _similar(met.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, percent)
+        both = materialize(done.unionByName(found), "linesettled")
+        drop_materialized(found, *([done] if done.inputFiles() else []))
+        done = both
+        tidy(spark)
+    drop_materialized(rows, words)
+    return done
 
 
 def _keyed(classes: DataFrame, percent: int) -> DataFrame:
-    """A row for each key of each class: (key, id, ord, np, q0, q1).
+    """A row for each key of each class: (key, id, ord, np, q0, q1, before, between).
 
     ``np`` packs n, the place of the key's first word, and whether the key is of two words.
+    ``before`` is the word's key before the (first) word, ``between`` the one before the
+    second word unless that is the first; or 0. Sets in which one of them is the same too
+    share an earlier word, or an earlier second one, and meet there.
     """
     frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit(FREQUENT.bit_length() - 1)
     shorter = (F.col("n") - _least_size(F.col("n"), percent) + 1).cast("int")
-    spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i")))
+    before = lambda i: F.coalesce(F.get("prefix", i - 1), F.lit(0).cast("bigint"))
+    spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i"), before(i).alias("before"), F.lit(0).cast("bigint").alias("between")))
     rare = F.filter(F.slice(spots, F.lit(1), shorter), lambda x: ~frequent(x["k"]))
     many = F.filter(spots, lambda x: frequent(x["k"]))
     after = lambda all_, x: F.filter(all_, lambda y: y["i"] > x["i"])
-    pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"))
+    pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"), x["before"].alias("before"), F.when(y["i"] - x["i"] > 2, y["before"]).otherwise(F.lit(0).cast("bigint")).alias("between"))
     pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
     keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
     rows = classes.select("id", "ord", "n", *_folded(classes), F.explode(keys).alias("x"))
-    return rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1")
+    return rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", F.col("x.before").alias("before"), F.col("x.between").alias("between"))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -196,7 +227,8 @@ def _alike(a: str, b: str, percent: int) -> Column:
     pa, pb = (F.shiftright(of(x, "np").bitwiseAND(F.lit((1 << 32) - 1)), 1) for x in (a, b))
     x0, x1 = of(a, "q0").bitwiseXOR(of(b, "q0")), of(a, "q1").bitwiseXOR(of(b, "q1"))
     differing = F.when(F.least(na, nb) < SHORT, F.bit_count(x0.bitwiseXOR(x1))).otherwise(F.bit_count(x0) + F.bit_count(x1))
-    shared = F.lit(1) + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb)
+    # Similar sets pass at the first word that they share; before it they share none.
+    shared = F.least(na - pa, nb - pb)
     return (
         # |A ^ B| (100 + p) <= (100 - p) (|A| + |B|) wherever 100 |A & B| >= p |A | B|.
         (differing * (100 + percent) <= (na + nb) * (100 - percent))
@@ -205,26 +237,28 @@ def _alike(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: the first place found)."""
-    ends = materialize(pairs, "linepairs")
-    ids = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
+def _words_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, at, words) of the classes (id, at), read from the texts once more and written."""
     where = ["doc", "hash", "line_no"]
-    wanted = materialize(classes.select("id", "at", "at.*").join(ids, "id"), "lineplaces")
+    wanted = materialize(wanted.select("id", "at", "at.*"), "lineplaces")
     n = wanted.count()
     near = _lines(docs.filter(_may_hold(_id_filter(wanted.select("doc", "hash"), n), ["doc", "hash"])))
     near = near.filter(_may_hold(_id_filter(wanted.select(*where), n), where))
-    # Rows that share id and text give equal lines; one of them is enough.
     words = F.array_distinct(F.array_remove(_split("line"), ""))
-    words = materialize(near.join(wanted, where).select("id", "at", words.alias("words")).dropDuplicates(["id"]), "linewords")
-    both = ends.join(words.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("words").alias("wb")), "b")
+    # Rows that share id and text give equal lines; one of them is enough.
+    read = materialize(near.join(wanted, where).select("id", "at", words.alias("words")).dropDuplicates(["id"]), "linewords")
+    drop_materialized(wanted)
+    return read
+
+
+def _similar(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: the first place found)."""
+    end = lambda x: words.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("words").alias(f"w{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent)
     later = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"), F.least("at_a", "at_b").alias("earlier"))
-    out = materialize(later.groupBy("id").agg(F.min("earlier").alias("earlier")), "linelinks")
-    drop_materialized(ends, wanted, words)
-    tidy(docs.sparkSession)
-    return out
+    return materialize(later.groupBy("id").agg(F.min("earlier").alias("earlier")), "linelinks")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1) -> DataFrame:
@@ -251,7 +285,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     # Sets so small that one word more or less is too much are similar to equal sets only.
     joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     joinable = joinable.select("id", "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), "n", "prefix", "q0", "q1")
-    settled = _verified(_led(joinable, percent), classes, texts, percent)
+    settled = _settled(joinable, texts, percent)
 
     maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
     checked = materialize(joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left"), "linesettled")
@@ -259,9 +293,16 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     closed = _keyed(checked.filter("done"), percent)
     # Both joins read the same columns under the same filters, so that all uses of the open rows share one exchange.
     not_after = (F.col("u.id") != F.col("v.id")) & (F.col("u.ord") <= F.col("v.ord"))
-    meet = lambda u, v, which: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & which & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
+    once = lambda c: (F.col(f"u.{c}") != F.col(f"v.{c}")) | (F.col(f"u.{c}") == 0)
+    fresh = once("before") & once("between")
+    meet = lambda u, v, which: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & which & fresh & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
     met = meet(open_, open_, not_after & ((F.col("u.ord") < F.col("v.ord")) | (F.col("u.id") < F.col("v.id")))).unionByName(meet(closed, open_, not_after))
-    found = _verified(met.distinct(), classes, texts, percent)
+    ends = materialize(met.distinct(), "linepairs")
+    ids = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
+    words = _words_of(joinable.select("id", "at").join(ids, "id"), texts)
+    tidy(spark)
+    found = _similar(ends, words, percent)
+    drop_materialized(ends, words)
 
     # A settled line that was met again may turn out to be the later one; it has its partner already.
     links = settled.unionByName(found.join(settled.select("id"), "id", "left_anti"))
