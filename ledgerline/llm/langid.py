@@ -87,7 +87,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     chosen = rows.filter(place < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_runs(batches, "text"):
+        for batch in text_runs(batches, "text", _TOGETHER):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             texts = batch.column("text").to_pylist()
             for name in sorted(set(langs)):
