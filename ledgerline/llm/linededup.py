@@ -48,7 +48,7 @@ FREQUENT = 1 << 10
 #: Words whose pairs are a line's leader keys.
 LEAST = 3
 #: Rounds of leaders at most; what is open then is left to the join, which is exact by itself.
-ROUNDS = 8
+ROUNDS = 4
 #: Of these, rounds in which the first open line leads.
 FIRSTS = 2
 #: Up to so many words, one parity word tells sets apart as well as two.
@@ -90,8 +90,7 @@ def _word_levels(docs: DataFrame) -> Column:
     """Rarity of the words of all texts by hash bucket: one array of fixed length."""
     words = docs.select(F.explode(_split("text")).alias("word"))
     seen = words.select(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("place"), F.lit(1).cast("bigint").alias("value"))
-    level = F.least(F.floor(F.log2(F.sum("value") + 1)), F.lit(31)).cast("bigint")
-    return _dense(seen, BUCKETS, _shift_left(level, _KEY_BITS))
+    return _dense(seen, BUCKETS, F.least(F.floor(F.log2(F.sum("value") + 1)), F.lit(31)).cast("tinyint"))
 
 
 def _id_filter(ids: DataFrame, n: int) -> tuple[Column, int]:
@@ -122,8 +121,8 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
     that reads it, as long as what it stands beside reads ``hashes`` more than once; as a
     column the table would be copied for every line.
     """
-    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint"))
-    key = lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
+    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
+    key = lambda h: _shift_left(level(h), _KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
 
     def odd(half: int) -> Column:
         """Parity of the words of one half, by six bits of the key."""
