@@ -115,11 +115,17 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         at += size
 
 
-def _tree(data: memoryview, start: int, end: int) -> dict[bytes, list]:
+#: Boxes inside boxes, at most; the format's own tables stand six deep.
+MAX_DEPTH = 32
+
+
+def _tree(data: memoryview, start: int, end: int, depth: int = 0) -> dict[bytes, list]:
     """Boxes by type: containers as such dictionaries, leaves as (start, end) of their bodies."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"boxes are nested more than {MAX_DEPTH} deep")
     found: dict[bytes, list] = {}
     for kind, body, stop in boxes(data, start, end):
-        found.setdefault(kind, []).append(_tree(data, body, stop) if kind in CONTAINERS else (body, stop))
+        found.setdefault(kind, []).append(_tree(data, body, stop, depth + 1) if kind in CONTAINERS else (body, stop))
     return found
 
 
@@ -157,6 +163,8 @@ def _sizes(data: memoryview, stbl: dict) -> tuple[int, list[int] | None, int]:
     start, _ = stbl[b"stsz"][0]
     same, n = struct.unpack_from(">II", data, start + 4)
     if same:
+        if same * n > len(data):
+            raise ValueError("more samples than the file has bytes for")
         return same, None, n
     return 0, [r[0] for r in _table(data, stbl[b"stsz"][0], 4, "I")], n
 
@@ -190,20 +198,30 @@ def parse(file: bytes) -> MediaIndex:
     except (struct.error, KeyError, IndexError, StopIteration) as e:
         raise ValueError(f"no complete media track: {type(e).__name__}") from e
     ranges: list[list[int]] = []
-    sample = 0
-    for k, (first, per_chunk, _entry) in enumerate(chunk_runs):
-        last = chunk_runs[k + 1][0] - 1 if k + 1 < len(chunk_runs) else len(offsets)
-        for chunk in range(first - 1, last):
-            place = offsets[chunk]
-            for _ in range(min(per_chunk, n - sample)):
-                size = same or sizes[sample]
-                if sync is None or sample in sync:
-                    if ranges and sum(ranges[-1]) == place:
-                        ranges[-1][1] += size
-                    else:
-                        ranges.append([place, size])
-                place += size
-                sample += 1
+
+    def add(place: int, size: int) -> None:
+        if ranges and sum(ranges[-1]) == place:
+            ranges[-1][1] += size
+        else:
+            ranges.append([place, size])
+
+    sample, after = 0, [run[0] for run in chunk_runs[1:]] + [len(offsets) + 1]
+    if any(not 1 <= run[0] < nxt <= len(offsets) + 1 for run, nxt in zip(chunk_runs, after, strict=True)):
+        raise ValueError("runs of chunks that are not there")
+    for (first, per_chunk, _entry), nxt in zip(chunk_runs, after, strict=True):
+        for place in offsets[first - 1 : nxt - 1]:
+            here = min(per_chunk, n - sample)
+            if same and sync is None and here:
+                add(place, same * here)
+            else:
+                for k in range(sample, sample + here):
+                    size = same or sizes[k]
+                    if sync is None or k in sync:
+                        add(place, size)
+                    place += size
+            sample += here
+    if sample < n:
+        raise ValueError("samples without a chunk")
     if any(o + s > len(file) for o, s in ranges):
         raise ValueError("samples lie beyond the file's end")
     total = sum(count * delta for count, delta in durations) or ticks
