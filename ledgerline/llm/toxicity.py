@@ -12,8 +12,8 @@ transducers rewrite the symbols of a clause and are composed into one machine:
 Only clauses with a match count; a text's features are built from its clauses' weights and
 a logistic curve fitted on labelled rows gives the score. The insult lexicon (word stems
 with weights) is mined from the labelled rows by likelihood ratio. Both steps read a
-bounded sample of about ``SAMPLE`` labelled rows chosen by a hash of the id, and keep at
-most ``ENTRIES`` stems; the bounds are parameters.
+bounded sample of about ``SAMPLE`` labelled rows chosen by a hash of the id, a parameter;
+every stem of the sample that passes the tests is kept.
 
 Defined cases: null texts count as empty and have no match; without labelled rows of both
 classes the score is the share of label 1, or 0. Repeated rows get equal scores.
@@ -33,7 +33,6 @@ from .common import ship, text_runs
 from .quality import bounded_sample
 
 SAMPLE = 8000
-ENTRIES = 400
 LEAST_STEM, LONGEST_STEM = 3, 12
 LEAST_COUNT = 4
 #: Least log ratio of a stem's rates in toxic and other texts, and least G statistic of it.
@@ -188,7 +187,7 @@ class ToxicityModel:
     theta: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
 
 
-def mine_stems(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
+def mine_stems(rows: DataFrame) -> dict[str, float]:
     """Stems whose words are much more frequent in toxic texts of (t, y), with their log ratios."""
     words = rows.select("y", F.explode(F.array_distinct(F.split(F.translate(F.coalesce("t", F.lit("")), _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1))).alias("w"))
     per_word = words.filter(F.length("w") >= LEAST_STEM).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
@@ -203,12 +202,12 @@ def mine_stems(rows: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     gain = 2 * (F.col("a") * F.log(F.col("a") / even) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / rest)).otherwise(0.0))
     counted = stems.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= LEAST_COUNT)
     strong = counted.withColumn("ratio", ratio).withColumn("gain", gain).filter((F.col("ratio") >= LEAST_RATIO) & (F.col("gain") >= LEAST_GAIN))
-    found = strong.orderBy(F.desc("gain"), F.length("stem").desc(), "stem").limit(20 * entries).collect()
+    found = strong.orderBy(F.desc("gain"), F.length("stem").desc(), "stem").collect()
     chosen: dict[str, float] = {}
     shorter: set[str] = set()  # every stem that a chosen one begins with
     for r in found:
         s = r["stem"]
-        if len(chosen) >= entries or s in shorter or any(s[:k] in chosen for k in range(LEAST_STEM, len(s) + 1)):
+        if s in shorter or any(s[:k] in chosen for k in range(LEAST_STEM, len(s) + 1)):
             continue
         chosen[s] = float(r["ratio"])
         shorter |= {s[:k] for k in range(LEAST_STEM, len(s) + 1)}
@@ -231,12 +230,12 @@ def fit_scores(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, theta))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES) -> ToxicityModel:
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> ToxicityModel:
     """Lexicon and score curve from about ``sample`` rows of ``labelled`` (id, text, label)."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
     chosen = bounded_sample(rows, "k", "toxicity", sample)
-    stems = mine_stems(chosen, entries)
+    stems = mine_stems(chosen)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
