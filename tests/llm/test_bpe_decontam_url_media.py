@@ -134,8 +134,8 @@ def test_split(url, host, path):
 def test_url_rows(spark):
     df = spark.createDataFrame([(1, "http://m.example.com/en/1"), (2, "http://www.example.com/en/1"), (3, None), (4, "http://x.net/es/" + "a" * 100_000), (4, "http://x.net/es/"), (5, "http://b.com/")], "page_id long, url string")
     for most in (urlfilter.MAX_RULES, 2):
-        got = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(df, RULES, max_rules=most).collect())
-        assert got == sorted([(1, "example.com/en/", "block"), (2, "www.example.com/en/", "allow"), (3, None, "allow"), (4, "net/es/", "block"), (4, "net/es/", "block"), (5, "com/", "allow")], key=str) or len(got) == 6
+        got = sorted(((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(df, RULES, max_rules=most).collect()), key=str)
+        assert got == sorted([(1, "example.com/en/", "block"), (2, "www.example.com/en/", "allow"), (3, None, "allow"), (4, "net/es/", "block"), (4, "net/es/", "block"), (5, "com/", "allow")], key=str)
     assert urlfilter.judge_urls(df.limit(0), RULES).count() == 0
     with pytest.raises(ValueError):
         urlfilter.judge_urls(df.withColumnRenamed("page_id", "rule"), RULES)

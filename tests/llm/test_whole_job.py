@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ledgerline.llm import decontam, media, queries, toxicity
+from ledgerline.llm import decontam, linededup, media, queries, toxicity
 
 from .test_bpe_decontam_url_media import boxed, movie
 from .test_near_duplicates import lines_left
@@ -74,3 +74,38 @@ def test_fragmented_files_are_errors(parts):
     mdat, trak = video[: 16 + 600], video[16 + 600 + 8 :]
     with pytest.raises(ValueError, match="fragmented"):
         media.parse(mdat + boxed(b"moov", trak, parts[0]) + parts[1])
+
+
+def test_malformed_files_are_errors_in_bounded_time():
+    deep = b""
+    for _ in range(5000):
+        deep = boxed(b"moov", deep)
+    video = movie()
+    at = video.index(b"stsc")
+    no_chunk = video[: at + 12] + (0).to_bytes(4, "big") + video[at + 16 :]
+    beyond = video[: at + 12] + (9999).to_bytes(4, "big") + video[at + 16 :]
+    for file in (deep, no_chunk, beyond, b"", b"\x00" * 7):
+        with pytest.raises(ValueError):
+            media.parse(file)
+
+
+def test_words_that_share_forty_hash_bits_stay_apart(spark):
+    df = spark.createDataFrame([(1, "w1293928 red blue green grey"), (2, "w1943887 red blue green grey"), (3, "grey green blue red w1293928")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: "w1293928 red blue green grey", 2: "w1943887 red blue green grey", 3: ""}
+
+
+def test_string_ids_and_short_repeats(spark):
+    df = spark.createDataFrame([("b", "all rights reserved\nx"), ("a", "All Rights  reserved"), (None, "x")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()} == {"a": "All Rights  reserved", "b": "", None: "x"}
+
+
+def test_stages_set_clashing_columns_aside(spark, tmp_path):
+    items = spark.createDataFrame([("1", "one two three")], "item_id string, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "one two three four five six seven", "en", 9, 8, 7.0), (2, None, "en", 1, 1, 1.0), (3, "\t\t", "en", 1, 1, 1.0)], "doc_id long, text string, lang string, n_words int, n_tokens int, bits_per_byte double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {r.n_words for r in out.collect() if r.doc_id == 1} <= {9}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {"n_tokens", "n_tokens_given"} <= set(corpus_pipeline.encode(spark, docs, str(tmp_path)).columns)
