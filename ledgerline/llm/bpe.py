@@ -40,7 +40,7 @@ _LOOSE = re.compile(r"\s | \s|^ | $")
 _TIGHT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of chunks and their ids that a worker remembers, about; then it starts anew.
 MEMORY = 96 << 20
-#: Of these for each chunk besides its letters, and for each tested pair of tokens.
+#: Of these for each chunk besides its letters, and for each tested pair of tokens or taken edge.
 _CHUNK, _PAIR = 320, 160
 #: Texts of about so many bytes are encoded together.
 TOGETHER = 2 << 20
@@ -153,6 +153,8 @@ class BpeModel:
 
     def _go(self, state: int, byte: int) -> int:
         """Where ``byte`` leads, over suffix links; remembered as an edge of its own."""
+        if len(self.moves) * _PAIR > MEMORY:
+            self.moves.clear()
         at = state
         while (to := self.step[at].get(byte)) is None and at:
             at = self.link[at]
