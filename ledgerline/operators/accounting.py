@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import quarter_end_of, quarter_index
 from ..functions.scalars import any_missing, guarded_log, guarded_ratio, sum_known
-from .select import last_by
+from .select import first_by, last_by
 from .temporal import point_in_time
 
 STALENESS_CAP_DAYS = 270
@@ -63,3 +63,18 @@ def align_quarters(filings: DataFrame, first: int, last: int, values: list[str],
     aged = ended.withColumn("age_days", F.datediff("quarter_end", available))
     stale = F.col("age_days") > cap_days
     return aged.withColumns({"is_stale": stale} | {v: F.when(~stale, F.col(v)) for v in values})
+
+
+def active_tranches(loans: DataFrame, tranche: list[str], order: list[str], start: str, maturity: str, first: int, last: int, key: str = "gvkey") -> DataFrame:
+    """The newest tranche of each firm that is active at each quarter end of the grid.
+
+    Rows that repeat a tranche count once, the first by ``order``. Active: started, and not
+    matured, on the quarter end. Of the same start, the tranche that sorts first.
+    """
+    once = first_by(loans.dropna(subset=[*tranche, start, maturity]), tranche, *order)
+    # A quarter counts if its last day is in the span: from that of the start to the one before the maturity's, unless they are the same day.
+    low, ended = quarter_index(start), quarter_index(maturity)
+    high = F.when(quarter_end_of(ended) == F.col(maturity), ended).otherwise(ended - 1)
+    spans = once.withColumns({"low__": F.greatest(low, F.lit(first)), "high__": F.least(high, F.lit(last))}).filter("low__ <= high__")
+    quarters = spans.withColumn("q", F.explode(F.sequence("low__", "high__"))).drop("low__", "high__")
+    return first_by(quarters, [key, "q"], f"-{start}", *tranche)

@@ -42,6 +42,52 @@ def lead_time(df: DataFrame, events: DataFrame, key: str, at: str, signal: str,
     return events.join(high, match, "left").groupBy(events[key], "event_at").agg((F.col("event_at") - F.min("at__")).alias("lead"))
 
 
+def lead_summary(leads: DataFrame, lead: str) -> DataFrame:
+    """Events, those with a lead, mean, median and share over 0 of the leads, and the signed-rank statistic.
+
+    Zeros are left out of the ranks, ties share the mean rank; ``w_plus`` is the sum of the
+    ranks of positive leads and ``z`` its normal approximation, with the tie correction.
+    Counts of each size are ranked, not rows, so the window holds as many rows as leads differ.
+    """
+    x = F.col(lead)
+    stats = leads.agg(
+        F.count(F.lit(1)).alias("n_events"), F.count(lead).alias("n_led"), F.avg(x.cast("double")).alias("mean_lead"),
+        F.percentile(lead, F.lit(0.5)).alias("median_lead"), F.avg((x > 0).cast("double")).alias("share_positive"),
+    )
+    sizes = leads.filter(x != 0).groupBy(F.abs(x).alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(x > 0).alias("p"))
+    rank = F.sum("t").over(Window.orderBy("size")) - (F.col("t") - 1) / 2
+    ranked = sizes.select("t", "p", rank.alias("rank"))
+    n, t = F.sum("t"), F.col("t").cast("double")
+    spread = n * (n + 1) * (2 * n + 1) / 24.0 - F.sum(t * t * t - t) / 48.0
+    w = F.coalesce(F.sum(F.col("p") * F.col("rank")), F.lit(0.0))
+    tested = ranked.agg(w.alias("w_plus"), F.when(spread > 0, (w - n * (n + 1) / 4.0) / F.sqrt(spread)).alias("z"))
+    return stats.withColumns({c: tested.select(c).scalar() for c in ("w_plus", "z")})
+
+
+def score_metrics(df: DataFrame, label: str, score: str, by: list[str], floor: float = 1e-15) -> DataFrame:
+    """n, positives, AUC (ties count half), PR-AUC (average precision), Brier score and log loss by group.
+
+    Rows without label or score don't count. Rows are summed by score before any window, so
+    the window sees one row a different score; a score of many digits should be rounded.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    cells = known.groupBy(*by, score).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p"))
+    down = Window.partitionBy(*by).orderBy(F.desc(score))
+    cells = cells.withColumns({"above_p": F.sum("p").over(down), "above_n": F.sum("n").over(down)})
+    s, p, q = F.col(score), F.col("p"), F.col("n") - F.col("p")
+    sure = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), s))
+    out = cells.groupBy(*by).agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("p").cast("bigint").alias("positives"),
+        F.sum(q * (F.col("above_p") - p / 2)).alias("pairs"), F.sum(p * F.col("above_p") / F.col("above_n")).alias("precision"),
+        F.sum(p * (1 - s) * (1 - s) + q * s * s).alias("squares"), F.sum(-p * F.ln(sure) - q * F.ln(1 - sure)).alias("loss"),
+    )
+    n, pos = F.col("n"), F.col("positives")
+    return out.select(
+        *by, "n", "positives", F.when((pos > 0) & (pos < n), F.col("pairs") / (pos * (n - pos))).alias("auc"),
+        F.when(pos > 0, F.col("precision") / pos).alias("pr_auc"), (F.col("squares") / n).alias("brier"), (F.col("loss") / n).alias("log_loss"),
+    )
+
+
 def folds(first_test: int, last_test: int) -> list[tuple[str, str]]:
     """Expanding walk-forward splits as (train, test) conditions on q."""
     return [(f"q < {t}", f"q = {t}") for t in range(first_test, last_test + 1)]

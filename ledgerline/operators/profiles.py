@@ -22,6 +22,15 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return shares.unpivot([], columns, "column_name", "missing_share")
 
 
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of each column; one pass, a row a column."""
+    stats = F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_samp(c).alias("std"),
+        F.min(F.col(c).cast("double")).alias("min"), *[F.percentile(c, F.lit(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)], F.max(F.col(c).cast("double")).alias("max"),
+    ) for c in columns])
+    return df.agg(stats.alias("stats")).select(F.inline("stats"))
+
+
 def range_profile(df: DataFrame, columns: list[str]) -> list[Column]:
     return [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
 

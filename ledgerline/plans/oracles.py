@@ -361,3 +361,42 @@ WITH o AS (SELECT o_orderpriority, CAST(year(day) AS BIGINT) AS year, CAST(o_ord
 SELECT o_orderpriority, year, count(*) AS n, CASE WHEN count(*) >= 30 THEN avg(y) ELSE any_value(pooled) END AS rate FROM o JOIN c USING (o_orderpriority) GROUP BY 1, 2"""
 ORACLES["walk_forward"] = f"SELECT CAST(f AS INT) AS fold, count(*) FILTER (q < 20 + f) AS n_train, count(*) FILTER (q = 20 + f) AS n_test FROM {SIGNALS}, range(0, 5) t(f) GROUP BY 1"
 ORACLES["stratified_pick"] = "SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 7919) % 10007, c_custkey) <= 4"
+
+PAIR300 = "CAST(c_custkey // 600 * 300 + c_custkey % 300 AS VARCHAR)"
+ORACLES["borrower_universe"] = f"""
+WITH c AS (SELECT c_custkey AS id, coalesce({COMPANY.format('c_custkey')}, 'Acme ' || CAST(c_custkey // 12 AS VARCHAR)) AS name, CASE WHEN c_custkey % 5 = 0 THEN ' t' || {PAIR300} END AS ticker FROM customer),
+w AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE -s_suppkey END AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'W' || CAST(s_suppkey AS VARCHAR) END AS ticker FROM supplier)
+SELECT *, 'company' AS source FROM c UNION ALL SELECT *, 'wide' FROM w WHERE id NOT IN (SELECT id FROM c)"""
+ORACLES["firm_identities"] = f"""
+SELECT *, {core('name_norm')} AS name_core FROM (SELECT gvkey, name, {norm('name')} AS name_norm FROM (
+  SELECT DISTINCT o_custkey AS gvkey, {COMPANY.format('o_custkey')} AS name FROM orders WHERE o_orderstatus <> 'P') WHERE name IS NOT NULL)"""
+ORACLES["ticker_map"] = """
+SELECT DISTINCT 'X' || CAST(l_suppkey % 40 AS VARCHAR) AS ticker, s_nationkey AS gvkey, 'Line ' || l_returnflag AS name
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 7 <> 0 AND s_acctbal > 0"""
+ORACLES["link_totals"] = """
+SELECT 'total' AS kind, NULL AS value, count(*) AS n FROM orders UNION ALL SELECT 'linked', NULL, count(*) FILTER (o_orderstatus <> 'P') FROM orders
+UNION ALL SELECT 'firms', NULL, count(DISTINCT o_custkey) FILTER (o_orderstatus <> 'P') FROM orders
+UNION ALL SELECT 'match_type', o_orderpriority, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'source', o_orderstatus, count(*) FROM orders GROUP BY 2"""
+ORACLES["lead_summary"] = f"""
+WITH l AS (SELECT lead - 3 AS x FROM ({ORACLES['lead_time']})),
+r AS (SELECT x, avg(i) OVER (PARTITION BY abs(x)) AS rank, count(*) OVER (PARTITION BY abs(x)) AS t FROM (SELECT x, row_number() OVER (ORDER BY abs(x)) AS i FROM l WHERE x <> 0)),
+w AS (SELECT coalesce(sum(rank) FILTER (x > 0), 0.0) AS w_plus, CAST(count(*) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r)
+SELECT (SELECT count(*) FROM l) AS n_events, (SELECT count(x) FROM l) AS n_led, (SELECT avg(x) FROM l) AS mean_lead, (SELECT CAST(quantile_cont(x, 0.5) AS DOUBLE) FROM l) AS median_lead,
+       (SELECT avg(CAST(x > 0 AS INT)) FROM l) AS share_positive, w_plus, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w"""
+ORACLES["auc_brier"] = f"""
+WITH o AS (SELECT CAST(year(day) AS BIGINT) AS year, o_orderkey % 11 / 10 AS s, CAST(o_orderstatus = 'F' AS INT) AS y FROM {ORD} WHERE o_totalprice > 30000),
+r AS (SELECT *, avg(i) OVER (PARTITION BY year, s) AS rank, sum(y) OVER d / count(*) OVER d AS precision FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY s) AS i FROM o) WINDOW d AS (PARTITION BY year ORDER BY s DESC)),
+a AS (SELECT year, count(*) AS n, CAST(sum(y) AS BIGINT) AS p, sum(rank) FILTER (y = 1) AS ranks, sum(precision) FILTER (y = 1) AS precision, avg((s - y) * (s - y)) AS brier,
+      avg(CASE y WHEN 1 THEN -ln(greatest(s, 1e-15)) ELSE -ln(1 - least(s, 1 - 1e-15)) END) AS log_loss FROM r GROUP BY 1)
+SELECT year, n, p AS positives, CASE WHEN p > 0 AND p < n THEN round((ranks - p * (p + 1) / 2) / (p * (n - p)), 9) END AS auc, CASE WHEN p > 0 THEN round(precision / p, 9) END AS pr_auc, round(brier, 9) AS brier, round(log_loss, 9) AS log_loss FROM a"""
+ORACLES["describe_columns"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({x}) AS n, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, round(CAST(min({x}) AS DOUBLE), 6) AS min, "
+    + ", ".join(f"round(CAST(quantile_cont({x}, {p / 100}) AS DOUBLE), 6) AS q{p}" for p in (25, 50, 75))
+    + f", round(CAST(max({x}) AS DOUBLE), 6) AS max FROM lineitem"
+    for c, x in (("quantity", "l_quantity"), ("place", "nullif(l_linenumber, 7)"))
+)
+ORACLES["tranche_panel"] = f"""
+WITH t AS (SELECT l_orderkey AS tranche, o_custkey AS gvkey, CAST(l_shipdate AS DATE) AS start, l_quantity AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1),
+g AS (SELECT CAST(q AS BIGINT) AS q, {qe('q')} AS e FROM range({1992 * 4}, {1999 * 4}) x(q))
+SELECT gvkey, q, tranche, start, amount FROM t JOIN g ON start <= e AND e <= start + 200 QUALIFY row_number() OVER (PARTITION BY gvkey, q ORDER BY start DESC, tranche) = 1"""

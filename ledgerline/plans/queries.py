@@ -674,6 +674,38 @@ def link_counts(spark, sf_dir):
     return linkage.link_summary(linkage.link_borrowers(_people(spark, sf_dir), _firms(spark, sf_dir)))
 
 
+def _wide_loans(spark, sf_dir):
+    """Every supplier as a row of the wide loan table; about half of its ids are customers too."""
+    k = F.col("s_suppkey")
+    return _t(spark, sf_dir, "supplier").select(F.when(k % 2 == 0, k).otherwise(-k).alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, F.concat(F.lit("W"), k.cast("string"))).alias("ticker"))
+
+
+@query
+def borrower_universe(spark, sf_dir):
+    return linkage.borrower_universe(_people(spark, sf_dir), _wide_loans(spark, sf_dir))
+
+
+@query
+def firm_identities(spark, sf_dir):
+    names = _orders(spark, sf_dir).select(F.col("o_custkey").alias("gvkey"), F.when(F.col("o_orderstatus") != "P", _company("o_custkey")).alias("name"))
+    return linkage.firm_identities(names)
+
+
+@query
+def ticker_map(spark, sf_dir):
+    k = F.col("l_suppkey")
+    names = _t(spark, sf_dir, "lineitem").select(k.alias("permno"), F.when(k % 7 != 0, F.concat(F.lit(" x"), (k % 40).cast("string"), F.lit(" "))).alias("ticker"), F.concat(F.lit("Line "), F.col("l_returnflag")).alias("name"))
+    links = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("permno"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("gvkey"))
+    return linkage.ticker_firms(names, links)
+
+
+@query
+def link_totals(spark, sf_dir):
+    firm = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    links = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), firm.alias("gvkey"), F.col("o_orderpriority").alias("match_type"), F.col("o_orderstatus").alias("source"))
+    return linkage.link_totals(links)
+
+
 @query
 def security_keys(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), F.substring("p_type", 1, 5), F.lit("-"), F.col("p_partkey").cast("string")).alias("cusip"))
@@ -743,6 +775,35 @@ def lead_time(spark, sf_dir):
     return modelling.lead_time(_signals(spark, sf_dir), ev, "user_id", "q", "top", 60.0, 8).select("user_id", "event_at", "lead")
 
 
+@query
+def lead_summary(spark, sf_dir):
+    ev = _events(spark, sf_dir).filter("event_type = 'error' AND value > 70").select("user_id", F.col("d").alias("event_at")).distinct()
+    leads = modelling.lead_time(_signals(spark, sf_dir), ev, "user_id", "q", "top", 60.0, 8)
+    return modelling.lead_summary(leads.withColumn("lead", F.col("lead") - 3), "lead")
+
+
+@query
+def auc_brier(spark, sf_dir):
+    o = _orders(spark, sf_dir).select(F.year("day").cast("bigint").alias("year"), (F.col("o_orderkey") % 11 / 10).alias("score"), F.when(F.col("o_totalprice") > 30000, (F.col("o_orderstatus") == "F").cast("bigint")).alias("y"))
+    m = modelling.score_metrics(o, "y", "score", ["year"])
+    return m.select("year", "n", "positives", *[F.round(c, 9).alias(c) for c in ("auc", "pr_auc", "brier", "log_loss")])
+
+
+@query
+def describe_columns(spark, sf_dir):
+    d = profiles.describe(_t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.nullif(F.col("l_linenumber"), F.lit(7)).alias("place")), ["quantity", "place"])
+    return d.select("column_name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@query
+def tranche_panel(spark, sf_dir):
+    """Loans: lines of an order, exploded over ship modes; one a tranche, the newest active one a firm and quarter."""
+    li = _t(spark, sf_dir, "lineitem").join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    start = F.col("l_shipdate").cast("date")
+    loans = li.select(F.col("l_orderkey").alias("tranche"), F.col("o_custkey").alias("gvkey"), start.alias("start"), F.date_add(start, 200).alias("maturity"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("amount"))
+    return accounting.active_tranches(loans, ["tranche"], ["line"], "start", "maturity", *GRID).select("gvkey", "q", "tranche", "start", "amount")
+
+
 @query
 def static_rate_pooling(spark, sf_dir):
     o = _orders(spark, sf_dir).select("o_orderpriority", F.year("day").cast("bigint").alias("year"), F.when(F.col("o_totalprice") > 50000, (F.col("o_orderstatus") == "F").cast("bigint")).alias("y"))
