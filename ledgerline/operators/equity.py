@@ -41,7 +41,17 @@ def link_to_firms(monthly: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def quarterly_features(monthly: DataFrame, market: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Quarter-end months with market returns and assets joined, and market to book."""
+    """Quarter-end months with market returns and assets joined, and market to book; one security a firm and quarter, the largest."""
     ends = monthly.filter(F.month("month").isin(3, 6, 9, 12))
     joined = ends.join(market, "month", "left").join(accounts, (ends["gvkey"] == accounts["gvkey"]) & (ends["month"] == accounts["quarter_end"]), "left").drop(accounts["gvkey"])
-    return joined.withColumn("market_to_book", guarded_ratio(F.col("mktcap") / 1000, "atq"))
+    valued = joined.withColumn("market_to_book", guarded_ratio(F.col("mktcap") / 1000, "atq"))
+    return first_by(valued, ["gvkey", "month"], "-mktcap", "permno")
+
+
+def single_security(matched: DataFrame) -> DataFrame:
+    """One security a (gvkey, datadate): primary, then link type, newest link, permno; other codes come last."""
+    ranked = matched.withColumns({
+        "prim__": F.when(F.col("linkprim") == "P", 0).when(F.col("linkprim") == "C", 1).otherwise(9),
+        "type__": F.when(F.col("linktype") == "LC", 0).when(F.col("linktype") == "LU", 1).otherwise(9),
+    })
+    return first_by(ranked, ["gvkey", "datadate"], "prim__", "type__", "-linkdt", "permno").drop("prim__", "type__")

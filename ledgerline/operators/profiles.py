@@ -72,6 +72,15 @@ def event_match(df: DataFrame, ours: str, theirs: str, by: str, at: str) -> Data
     )
 
 
+def dataset_metrics(df: DataFrame, key: str, date: str) -> DataFrame:
+    """One row for a dataset's manifest: rows, columns, distinct keys, first and last date, status."""
+    n = F.count(F.lit(1))
+    return df.agg(
+        n.alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.count_distinct(key).alias("n_keys"), F.count_if(F.col(date).isNull()).alias("n_undated"),
+        F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.when(n > 0, "success").otherwise("empty").alias("status"),
+    )
+
+
 def extraction_status(parts: DataFrame, by: str) -> DataFrame:
     """success if all parts succeeded, failed if none, else partial."""
     ok = F.count_if(F.col("ok"))

@@ -400,3 +400,23 @@ WITH t AS (SELECT l_orderkey AS tranche, o_custkey AS gvkey, CAST(l_shipdate AS
   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1),
 g AS (SELECT CAST(q AS BIGINT) AS q, {qe('q')} AS e FROM range({1992 * 4}, {1999 * 4}) x(q))
 SELECT gvkey, q, tranche, start, amount FROM t JOIN g ON start <= e AND e <= start + 200 QUALIFY row_number() OVER (PARTITION BY gvkey, q ORDER BY start DESC, tranche) = 1"""
+ORACLES["account_features"] = """
+WITH i AS (SELECT *, CASE WHEN l_quantity > 5 THEN l_quantity END AS d1, CASE WHEN l_linestatus = 'F' THEN l_tax END AS d2, l_extendedprice - 20000 AS atq FROM lineitem),
+f AS (SELECT *, CASE WHEN d1 IS NOT NULL OR d2 IS NOT NULL THEN coalesce(d1, 0) + coalesce(d2, 0) END AS debt, CASE WHEN l_tax > 0 THEN l_discount / l_tax END AS cover FROM i)
+SELECT l_orderkey, l_linenumber, debt AS total_debt, CASE WHEN atq > 0 THEN debt / atq END AS leverage, cover AS coverage, CASE WHEN atq > 0 THEN (l_quantity - 25) / atq END AS profitability,
+       l_quantity / l_linenumber AS liquidity, CASE WHEN atq > 0 AND l_returnflag = 'R' THEN l_quantity / atq END AS cash_ratio, l_returnflag = 'N' AS rdq_missing,
+       d1 IS NULL OR d2 IS NULL AS debt_component_missing, cover IS NULL AS coverage_missing, CASE WHEN atq > 0 THEN round(ln(atq), 9) END AS log_assets FROM f"""
+ORACLES["quarterly_features"] = f"""
+WITH m AS (SELECT s_nationkey AS gvkey, l_suppkey AS permno, last_day(CAST(l_shipdate AS DATE)) AS month, {total('l_extendedprice')} AS mktcap FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+  WHERE month(CAST(l_shipdate AS DATE)) % 3 = 0 GROUP BY 1, 2, 3),
+k AS (SELECT last_day(day) AS month, count(*) AS n_orders FROM {ORD} GROUP BY 1),
+a AS (SELECT c_nationkey AS gvkey, {qe(qi('day'))} AS month, {total('o_totalprice')} AS t FROM {ORD} JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
+SELECT gvkey, month, permno, mktcap, n_orders, CASE WHEN t > 200000 THEN mktcap / 1000 / t END AS market_to_book FROM m LEFT JOIN k USING (month) LEFT JOIN a USING (gvkey, month)
+QUALIFY row_number() OVER (PARTITION BY gvkey, month ORDER BY mktcap DESC, permno) = 1"""
+ORACLES["single_security"] = """
+WITH m AS (SELECT l_suppkey AS gvkey, last_day(CAST(l_shipdate AS DATE)) AS datadate, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'N' THEN 'C' WHEN 'R' THEN 'J' END AS linkprim,
+  CASE l_linenumber % 3 WHEN 0 THEN 'LC' WHEN 1 THEN 'LU' END AS linktype, CASE WHEN l_quantity < 50 THEN CAST(l_shipdate AS DATE) END AS linkdt, l_orderkey * 10 + l_linenumber AS permno FROM lineitem)
+SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY gvkey, datadate ORDER BY list_position(['P', 'C'], linkprim) NULLS LAST, list_position(['LC', 'LU'], linktype) NULLS LAST, linkdt DESC NULLS LAST, permno) = 1"""
+ORACLES["dataset_metrics"] = f"""
+SELECT count(*) AS n_rows, 3 AS n_columns, count(DISTINCT o_custkey) AS n_keys, count(*) FILTER (o_orderstatus = 'P') AS n_undated, min(day) FILTER (o_orderstatus <> 'P') AS first_date,
+       max(day) FILTER (o_orderstatus <> 'P') AS last_date, CASE WHEN count(*) > 0 THEN 'success' ELSE 'empty' END AS status FROM {ORD}"""

@@ -789,6 +789,46 @@ def auc_brier(spark, sf_dir):
     return m.select("year", "n", "positives", *[F.round(c, 9).alias(c) for c in ("auc", "pr_auc", "brier", "log_loss")])
 
 
+@query
+def account_features(spark, sf_dir):
+    pick = lambda cond, c: F.when(F.expr(cond), F.col(c))
+    items = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", pick("l_quantity > 5", "l_quantity").alias("dlttq"), pick("l_linestatus = 'F'", "l_tax").alias("dlcq"), (F.col("l_extendedprice") - 20000).alias("atq"),
+        F.col("l_discount").alias("oibdpq"), F.col("l_tax").alias("xintq"), (F.col("l_quantity") - 25).alias("niq"), F.col("l_quantity").alias("actq"), F.col("l_linenumber").alias("lctq"),
+        pick("l_returnflag = 'R'", "l_quantity").alias("cheq"), pick("l_returnflag <> 'N'", "l_shipdate").alias("rdq"),
+    )
+    made = ["total_debt", "leverage", "coverage", "profitability", "liquidity", "cash_ratio", "rdq_missing", "debt_component_missing", "coverage_missing"]
+    return accounting.with_features(items).select("l_orderkey", "l_linenumber", *made, F.round("log_assets", 9).alias("log_assets"))
+
+
+@query
+def quarterly_features(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("permno"), F.col("s_nationkey").alias("gvkey"))
+    li = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("permno"), month_end(F.col("l_shipdate").cast("date")).alias("month")).agg(_total("l_extendedprice", "mktcap"))
+    market = _orders(spark, sf_dir).groupBy(month_end("day").alias("month")).agg(F.count(F.lit(1)).alias("n_orders"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("gvkey"))
+    accounts = _orders(spark, sf_dir).join(c, "o_custkey").groupBy("gvkey", quarter_end("day").alias("quarter_end")).agg(_total("o_totalprice", "total"))
+    accounts = accounts.select("gvkey", "quarter_end", F.when(F.col("total") > 200000, F.col("total")).otherwise(0.0).alias("atq"))
+    return equity.quarterly_features(li.join(s, "permno"), market, accounts).select("gvkey", "month", "permno", "mktcap", "n_orders", "market_to_book")
+
+
+@query
+def single_security(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    matched = li.select(
+        F.col("l_suppkey").alias("gvkey"), month_end(F.col("l_shipdate").cast("date")).alias("datadate"), lookup({"A": "P", "N": "C", "R": "J"}, "l_returnflag").alias("linkprim"),
+        F.when(F.col("l_linenumber") % 3 == 0, "LC").when(F.col("l_linenumber") % 3 == 1, "LU").alias("linktype"),
+        F.when(F.col("l_quantity") < 50, F.col("l_shipdate").cast("date")).alias("linkdt"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("permno"),
+    )
+    return equity.single_security(matched)
+
+
+@query
+def dataset_metrics(spark, sf_dir):
+    o = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("day")).alias("day"))
+    return profiles.dataset_metrics(o, "o_custkey", "day")
+
+
 @query
 def describe_columns(spark, sf_dir):
     d = profiles.describe(_t(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("quantity"), F.nullif(F.col("l_linenumber"), F.lit(7)).alias("place")), ["quantity", "place"])
