@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, media, minhash, quality, toxicity, urlfilter
+from . import bpe, chat, decontam, langid, linededup, media, minhash, packing, quality, resampling, toxicity, urlfilter
 from .common import id_bucket, table
 
 URL_RULES = [
@@ -89,6 +89,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -160,7 +168,11 @@ GROUP BY d.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_language_id, op8_bpe, op9_minhash_near_dedup, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_language_id,
+        op8_bpe, op9_minhash_near_dedup, op10_toxicity, op12_best_fit_packing, op13_importance_resampling,
+    )
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
