@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, media, minhash, packing, quality, resampling, toxicity, urlfilter
+from . import bpe, chat, collocations, decontam, langid, linededup, media, minhash, packing, quality, resampling, toxicity, urlfilter
 from .common import id_bucket, table
 
 URL_RULES = [
@@ -89,6 +89,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -167,12 +171,69 @@ FROM documents d LEFT JOIN (
 GROUP BY d.doc_id
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS g
+  FROM w, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE f >= 30 AND len(g) > 1),
+cut AS (
+  SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.a // (l.f + r.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, len(c.g))) AS s(k), f l, f r
+  WHERE l.lang = c.lang AND l.g = c.g[1:k] AND r.lang = c.lang AND r.g = c.g[k + 1:]),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, g[i : i + k - 1] AS g, max(a) AS longer
+  FROM c, unnest(range(2, len(c.g))) AS s(k), unnest(range(1, len(c.g) - k + 2)) AS t(i) GROUP BY ALL)
+SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, array_to_string(x.g, ' ')) AS rank,
+       array_to_string(x.g, ' ') AS phrase, a, l, r, n, score
+FROM weakest x JOIN total USING (lang) LEFT JOIN inner_ i ON i.lang = x.lang AND i.g = x.g
+WHERE i.longer IS NULL OR 100 * i.longer < 80 * a
+QUALIFY rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(k, v) AS (
+  SELECT 0, list_transform(range(256), lambda x: x::UINTEGER)
+  UNION ALL SELECT k + 1, list_transform(v, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UINTEGER) ELSE x >> 1 END) FROM bits WHERE k < 8),
+crc AS (SELECT v FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+df AS (SELECT doc_id, w[i] AS f FROM d, unnest(range(1, len(w) + 1)) AS t(i) UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM d, unnest(range(1, len(w))) AS t(i)),
+bf AS (SELECT w[i] AS f FROM b, unnest(range(1, len(w) + 1)) AS t(i) UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM b, unnest(range(1, len(w))) AS t(i)),
+bytes AS (SELECT f, list_transform(range(1, octet_length(encode(f)) * 2, 2), lambda i: ('0x' || hex(encode(f))[i : i + 1])::UINTEGER) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+bucket AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UINTEGER, x), lambda c, y: xor(c >> 8, crc.v[(xor(c, y) & 255)::INTEGER + 1])), 4294967295::UINTEGER) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN bucket USING (f) GROUP BY bucket),
+gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE))) AS BIGINT) AS g
+  FROM s LEFT JOIN t ON s.bucket = t.bucket),
+weighed AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM df JOIN bucket USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(d.doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weighed w ON d.doc_id = w.doc_id),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS k FROM scored WHERE n_features >= 39)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_url_filter, op3_decontamination, op4_line_dedup, op5_quality_classifier, op6_chat_formatting, op7_language_id,
-        op8_bpe, op9_minhash_near_dedup, op10_toxicity, op12_best_fit_packing, op13_importance_resampling,
+        op8_bpe, op9_minhash_near_dedup, op10_toxicity, op11_phrase_collocations, op12_best_fit_packing, op13_importance_resampling,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_phrase_collocations": OP11_SQL, "op13_importance_resampling": OP13_SQL}
