@@ -13,9 +13,8 @@ some hundred times fewer pieces than the one before, and no task ever holds more
 Closing a bin only ends its improvement; every piece keeps its place. Rounds are written to the
 shared folder, so a lost executor repeats its own cells only, with the same outcome.
 
-Encoding. White space ends a token of this kind of vocabulary and is dropped, so the runs of a text
-between blanks are encoded apart: unseen ones by the tokenizers library, others from a
-bounded memory of the worker.
+Encoding. White space ends a token of this kind of vocabulary and is dropped, so runs between
+blanks are encoded apart, and words that a worker has met come from its bounded memory.
 
 Defined cases: null and empty texts are one piece of the closing id alone. Repeated rows are packed as
 often as they stand. Null ids are ids. An empty table gives an empty table. Very long
@@ -25,6 +24,7 @@ texts are read whole and cut. Extra columns are not carried, so none can clash.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import partial
 from zlib import crc32
@@ -42,14 +42,23 @@ CAPACITY = 4096
 CLOSING = 1
 #: Pieces of a cell, about; bins that a cell leaves open for the next round.
 CELL, OPEN = 40_000, 64
-#: Bytes of encoded runs that a worker remembers, about; then it starts anew. Of these for each run besides its letters.
-MEMORY, _RUN = 96 << 20, 150
+#: Bytes of words and of runs that a worker remembers, about, each; then it starts anew. Of these for each besides
+#: its letters; letters of those that aren't kept.
+MEMORY, _ENTRY, _LONG = 192 << 20, 150, 64
+#: Texts whose letters have one form each, and the vocabulary's cuts for them in lower case (fixed values of its format).
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Exchanges tried in a cell for each of its open bins.
 TRIES = 64
 
 
-class RunEncoder:
-    """Encodes texts run by run; ids are little-endian unsigned 32-bit numbers."""
+class TextEncoder:
+    """Encodes texts; ids are little-endian unsigned 32-bit numbers.
+
+    Runs between blanks are encoded apart. A run of ASCII and Latin letters, where case and
+    composition are plain, is cut into words here, and the library's model is asked for unseen words
+    only. Any other run goes through the whole library.
+    """
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -57,21 +66,52 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memory: dict[str, bytes] = {}
-        self.held = 0
+        letters = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        rest = [b for b in range(256) if b not in letters]
+        #: The printable letter that stands for each byte in the vocabulary.
+        self.letters = letters | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.words: dict[str, bytes] = _Remembered(self._word)
+        self.runs: dict[str, bytes] = _Remembered(self._run)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        word = self.words.__getitem__
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            out = b"".join(map(word, _WORDS.findall(text.lower())))
+        else:
+            plain = lambda r: _PLAIN.fullmatch(r) and "<|" not in r
+            out = b"".join(b"".join(map(word, _WORDS.findall(r.lower()))) if plain(r) else self.runs[r] for r in text.split(" "))
+        self.words.bound()
+        self.runs.bound()
+        return out
+
+
+class _Remembered(dict):
+    """What ``make`` makes of a key, kept until about ``MEMORY`` bytes are held."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(key) <= _LONG:
+            self[key] = out
+            self.held += _ENTRY + 2 * len(key) + len(out)
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").split(" ") for t in texts]
+    def bound(self) -> None:
         if self.held > MEMORY:
-            self.memory.clear()
+            self.clear()
             self.held = 0
-        fresh = list({r for runs in cut for r in runs} - self.memory.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memory[run] = ids = np.array(e.ids, "<u4").tobytes()
-                self.held += _RUN + 2 * len(run) + len(ids)
-        return [b"".join(map(self.memory.__getitem__, runs)) for runs in cut]
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -84,11 +124,11 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = model.value
-        encoder = resident(("runs", hashlib.sha256(source.encode()).hexdigest()), lambda: RunEncoder(source))
+        encoder = resident(("runs", hashlib.sha256(source.encode()).hexdigest()), lambda: TextEncoder(source))
         for batch in text_runs(batches, text, 2 << 20):
             rows, of = [], []
-            for k, ids in enumerate(encoder.encode(batch.column(text).to_pylist())):
-                ids += closing
+            for k, t in enumerate(batch.column(text).to_pylist()):
+                ids = encoder.encode(t) + closing
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     of.append(k)
