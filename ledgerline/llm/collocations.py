@@ -50,6 +50,8 @@ BITS, CHUNK = 24, 1 << 16
 _HEAVY = 1000
 #: Texts of about so many bytes are counted together; words that a task knows by number.
 RUN, KNOWN = 4 << 20, 400_000
+#: Rows that a task of the second pass merges before it sends them.
+HELD = 2_500_000
 #: A-Z lower-cased, what ends a piece made one byte that no text has, tabs made blanks.
 _END = 255
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -77,11 +79,11 @@ class Words(dict):
         words = end.join([*texts, b"", b""]).translate(_FOLD).replace(end, b" " + end + b" ").split()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def buckets(self, ids: np.ndarray, lang: str) -> np.ndarray:
-        """The hashed counter of each word and the next."""
-        h = np.array(self.hashes, np.uint64)[ids]
+    def bucket(self, left: np.ndarray, right: np.ndarray, lang: str) -> np.ndarray:
+        """The hashed counter of each pair of words."""
+        h = np.array(self.hashes, np.uint64)
         with np.errstate(over="ignore"):
-            x = h[:-1] * _MIX[0] + h[1:] * _MIX[1] + np.uint64(crc32(lang.encode())) * _MIX[2]
+            x = h[left] * _MIX[0] + h[right] * _MIX[1] + np.uint64(crc32(lang.encode())) * _MIX[2]
             x = (x ^ (x >> np.uint64(29))) * _MIX[2]
         return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -120,7 +122,7 @@ def _count(least: int):
             if lang in counts:
                 new[: len(counts[lang])] += counts[lang]
             counts[lang] = new
-            pairs = words.buckets(ids, lang)[(ids[:-1] > 0) & (ids[1:] > 0)]
+            pairs = words.bucket(ids[:-1], ids[1:], lang)[(ids[:-1] > 0) & (ids[1:] > 0)]
             found, n = np.unique(pairs, return_counts=True)
             filter_[found] = np.minimum(filter_[found] + np.minimum(n, top), top)
             heavy = n * _HEAVY > len(pairs)
@@ -155,38 +157,52 @@ def _passing(least: int):
 def _project(passing, hot):
     """Task of the second pass: pairs that pass, each with what may follow, equal ones counted."""
 
+    names = ["lang", *(f"w{i}" for i in range(1, LONGEST + 1)), "n", "salt"]
+
+    def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = keys[:, (order := np.lexsort(keys[::-1]))], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        return keys[:, first], np.add.reduceat(n, first)
+
+    def rows(words: Words, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        known = pa.array([b"", *words.names[1:]], pa.binary()).cast(pa.string())
+        for lang, parts in held.items():
+            keys, n = merged(np.concatenate([k for k, _ in parts], axis=1), np.concatenate([c for _, c in parts]))
+            # Rows of hot pairs are dealt by all that follows.
+            pairs = np.stack([keys[0] >> 32, keys[0] & 0xFFFFFFFF])
+            salt = np.where(np.isin(words.bucket(pairs[0], pairs[1], lang), hot.value), keys[1] % 32_749 + 1, 0)
+            for k in range(0, len(n), 50_000):
+                at = slice(k, k + 50_000)
+                ids = [half for key in keys for half in (key[at] >> 32, key[at] & 0xFFFFFFFF)]
+                size = len(ids[0])
+                # Words of a run that goes no further are null.
+                columns = [known.take(pa.array(i, mask=i == 0)) for i in ids]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), *columns, pa.array(n[at]), pa.array(salt[at].astype(np.int32))], names=names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, heavy = passing.value, hot.value
-        words = Words()
+        bits = passing.value
+        words, held, size = Words(), {}, 0
         for lang, texts in _by_lang(batches):
-            if len(words.names) > KNOWN:
-                words = Words()
             ids = words.number(texts)
-            bucket = words.buckets(ids, lang)
+            bucket = words.bucket(ids[:-1], ids[1:], lang)
             ok = (ids[:-1] > 0) & (ids[1:] > 0) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
             at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            ok = np.concatenate([ok, np.zeros(LONGEST, bool)])
-            ids = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
-            run_, going = [ids[at], ids[at + 1]], np.ones(len(at), bool)
-            for d in range(1, LONGEST - 1):
-                going = going & ok[at + d]
-                run_.append(np.where(going, ids[at + d + 1], 0))
-            keys = np.stack([run_[i].astype(np.int64) << 32 | run_[i + 1] for i in range(0, LONGEST, 2)])
-            order = np.lexsort(keys[::-1])
-            keys = keys[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-            n = np.diff(np.concatenate([first, [len(at)]]))
-            keep = order[first]
-            # Words of a run that goes no further are null; rows of hot pairs are dealt by all that follows.
-            salt = np.where(np.isin(bucket[at[keep]], heavy), keys[1, first] % 32_749 + 1, 0)
-            names = pa.array([b"", *words.names[1:]], pa.binary()).cast(pa.string())
-            columns = [names.take(pa.array(r[keep], mask=r[keep] == 0)) for r in run_]
-            size = len(keep)
-            for k in range(0, size, 50_000):
-                part = [c.slice(k, 50_000) for c in (pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), *columns, pa.array(n), pa.array(salt.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(part, names=["lang", *(f"w{i}" for i in range(1, LONGEST + 1)), "n", "salt"])
+            if len(at):
+                ok = np.concatenate([ok, np.zeros(LONGEST, bool)])
+                ids = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
+                run_, going = [ids[at], ids[at + 1]], np.ones(len(at), bool)
+                for d in range(1, LONGEST - 1):
+                    going = going & ok[at + d]
+                    run_.append(np.where(going, ids[at + d + 1], 0))
+                keys = np.stack([run_[i].astype(np.int64) << 32 | run_[i + 1] for i in range(0, LONGEST, 2)])
+                held.setdefault(lang, []).append(merged(keys, np.ones(len(at), np.int64)))
+                size += held[lang][-1][0].shape[1]
+            if size > HELD or len(words.names) > KNOWN:
+                yield from rows(words, held)
+                held, size = {}, 0
+            if len(words.names) > KNOWN:
+                words = Words()
+        yield from rows(words, held)
 
     return run
 

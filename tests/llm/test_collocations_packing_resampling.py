@@ -112,7 +112,8 @@ def test_a_hot_pair_is_dealt_by_what_follows():
     texts = ["of the " + f"w{i} v{i}" for i in range(50)]
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(texts)], names=["lang_", "text_"])
     words = collocations.Words()
-    hot = words.buckets(words.number([b"of the"]), "en")[:1]
+    ids = words.number([b"of the"])
+    hot = words.bucket(ids[:1], ids[1:2], "en")
     full = np.full((1 << collocations.BITS) >> 3, 255, np.uint8)
     rows = [r for b in collocations._project(Value(full), Value(hot))([batch]) for r in b.to_pylist()]
     assert len({r["salt"] for r in rows if r["w2"] == "the"}) > 40
