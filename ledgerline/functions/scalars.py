@@ -83,3 +83,11 @@ def security_key(cusip: str | Column, size: int) -> Column:
     """First ``size`` letters or digits of an identifier that has at least as many, else null."""
     clean = F.upper(F.regexp_replace(F.trim(_c(cusip)), "[^A-Za-z0-9]", ""))
     return F.when(F.length(clean) >= size, F.substring(clean, 1, size))
+
+
+def same_keys(keys: list[str], suffix: str) -> Column:
+    """Each key equals its namesake with ``suffix``, nulls too; true without keys."""
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}{suffix}"))
+    return match

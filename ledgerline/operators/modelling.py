@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def winsorize(df: DataFrame, columns: list[str], train: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip columns to quantiles of the training rows; nulls stay. The bounds are scalars."""
-    bounds = df.filter(train).agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    clipped = {}
-    for c in columns:
-        b = bounds.select(c).scalar()
-        clipped[c] = F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.get(b, F.lit(1))), F.get(b, F.lit(0))))
-    return df.withColumns(clipped)
+    """Clip columns to quantiles of the training rows; nulls stay. All bounds are one scalar, of one scan."""
+    bounds = df.filter(train).agg(F.struct(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).alias("b")).scalar()
+    clip = lambda c: F.greatest(F.least(F.col(c), F.get(bounds[c], F.lit(1))), F.get(bounds[c], F.lit(0)))
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), clip(c)) for c in columns})
 
 
 def z_scores(df: DataFrame, columns: list[str], train: str) -> DataFrame:
-    """z_<column> by mean and deviation of the training rows."""
-    out = {}
-    for c in columns:
-        mean, dev = (df.filter(train).agg(f(c)).scalar() for f in (F.mean, F.stddev_samp))
-        out[f"z_{c}"] = F.when(dev > 0, (F.col(c) - mean) / dev)
-    return df.withColumns(out)
+    """z_<column> by mean and deviation of the training rows, which are one scalar, of one scan."""
+    stats = df.filter(train).agg(F.struct(*[F.struct(F.mean(c).alias("mean"), F.stddev_samp(c).alias("dev")).alias(c) for c in columns]).alias("s")).scalar()
+    return df.withColumns({f"z_{c}": F.when(stats[c]["dev"] > 0, (F.col(c) - stats[c]["mean"]) / stats[c]["dev"]) for c in columns})
 
 
 def pooled_rate(df: DataFrame, label: str, fine: list[str], coarse: list[str], least: int) -> DataFrame:
@@ -91,38 +83,3 @@ def score_metrics(df: DataFrame, label: str, score: str, by: list[str], floor: f
 def folds(first_test: int, last_test: int) -> list[tuple[str, str]]:
     """Expanding walk-forward splits as (train, test) conditions on q."""
     return [(f"q < {t}", f"q = {t}") for t in range(first_test, last_test + 1)]
-
-
-def merton(df: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """Asset value, asset volatility and distance to default of (equity, equity_vol, debt, rate), a horizon of one year.
-
-    A fixed-point iteration on each row, vectorised over Arrow batches; rows that lack an
-    input or a positive value give nulls.
-    """
-    extra = "asset_value double, asset_vol double, distance double"
-
-    def solve(batches):
-        from math import sqrt
-
-        erf = np.vectorize(__import__("math").erf, otypes=[float])
-        for pdf in batches:
-            e, s, d, r = (pdf[c].to_numpy(dtype=float) for c in ("equity", "equity_vol", "debt", "rate"))
-            good = (e > 0) & (s > 0) & (d > 0) & np.isfinite(r)
-            v, sv = e + d, s * e / (e + d)
-            with np.errstate(all="ignore"):
-                for _ in range(rounds):
-                    d1 = (np.log(v / d) + r + sv**2 / 2) / sv
-                    n1, n2 = 0.5 * (1 + erf(d1 / sqrt(2))), 0.5 * (1 + erf((d1 - sv) / sqrt(2)))
-                    nv = (e + d * np.exp(-r) * n2) / n1
-                    ns = s * e / (nv * n1)
-                    done = np.nanmax(np.abs(nv - v) / v, initial=0) < tolerance and np.nanmax(np.abs(ns - sv), initial=0) < tolerance
-                    v, sv = nv, ns
-                    if done:
-                        break
-                dist = (np.log(v / d) + r - sv**2 / 2) / sv
-            blank = lambda x: np.where(good, x, np.nan)
-            out = pdf.assign(asset_value=blank(v), asset_vol=blank(sv), distance=blank(dist))
-            yield out.astype(object).where(pd.notna(out), None) if not good.all() else out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(solve, f"{fields}, {extra}")

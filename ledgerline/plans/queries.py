@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import expand_span, month_end, quarter_end, quarter_end_of, quarter_grid, quarter_index
 from ..functions.scalars import any_missing, guarded_log, guarded_ratio, lookup, number, security_key, sum_known
-from ..operators import accounting, equity, labels, linkage, modelling, profiles, ratings, select, temporal
+from ..operators import accounting, equity, labels, linkage, merton, modelling, profiles, ratings, select, temporal
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -874,4 +874,4 @@ def hash_sample(spark, sf_dir):
 @query
 def merton_distance(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("equity"), (0.2 + F.col("c_custkey") % 10 / 20).alias("equity_vol"), F.lit(3000.0).alias("debt"), F.lit(0.03).alias("rate"))
-    return modelling.merton(c)
+    return merton.merton(c)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators import linkage, modelling, profiles
+from ledgerline.operators import linkage, merton, modelling, profiles
 from ledgerline.sources import sinks, tables
 from ledgerline.streaming import ratings as stream
 
@@ -78,7 +78,7 @@ def test_merton_solves_its_equations(spark):
     import math
 
     df = spark.createDataFrame([(50.0, 0.4, 40.0, 0.03), (None, 0.4, 40.0, 0.03)], "equity double, equity_vol double, debt double, rate double")
-    good, bad = sorted(modelling.merton(df).collect(), key=lambda r: r.equity is None)
+    good, bad = sorted(merton.merton(df).collect(), key=lambda r: r.equity is None)
     n = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
     d1 = (math.log(good.asset_value / 40) + 0.03 + good.asset_vol**2 / 2) / good.asset_vol
     assert abs(good.asset_value * n(d1) - 40 * math.exp(-0.03) * n(d1 - good.asset_vol) - 50) < 1e-5
