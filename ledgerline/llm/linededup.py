@@ -45,6 +45,8 @@ PERCENT = 80
 BUCKETS = 1 << 19
 #: Words whose bucket counts this often are frequent: keys in pairs only.
 FREQUENT = 1 << 10
+#: Sets of so many words have parts as keys instead of prefixes.
+LONG = 256
 #: Words whose pairs are a line's leader keys.
 LEAST = 3
 #: Rounds of leaders at most; what is open then is left to the join, which is exact by itself.
@@ -136,7 +138,38 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
     lines = lines.select(*where, "hashes", folded.alias("d2"), F.size("hashes").cast("bigint").alias("n"))
     lines = lines.withColumn("levels", _word_levels(docs)).select(*where, "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
     prefix = F.slice("keys", F.lit(1), F.least(F.col("n"), F.col("n") - _least_size(F.col("n"), percent) + 2).cast("int"))
-    return lines.select(*where, F.xxhash64("keys").alias("d1"), "d2", "n", prefix.alias("prefix"), odd(0).alias("q0"), odd(1).alias("q1"))
+    whole = F.when(F.col("n") >= _sizes(percent)[0], F.col("keys"))
+    return lines.select(*where, F.xxhash64("keys").alias("d1"), "d2", "n", prefix.alias("prefix"), whole.alias("whole"), odd(0).alias("q0"), odd(1).alias("q1"))
+
+
+def _sizes(percent: int) -> list[int]:
+    """First sizes of the classes of long sets: what is similar to a set lies in its class or next to it."""
+    out = [-(-LONG * percent // 100)]
+    while percent < 100 and out[-1] < 1 << 31:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def _parted(classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each part of each long class, as :func:`_keyed` has them for prefixes.
+
+    A set stands at the level of its size class and at the next, where it meets larger ones. At a
+    level sets differ in at most K words, so of P parts at least P - K hold the same words;
+    a set with fewer empty parts than that needs no keys for them.
+    """
+    sizes = _sizes(percent)
+    most = [2 * (100 - percent) * (b - 1) // (100 + percent) for b in sizes[1:]]
+    table = F.array(*(F.struct(F.lit(b).cast("bigint").alias("from"), F.lit(k).cast("bigint").alias("k"), F.lit(k + k // 4 + 4).cast("bigint").alias("p")) for b, k in zip(sizes, [*most, most[-1] if most else 0], strict=True)))
+    long_ = classes.filter(F.col("n") >= sizes[0]).withColumn("level", (F.size(F.filter(table, lambda x: x["from"] <= F.col("n"))) - 1).cast("int"))
+    both = long_.select("id", "whole", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level")).withColumn("at_level", F.get(table, F.col("level"))).filter("at_level is not null")
+    words = both.select("id", "level", F.col("at_level.k").alias("k"), F.col("at_level.p").alias("p"), F.explode("whole").alias("word"))
+    dealt = words.groupBy("id", "level", "k", "p", F.pmod(F.xxhash64("word"), F.col("p")).alias("part")).agg(F.bit_xor(F.xxhash64("word", F.lit(1))).alias("held"))
+    sparse = dealt.groupBy("id", "level", "k", "p").agg(F.collect_set("part").alias("parts")).filter(F.size("parts") <= F.col("k"))
+    empty = sparse.select("id", "level", F.explode(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.col("p") - 1), "parts")).alias("part"), F.lit(0).cast("bigint").alias("held"))
+    keys = dealt.select("id", "level", "part", "held").unionByName(empty).select("id", F.xxhash64("level", "part", "held").alias("key"))
+    none = F.lit(0).cast("bigint")
+    own = long_.select("id", "ord", F.shiftleft("n", 32).alias("np"), *_folded(long_))
+    return keys.join(own, "id").select("key", "id", "ord", "np", "q0", "q1", none.alias("before"), none.alias("between"))
 
 
 def _folded(classes: DataFrame) -> tuple[Column, Column]:
@@ -189,11 +222,14 @@ def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         lead = among.groupBy("key").agg(F.min(F.struct(order.alias("order"), "at", "id", "np", "q0", "q1")).alias("lead")).select("key", "lead.*").alias("lead")
         met = open_.alias("m").join(lead, (F.col("m.key") == F.col("lead.key")) & (F.col("m.at") > F.col("lead.at")) & _alike("lead", "m", percent))
         found = _similar(met.select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, percent)
+        if found.isEmpty():
+            drop_materialized(found)
+            break
         both = materialize(done.unionByName(found), "linesettled")
-        drop_materialized(found, *([done] if done.inputFiles() else []))
+        drop_materialized(found, *([done] if k else []))
         done = both
-        tidy(spark)
     drop_materialized(rows, words)
+    tidy(spark)
     return done
 
 
@@ -215,8 +251,9 @@ def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"), x["before"].alias("before"), F.when(y["i"] - x["i"] > 2, y["before"]).otherwise(F.lit(0).cast("bigint")).alias("between"))
     pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
     keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
-    rows = classes.select("id", "ord", "n", *_folded(classes), F.explode(keys).alias("x"))
-    return rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", F.col("x.before").alias("before"), F.col("x.between").alias("between"))
+    rows = classes.filter(F.col("n") < LONG).select("id", "ord", "n", *_folded(classes), F.explode(keys).alias("x"))
+    short = rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", F.col("x.before").alias("before"), F.col("x.between").alias("between"))
+    return short.unionByName(_parted(classes, percent))
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -273,7 +310,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     tidy(spark)
     lines = wide.filter(F.col("n") >= max(1, min_words))
     place = F.struct("doc", "line_no", "hash")
-    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "q0", "q1")])
+    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "whole", "q0", "q1")])
     classes = materialize(merged.withColumn("id", F.xxhash64("d1", "d2")), "lineclasses")
     tidy(spark)
     repeated = classes.filter("copies > 1").select("d1", "d2", F.col("at").alias("earlier"))
@@ -283,7 +320,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
 
     # Sets so small that one word more or less is too much are similar to equal sets only.
     joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    joinable = joinable.select("id", "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), "n", "prefix", "q0", "q1")
+    joinable = joinable.select("id", "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), "n", "prefix", "whole", "q0", "q1")
     settled = _settled(joinable, texts, percent)
 
     maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
@@ -335,9 +372,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     touched = _may_hold(_id_filter(cut.select(k, h), per_doc.count()), [k, h])
     untouched = keyed.filter(~touched).withColumn(c, F.lit(None).cast(cut.schema[c].dataType))
     joined = keyed.filter(touched).join(cut, [k, h], "left").unionByName(untouched)
-    parts = F.split(text, "\n", -1)
+    p = free_name(docs, "line_parts")
+    joined = joined.withColumn(p, F.split(text, "\n", -1))
+    parts = F.col(p)
     places = F.transform(F.col(c), lambda x: x["line_no"])
-    left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(places, i), x)), lambda x: x.isNotNull())
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
+    left = F.transform(stay, lambda i: F.get(parts, i))
     extra = [
         F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias("n_removed"),

@@ -118,8 +118,9 @@ def lines_left(rows, percent=80, least=1):
     return out
 
 
-@pytest.mark.parametrize("seed, least", [(1, 1), (2, 5)])
-def test_lines_equal_brute_force(spark, seed, least):
+@pytest.mark.parametrize("seed, least, long_", [(1, 1, 256), (2, 5, 256), (1, 1, 10)])
+def test_lines_equal_brute_force(spark, monkeypatch, seed, least, long_):
+    monkeypatch.setattr(linededup, "LONG", long_)
     r = random.Random(seed)
     pool = [r.choices(WORDS[:80], k=r.randrange(3, 30)) for _ in range(25)]
     rows = []
@@ -157,6 +158,43 @@ def test_a_family_of_near_copies(spark):
     assert sorted((x.doc_id, x.text) for x in linededup.dedup_lines(df).collect()) == lines_left(rows)
 
 
+def long_lines(seed, sizes):
+    """Lines of frequent words around the sizes at which keys change, with up to a quarter of each replaced."""
+    r = random.Random(seed)
+    many = [f"f{i}" for i in range(1200)]
+    rows = []
+    for n in sizes:
+        base = r.sample(many, n)
+        for share in (0, 0.02, 0.09, 0.1, 0.11, 0.12, 0.25):
+            line = list(base)
+            for k in r.sample(range(n), int(share * n)):
+                line[k] = r.choice(many)
+            rows.append(line[: n - r.choice([0, 0, n // 9])])
+    r.shuffle(rows)
+    return [(i, " ".join(line)) for i, line in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_long_lines_of_frequent_words(spark, monkeypatch, rounds):
+    monkeypatch.setattr(linededup, "FREQUENT", 2)
+    monkeypatch.setattr(linededup, "ROUNDS", rounds)
+    rows = long_lines(11, [190, 230, 250, 256, 270, 300, 400, 900])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((x.doc_id, x.text) for x in linededup.dedup_lines(df).collect()) == lines_left(rows)
+
+
+def test_keys_are_linear_in_a_lines_words(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FREQUENT", 1)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:19_000] + ["x"])), (2, " ".join(words[:4_000])), (3, " ".join(words[:3_900]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(x.doc_id, x.text) for x in linededup.dedup_lines(df).orderBy("doc_id").collect()] == lines_left(rows)
+    plain = df.select(linededup.F.struct("doc_id").alias("doc"), linededup.F.xxhash64("text").alias("hash"), "text")
+    made = linededup._sketches(plain, 80).select(linededup.F.xxhash64("d1", "d2").alias("id"), linededup.F.lit(0).alias("ord"), "n", "prefix", "whole", "q0", "q1")
+    counts = {r["id"]: (r["n"], r["count"]) for r in linededup._keyed(made, 80).groupBy("id").count().join(made.select("id", "n"), "id").collect()}
+    assert len(counts) == 4 and all(0 < c < n for n, c in counts.values())
+
+
 def test_materialize_and_names(spark):
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and free_name(df, "ID") == "ID_"
