@@ -36,6 +36,7 @@ from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +51,6 @@ BITS, CHUNK = 24, 1 << 16
 _HEAVY = 1000
 #: Texts of about so many bytes are counted together; words that a task knows by number.
 RUN, KNOWN = 4 << 20, 400_000
-#: Rows that a task of the second pass merges before it sends them.
-HELD = 2_500_000
 #: A-Z lower-cased, what ends a piece made one byte that no text has, tabs made blanks.
 _END = 255
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -157,52 +156,39 @@ def _passing(least: int):
 def _project(passing, hot):
     """Task of the second pass: pairs that pass, each with what may follow, equal ones counted."""
 
-    names = ["lang", *(f"w{i}" for i in range(1, LONGEST + 1)), "n", "salt"]
-
-    def merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = keys[:, (order := np.lexsort(keys[::-1]))], n[order]
+    def rows(words: Words, lang: str, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = keys[:, np.lexsort(keys[::-1])]
         first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        return keys[:, first], np.add.reduceat(n, first)
-
-    def rows(words: Words, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        n, keys = np.diff(np.concatenate([first, [keys.shape[1]]])), keys[:, first]
+        ids = [half for key in keys for half in (key >> 32, key & 0xFFFFFFFF)]
+        # Rows of hot pairs are dealt by all that follows.
+        salt = np.where(np.isin(words.bucket(ids[0], ids[1], lang), hot.value), keys[1] % 32_749 + 1, 0).astype(np.int32)
         known = pa.array([b"", *words.names[1:]], pa.binary()).cast(pa.string())
-        for lang, parts in held.items():
-            keys, n = merged(np.concatenate([k for k, _ in parts], axis=1), np.concatenate([c for _, c in parts]))
-            # Rows of hot pairs are dealt by all that follows.
-            pairs = np.stack([keys[0] >> 32, keys[0] & 0xFFFFFFFF])
-            salt = np.where(np.isin(words.bucket(pairs[0], pairs[1], lang), hot.value), keys[1] % 32_749 + 1, 0)
-            for k in range(0, len(n), 50_000):
-                at = slice(k, k + 50_000)
-                ids = [half for key in keys for half in (key[at] >> 32, key[at] & 0xFFFFFFFF)]
-                size = len(ids[0])
-                # Words of a run that goes no further are null.
-                columns = [known.take(pa.array(i, mask=i == 0)) for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), *columns, pa.array(n[at]), pa.array(salt[at].astype(np.int32))], names=names)
+        for k in range(0, len(n), 50_000):
+            # Words of a run that goes no further are null; a blank ends each word, so equal prefixes stand together.
+            columns = [known.take(pa.array(i[k : k + 50_000], mask=i[k : k + 50_000] == 0)) for i in ids]
+            runs = pc.binary_join_element_wise(*columns, "", " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(runs), np.int32))), runs, pa.array(n[k : k + 50_000]), pa.array(salt[k : k + 50_000])], names=["lang", "run", "n", "salt"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = passing.value
-        words, held, size = Words(), {}, 0
+        words = Words()
         for lang, texts in _by_lang(batches):
+            if len(words.names) > KNOWN:
+                words = Words()
             ids = words.number(texts)
             bucket = words.bucket(ids[:-1], ids[1:], lang)
             ok = (ids[:-1] > 0) & (ids[1:] > 0) & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
             at = np.flatnonzero(ok)
-            if len(at):
-                ok = np.concatenate([ok, np.zeros(LONGEST, bool)])
-                ids = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
-                run_, going = [ids[at], ids[at + 1]], np.ones(len(at), bool)
-                for d in range(1, LONGEST - 1):
-                    going = going & ok[at + d]
-                    run_.append(np.where(going, ids[at + d + 1], 0))
-                keys = np.stack([run_[i].astype(np.int64) << 32 | run_[i + 1] for i in range(0, LONGEST, 2)])
-                held.setdefault(lang, []).append(merged(keys, np.ones(len(at), np.int64)))
-                size += held[lang][-1][0].shape[1]
-            if size > HELD or len(words.names) > KNOWN:
-                yield from rows(words, held)
-                held, size = {}, 0
-            if len(words.names) > KNOWN:
-                words = Words()
-        yield from rows(words, held)
+            if not len(at):
+                continue
+            ok = np.concatenate([ok, np.zeros(LONGEST, bool)])
+            ids = np.concatenate([ids, np.zeros(LONGEST, ids.dtype)])
+            found, going = [ids[at], ids[at + 1]], np.ones(len(at), bool)
+            for d in range(1, LONGEST - 1):
+                going = going & ok[at + d]
+                found.append(np.where(going, ids[at + d + 1], 0))
+            yield from rows(words, lang, np.stack([found[i].astype(np.int64) << 32 | found[i + 1] for i in range(0, LONGEST, 2)]))
 
     return run
 
@@ -215,7 +201,10 @@ def _grow(least: int):
             size = batch.num_rows
             if not size:
                 continue
-            named = [batch.column(0).dictionary_encode(), *(batch.column(k).fill_null("").dictionary_encode() for k in range(1, LONGEST + 1))]
+            cut = pc.split_pattern(batch.column("run"), " ")
+            start, end = cut.offsets.to_numpy()[:-1], cut.offsets.to_numpy()[1:] - 1  # the last part is empty
+            word = lambda k: cut.values.take(pa.array(np.minimum(start + k, end)))  # noqa: B023, E731
+            named = [c.dictionary_encode() for c in (batch.column("lang"), *map(word, range(LONGEST)))]
             codes = [c.indices.to_numpy() for c in named]
             total = np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
             salted = batch.column("salt").to_numpy() > 0
@@ -260,11 +249,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         bits[chunk * (CHUNK >> 3) : (chunk + 1) * (CHUNK >> 3)] = np.frombuffer(found, np.uint8)
     heavy = counted.filter("word is null and data is null").groupBy("chunk").agg(F.sum("n").alias("n"))
     hot = np.array([r[0] for r in heavy.filter(F.col("n") * _HEAVY > n_all).select("chunk").collect()], np.int64)
-    names = [f"w{i}" for i in range(1, LONGEST + 1)]
-    fields = "lang string, " + ", ".join(f"{w} string" for w in names) + ", n bigint, salt int"
     share = spark.sparkContext.broadcast
-    rows = read.mapInArrow(_project(share(bits), share(hot)), fields)
-    dealt = rows.repartition("lang", "w1", "w2", "salt").sortWithinPartitions("lang", *names)
+    rows = read.mapInArrow(_project(share(bits), share(hot)), "lang string, run string, n bigint, salt int")
+    dealt = rows.repartition("lang", F.substring_index("run", " ", 2), "salt").sortWithinPartitions("lang", "run")
     parts = dealt.mapInArrow(_grow(least), "lang string, phrase string, k int, n bigint")
     grown = parts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     single = words.filter(F.col("f") >= least).select("lang", "phrase", F.lit(1).alias("k"), "f")
