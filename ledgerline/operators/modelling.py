@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +60,51 @@ def lead_summary(leads: DataFrame, lead: str) -> DataFrame:
     return stats.withColumns({c: tested.select(c).scalar() for c in ("w_plus", "z")})
 
 
+def _signed_rank_p(ts: pd.Series, ws: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    """P(W+ >= w) for counts ``t`` of ranks tied at each size, smallest first.
+
+    The null distribution gives each rank either sign: it is the convolution of one
+    two-point distribution a rank. Mean ranks of ties are halves, so ranks are doubled.
+    """
+    out = []
+    for t, w, most in zip(ts, ws, limit, strict=True):
+        t = np.asarray(t, np.int64)
+        n = int(t.sum())
+        doubled = np.repeat(2 * np.cumsum(t) - t + 1, t) if n <= most else None
+        if n == 0:
+            out.append((None, True))
+        elif doubled is not None:
+            chance = np.zeros(int(doubled.sum()) + 1)
+            chance[0] = 1.0
+            for r in doubled:
+                chance[r:] += chance[: len(chance) - r].copy()
+                chance /= 2
+            out.append((min(1.0, float(chance[int(round(2 * w)) :].sum())), True))
+        else:
+            spread = n * (n + 1) * (2 * n + 1) / 24 - float((t.astype(float) ** 3 - t).sum()) / 48
+            z = (w - n * (n + 1) / 4 - 0.5) / math.sqrt(spread)
+            out.append((0.5 * math.erfc(z / math.sqrt(2)), False))
+    return pd.DataFrame(out, columns=["p_value", "exact"])
+
+
+def signed_rank_test(leads: DataFrame, lead: str, by: list[str] = (), exact_up_to: int = 200) -> DataFrame:
+    """(by, n, w_plus, p_value, exact): whether leads tend to be positive, by Wilcoxon's signed ranks.
+
+    One-sided: the chance of a rank sum of positive leads as large as ``w_plus`` or larger, with
+    zeros left out and mean ranks for ties. Exact up to ``exact_up_to`` leads of a
+    group; beyond that the normal form with corrections for ties and continuity. Leads are
+    counted by size first, so a group is an array of as many entries as sizes differ.
+    """
+    by = list(by)
+    x = F.col(lead)
+    sizes = leads.filter(x != 0).groupBy(*by, F.abs(x).alias("size")).agg(F.count(F.lit(1)).alias("t"), F.count_if(x > 0).alias("p"))
+    along = Window.partitionBy(*by).orderBy("size")
+    ranked = sizes.withColumn("rank", F.sum("t").over(along) - (F.col("t") - 1) / 2)
+    groups = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("w_plus"), F.array_sort(F.collect_list(F.struct("size", "t"))).alias("sizes"))
+    test = F.pandas_udf(_signed_rank_p, "struct<p_value double, exact boolean>")(F.col("sizes.t"), F.col("w_plus"), F.lit(exact_up_to))
+    return groups.withColumn("test", test).select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), "test.p_value", "test.exact")
+
+
 def score_metrics(df: DataFrame, label: str, score: str, by: list[str], floor: float = 1e-15) -> DataFrame:
     """n, positives, AUC (ties count half), PR-AUC (average precision), Brier score and log loss by group.
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .snapshots import write_text
+
 
 def write_by_year(df: DataFrame, path: str, date: str) -> None:
     """One dataset with a folder a year, rows of a year dealt together; replaces what is there."""
@@ -21,20 +23,6 @@ def manifest(df: DataFrame, key: list[str], date: str | None = None) -> dict:
     return df.agg(*measures).first().asDict() | {"columns": len(df.columns)}
 
 
-def write_text(spark, path: str, text: str) -> None:
-    """A small file through Hadoop's file systems: written beside and renamed into place."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    beside = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = target.getFileSystem(conf)
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(beside, target)
-
-
 def write_manifest(spark, path: str, content: dict) -> None:
     write_text(spark, path, json.dumps(content, sort_keys=True, indent=2, default=str))
 
@@ -60,6 +48,16 @@ def check_written(source: DataFrame, written: DataFrame, required: list[str], da
         raise ValueError(f"{n} rows lie outside {years}")
 
 
-def reconcile(window_rows: int, undated_rows: int, archived_rows: int) -> int:
-    """Rows that should be archived and aren't."""
-    return window_rows + undated_rows - archived_rows
+def reconcile(window: DataFrame, undated: DataFrame, archived: DataFrame, key: list[str]) -> DataFrame:
+    """One row: rows of the window, rows without a date, rows archived, and keys that are missing or too many.
+
+    A key is missing as often as it stands in the source more often than in the archive.
+    """
+    tagged = lambda df, name: df.select(*key, *(F.lit(int(name == n)).alias(n) for n in ("window_rows", "undated_rows", "archived_rows")))
+    rows = tagged(window, "window_rows").unionByName(tagged(undated, "undated_rows")).unionByName(tagged(archived, "archived_rows"))
+    counted = rows.groupBy(*key).agg(*(F.sum(n).alias(n) for n in ("window_rows", "undated_rows", "archived_rows")))
+    open_ = F.col("window_rows") + F.col("undated_rows") - F.col("archived_rows")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = [zero(n).alias(n) for n in ("window_rows", "undated_rows", "archived_rows")]
+    out = counted.agg(*sums, zero(F.greatest(open_, F.lit(0))).alias("missing_rows"), zero(F.greatest(-open_, F.lit(0))).alias("surplus_rows"))
+    return out.withColumn("reconciled", (F.col("missing_rows") == 0) & (F.col("surplus_rows") == 0))

@@ -74,10 +74,15 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None, date: str | None = None, years: range | None = None, fetchsize: int = 50_000, **options: str) -> DataFrame:
-    """A query, or a table read by one predicate a year, so that years load side by side."""
+def read_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None, date: str | None = None, years: range | None = None, fetchsize: int = 50_000, undated: bool = False, **options: str) -> DataFrame:
+    """A query, or a table read by one predicate a year, so that years load side by side.
+
+    With ``undated`` rows without a date are a part of their own.
+    """
     if table and date and years:
-        parts = [f"{date} >= DATE '{y}-01-01' AND {date} < DATE '{y + 1}-01-01'" for y in years]
+        day = options.pop("day_literal", "DATE '{}'").format
+        parts = [f"{date} >= {day(f'{y}-01-01')} AND {date} < {day(f'{y + 1}-01-01')}" for y in years]
+        parts += [f"{date} IS NULL"] if undated else []
         return spark.read.jdbc(url, table, predicates=parts, properties={"fetchsize": str(fetchsize), **options})
     reader = spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize).options(**options)
     return reader.option("query", query).load() if query else reader.option("dbtable", table).load()
