@@ -42,16 +42,53 @@ def industry_kept(code: Column) -> Column:
     return out
 
 
-def standard_filings(df: DataFrame) -> DataFrame:
-    """Standard-format filings of kept industries, with features, the last of each period."""
+def _standard() -> Column:
     keep = F.lit(True)
     for c, v in STANDARD_FORMAT.items():
         keep = keep & (F.col(c) == v)
-    code = F.coalesce(F.col("sic").try_cast("int"), F.col("sich").try_cast("int"))
-    rows = with_features(df.filter(keep & industry_kept(code))).dropna(subset=["gvkey", "datadate", "rdq"])
+    return keep
+
+
+def _industry() -> Column:
+    return F.coalesce(F.col("sic").try_cast("int"), F.col("sich").try_cast("int"))
+
+
+def standard_filings(df: DataFrame) -> DataFrame:
+    """Standard-format filings of kept industries, with features, the last of each period."""
+    rows = with_features(df.filter(_standard() & industry_kept(_industry()))).dropna(subset=["gvkey", "datadate", "rdq"])
     return last_by(rows, ["gvkey", "datadate"], "rdq", "datafqtr", "datacqtr")
 
 
+def filing_metrics(df: DataFrame) -> DataFrame:
+    """One row: what each step of :func:`standard_filings` leaves, and what it drops.
+
+    One scan and one exchange: rows are summed by their whole content, with a flag for each step,
+    then by firm and period, so neither repeated rows nor repeated keys need a job of their own.
+    """
+    have = set(df.columns)
+    standard = F.coalesce(_standard(), F.lit(False))
+    sic, sich = F.col("sic").try_cast("int"), F.col("sich").try_cast("int")
+    dated = F.col("gvkey").isNotNull() & F.col("datadate").isNotNull() & F.col("rdq").isNotNull()
+    flags = df.withColumns({
+        "standard__": standard, "kept__": standard & industry_kept(_industry()), "full__": standard & industry_kept(_industry()) & dated,
+        "sic__": standard & sic.isNotNull(), "sich__": standard & sic.isNull() & sich.isNotNull(), "undated__": standard & industry_kept(_industry()) & F.col("rdq").isNull(),
+    })
+    marks = ["standard__", "kept__", "full__", "sic__", "sich__", "undated__"]
+    per_row = flags.groupBy(*sorted(have), *marks).agg(F.count(F.lit(1)).alias("n__"))
+    counts = [F.sum(F.when(F.col(m), F.col("n__")).otherwise(0)).alias(m) for m in marks]
+    per_key = per_row.groupBy("gvkey", "datadate").agg(F.sum("n__").alias("n__"), F.sum(F.when(F.col("full__"), F.col("n__") - 1).otherwise(0)).alias("exact__"), *counts)
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = per_key.agg(
+        n("n__").alias("raw_rows"), n("standard__").alias("after_standard_filters"), n("kept__").alias("after_sic_exclusions"), n("full__").alias("after_required_dates"),
+        n("undated__").alias("missing_rdq_rows"), n("exact__").alias("exact_duplicate_rows"), F.count_if(F.col("full__") > 1).alias("duplicate_gvkey_datadate_keys"),
+        n(F.greatest(F.col("full__") - 1, F.lit(0))).alias("duplicate_observations_dropped"), n("sic__").alias("sic_rows_from_sic"), n("sich__").alias("sic_rows_from_sich"),
+    )
+    a, b = F.col("sic_rows_from_sic") > 0, F.col("sic_rows_from_sich") > 0
+    share = F.when(F.col("after_sic_exclusions") > 0, F.col("missing_rdq_rows") / F.col("after_sic_exclusions") * 100).otherwise(0.0)
+    source = F.when(a & b, "sic_with_sich_fallback").when(a, "sic").when(b, "sich")
+    return sums.withColumns({"missing_rdq_percent": share, "sic_source": source, "sic_exclusion_applied": a | b})
+
+
 def align_quarters(filings: DataFrame, first: int, last: int, values: list[str], cap_days: int = STALENESS_CAP_DAYS, key: str = "gvkey", period: str = "datadate", available: str = "rdq") -> DataFrame:
     """The filing in force at each quarter end, its age, and its values unless it is stale.
 

@@ -93,9 +93,9 @@ WITH b AS (SELECT user_id, event_id, d FROM {EV} WHERE event_type = 'purchase'),
 SELECT b.event_id, b.user_id, b.d, e.d AS next_error_d FROM b ASOF LEFT JOIN e ON b.user_id = e.user_id AND b.d < e.d"""
 
 ORACLES["route_union_conflict"] = """
-WITH a AS (SELECT c_custkey, c_nationkey AS na FROM customer WHERE c_custkey % 3 <> 0),
+WITH a AS (SELECT c_custkey, c_nationkey AS na FROM customer WHERE c_acctbal > 2500),
 sole AS (SELECT c_custkey // 4 AS k, min(c_nationkey) AS nb FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey % 4) <= 3),
-b AS (SELECT c_custkey, nb FROM customer JOIN sole ON c_custkey // 4 = k WHERE c_custkey % 5 <> 0)
+b AS (SELECT c_custkey, nb FROM customer JOIN sole ON c_custkey // 4 = k WHERE c_mktsegment <> 'BUILDING')
 SELECT c_custkey, coalesce(na, nb) AS nation, CASE WHEN na IS NULL THEN 'b' WHEN nb IS NULL THEN 'a' ELSE 'both' END AS link_route
 FROM a FULL JOIN b USING (c_custkey) WHERE na IS NULL OR nb IS NULL OR na = nb"""
 
@@ -109,9 +109,9 @@ c AS (SELECT month, CASE WHEN count(ret) OVER w = 12 THEN product(1 + ret) OVER
 SELECT {qi('month')} AS q, month, round(ret_12, 6) AS ret_12 FROM c QUALIFY row_number() OVER (PARTITION BY {qi('month')} ORDER BY month DESC) = 1"""
 
 ORACLES["append_unmatched"] = f"""
-WITH m AS (SELECT permno, month, CASE WHEN permno % 2 = 0 THEN 0.25::DOUBLE END AS ret, revenue AS prc FROM {MONTHLY}),
-kept AS (SELECT * FROM m WHERE (permno + year(month)) % 3 <> 0),
-gone AS (SELECT permno, month - 3 AS dlstdt, month FROM m WHERE (permno + month(month)) % 29 = 0)
+WITH m AS (SELECT permno, month, CASE WHEN permno % 2 = 0 THEN 0.25::DOUBLE END AS ret, revenue AS prc, n FROM {MONTHLY}),
+kept AS (SELECT * FROM m WHERE n <> 2),
+gone AS (SELECT permno, month - 3 AS dlstdt, month FROM m WHERE n <= 3)
 SELECT permno, month, month AS date, prc, CASE WHEN g.dlstdt IS NULL THEN ret WHEN ret IS NULL THEN -0.5::DOUBLE ELSE (1 + ret) * 0.5 - 1 END AS ret, g.dlstdt IS NOT NULL AS delisted
 FROM kept LEFT JOIN gone g USING (permno, month)
 UNION ALL
@@ -148,7 +148,7 @@ BONDS = f"""{RATINGS},
 bonds AS (SELECT c_custkey AS issue_id, c_custkey % 40 AS gvkey, DATE '1991-06-01' + CAST(c_custkey * 11 % 1650 AS INT) AS offering_date,
   CASE WHEN c_custkey % 6 <> 0 THEN DATE '1991-06-01' + CAST(c_custkey * 11 % 1650 + 700 + c_custkey * 13 % 1950 AS INT) END AS maturity,
   ['SEN','SS','SENS','SUB','JUN','NON'][c_custkey % 6 + 1] AS security_level, CAST(floor(c_acctbal) AS DOUBLE) AS offering_amt FROM customer),
-defaults AS (SELECT issue_id, gvkey, offering_date + CAST(400 + issue_id * 7 % 300 AS INT) AS default_date, CASE WHEN issue_id % 2 = 0 THEN offering_date + 900 END AS reinstated_date FROM bonds WHERE issue_id % 9 = 0),
+defaults AS (SELECT issue_id, gvkey, offering_date + CAST(400 + issue_id * 7 % 300 AS INT) AS default_date, CASE WHEN issue_id % 2 = 0 THEN offering_date + 900 END AS reinstated_date FROM bonds WHERE offering_amt < 200),
 grid AS (SELECT q, {qe('q')} AS quarter_end FROM range(7968, 7996) t(q)),
 spans AS (SELECT b.issue_id, {qi('b.offering_date')} AS s, least({qi("coalesce(b.maturity, DATE '2099-12-31')")}, {qi("coalesce(d.default_date, DATE '2099-12-31')")}) AS e FROM bonds b LEFT JOIN defaults d USING (issue_id)),
 cells AS (SELECT a.rating_type, s.issue_id, g.q, g.quarter_end FROM spans s JOIN grid g ON g.q BETWEEN s.s AND s.e JOIN (SELECT DISTINCT issue_id, rating_type FROM clean) a ON a.issue_id = s.issue_id),
@@ -305,7 +305,7 @@ ORACLES["conditional_null"] = f"SELECT user_id, q, CASE WHEN ours THEN CAST(q %
 ORACLES["recode_case_clip"] = f"""
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 END AS prio_rank, CASE WHEN o_orderstatus = 'F' THEN 'both' WHEN o_totalprice > 150000 THEN 'a' ELSE 'b' END AS route,
        greatest(DATE '1993-01-01', least(day, DATE '1996-12-31')) AS clipped, least(day, DATE '1993-01-01' + CAST(o_orderkey % 2000 AS INT)) AS earlier FROM {ORD}"""
-ORACLES["quarter_months"] = f"SELECT o_orderkey, day, last_day(day) AS m_end, {qe(qi('day'))} AS q_end, {qi('day')} AS q FROM {ORD} WHERE month(day) % 3 = 0 AND day BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'"
+ORACLES["quarter_months"] = f"SELECT o_orderkey, day, last_day(day) AS m_end, {qe(qi('day'))} AS q_end, {qi('day')} AS q FROM {ORD} WHERE month(day) % 3 = 0"
 ORACLES["neighbour_flags"] = f"SELECT user_id, q, coalesce(lag(ours) OVER w, false) OR coalesce(lead(ours) OVER w, false) AS beside FROM {MARKED} WINDOW w AS (PARTITION BY user_id ORDER BY q)"
 ORACLES["yearly_change_share"] = f"""
 SELECT CAST(year(day) AS BIGINT) AS year, avg(CAST(prev <> o_orderpriority AS INT)) AS changed, count(*) AS n
