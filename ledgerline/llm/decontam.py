@@ -13,19 +13,22 @@ to their own length.
 
 The automaton is broadcast in blocks of at most ``max_words`` benchmark words (a state
 takes under 1 kB). A larger benchmark is cut into several blocks, and a longer item into
-parts that overlap by a window less one word. Each block is a pass of its own over the
-documents, written to the shared folder, so that a worker never holds more than one block.
-Columns that :func:`find_contamination` adds may not be there already (ValueError); other
-columns pass through. ``longest_match`` tells matches of a window or more; it is 0 else.
+parts that overlap by a window less one word, so no window is lost; the driver holds two blocks at
+most. Each block is a pass of its own over the texts that writes what it hit, without
+texts, to the shared folder; hits of all blocks are then joined to the documents by a digest of the
+text. A worker never holds more than one block. Columns that :func:`find_contamination`
+adds may not be there already (ValueError); other columns pass through.
+``longest_span`` is the longest run of hit words, however the benchmark is cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, free_name, materialize, resident, ship, text_runs
@@ -117,13 +120,13 @@ class ItemAutomaton:
             p = self.link[p]
         return copy
 
-    def scan(self, seq: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
-        """(hit spans [start, end) of words, items with occurring windows, longest match)."""
+    def scan(self, seq: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(hit spans [start, end) of words, items with occurring windows)."""
         edges, link, length = self.next, self.link, self.length
         window, least = self.window, self.least
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
-        state = run = longest = 0
+        state = run = 0
         for i, symbol in enumerate(map(self.ids.get, seq)):
             if symbol is None:
                 state = run = 0
@@ -141,7 +144,6 @@ class ItemAutomaton:
             run += 1
             if run < least:
                 continue
-            longest = max(longest, run)
             reach = 0
             if run >= window:
                 found |= self._holders(state)
@@ -156,7 +158,7 @@ class ItemAutomaton:
                     spans[-1] = (min(spans[-1][0], start), i + 1)
                 else:
                     spans.append((start, i + 1))
-        return spans, found, longest
+        return spans, found
 
     def _holders(self, state: int) -> frozenset[str]:
         """Items with the window that ends a run of at least ``window`` words in ``state``."""
@@ -203,73 +205,96 @@ def find_contamination(
     cleaned: bool = False,
     max_coverage: float = 1.0,
 ) -> DataFrame:
-    """``documents`` plus n_words, n_hit, items (sorted ids) and longest_match.
+    """``documents`` plus n_words, n_hit, hit_items (sorted ids) and longest_span.
 
     With ``cleaned`` the text loses its hit spans (other characters stay as they are) and
     ``covered`` tells whether hits cover more than ``max_coverage`` of the words.
     """
     spark = documents.sparkSession
     ship(spark)
-    added = {"n_words": "bigint", "n_hit": "bigint", "hit_items": "array<string>", "longest_match": "bigint"}
+    added = {"n_words": "bigint", "n_hit": "bigint", "hit_items": "array<string>", "longest_span": "bigint"}
     if cleaned:
         added["covered"] = "boolean"
     if clash := {c.lower() for c in documents.columns} & set(added):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     given = documents.columns
     held = free_name(documents, "found_so_far")
-    passes = list(item_blocks(benchmark, item, item_text, max_words, window)) or [[]]
-    df, written = documents, []
-    for block in passes[:-1]:
-        df = materialize(_pass(df, block, text, held, given, added, window, max_coverage, cleaned, last=False), "decontam")
-        drop_materialized(*written)
-        written = [df]
-    return _pass(df, passes[-1], text, held, given, added, window, max_coverage, cleaned, last=True)
+    blocks = item_blocks(benchmark, item, item_text, max_words, window)
+    block, later = next(blocks, []), next(blocks, None)
+    if later is None:
+        return _finished(documents, text, given, added, max_coverage, cleaned, _Scan(spark, block, window))
+    hits = []
+    while block is not None:
+        hits.append(materialize(_hits(documents, text, _Scan(spark, block, window)), "decontam"))
+        block, later = later, next(blocks, None)
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    # Equal texts have equal hits; a text has as many rows at most as there are blocks.
+    digest = free_name(documents, "text_digest")
+    found = every.groupBy(F.col("digest").alias(digest)).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    found = materialize(found.select(digest, F.struct("spans", "items").alias(held)), "decontamhits")
+    drop_materialized(*hits)
+    joined = documents.withColumn(digest, F.sha2(F.col(text).cast("binary"), 256)).join(found, digest, "left").drop(digest)
+    return _finished(joined, text, given, added, max_coverage, cleaned, held=held)
 
 
-#: Spans hit by earlier passes, items they found and the longest match.
-_HELD = "struct<spans:array<struct<a:bigint,b:bigint>>,items:array<string>,longest:bigint>"
-_HELD_ARROW = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _pass(df: DataFrame, block: list, text: str, held: str, given: list[str], added: dict[str, str], window: int, max_coverage: float, cleaned: bool, last: bool) -> DataFrame:
-    """Streams all texts through one block: what was found so far, or with ``last`` the result."""
-    frozen, key = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-    more = held in df.columns
+class _Scan:
+    """One block of items, whose automaton a worker builds once."""
+
+    def __init__(self, spark: SparkSession, block: list, window: int):
+        self.block, self.key, self.window = spark.sparkContext.broadcast(block), uuid.uuid4().hex, window
+
+    def automaton(self) -> ItemAutomaton:
+        return resident(("decontam", self.key), lambda: ItemAutomaton(self.block.value, self.window))
+
+
+def _hits(df: DataFrame, text: str, scan: _Scan) -> DataFrame:
+    """(digest, spans, items) of the texts that one block hits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = scan.automaton()
+        for batch in text_runs(batches, text):
+            rows = []
+            for t in batch.column(text).to_pylist():
+                spans, found = automaton.scan(words(t))
+                if spans:
+                    rows.append((hashlib.sha256(t.encode()).hexdigest(), [{"a": a, "b": b} for a, b in spans], sorted(found)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=ty) for k, ty in enumerate((pa.string(), _SPANS, pa.list_(pa.string())))], names=["digest", "spans", "items"])
+
+    return df.select(text).mapInArrow(run, "digest string, spans array<struct<a:bigint,b:bigint>>, items array<string>").dropDuplicates(["digest"])
+
+
+def _finished(df: DataFrame, text: str, given: list[str], added: dict[str, str], max_coverage: float, cleaned: bool, scan: _Scan | None = None, held: str | None = None) -> DataFrame:
+    """The documents with what was hit: by one block's scan, or by earlier ones as the column ``held`` has it."""
     keep = [c for c in given if c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = resident(("decontam", key), lambda: ItemAutomaton(frozen.value, window))
+        automaton = scan.automaton() if scan else None
         for batch in text_runs(batches, text):
-            before = batch.column(held).to_pylist() if more else [None] * batch.num_rows
+            before = batch.column(held).to_pylist() if held else [None] * batch.num_rows
             rows, texts = [], []
             for t, old in zip(batch.column(text).to_pylist(), before, strict=True):
                 seq = words(t)
-                spans, found, longest = automaton.scan(seq)
-                if old:
-                    spans = [*spans, *((x["a"], x["b"]) for x in old["spans"])]
-                    found, longest = found | set(old["items"]), max(longest, old["longest"])
+                spans, found = automaton.scan(seq) if automaton else ([(x["a"], x["b"]) for x in old["spans"]], set(old["items"])) if old else ([], set())
                 # A long window may reach back over several spans, of the same block too.
                 spans = merge_spans(spans)
-                if not last:
-                    rows.append({"spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(found), "longest": longest})
-                    continue
                 hit = sum(b - a for a, b in spans)
-                rows.append((len(seq), hit, sorted(found), longest))
+                rows.append((len(seq), hit, sorted(found), max((b - a for a, b in spans), default=0)))
                 if cleaned:
                     rows[-1] += (hit > max_coverage * len(seq),)
                     texts.append(without(t, spans) if spans else t)
             own = [batch.column(k) for k in keep]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*own, batch.column(text), pa.array(rows, type=_HELD_ARROW)], names=[*keep, text, held])
-                continue
             types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()] + [pa.bool_()] * cleaned
             columns = [pa.array([r[k] for r in rows], type=ty) for k, ty in enumerate(types)]
             body = pa.array(texts, type=pa.string()) if cleaned else batch.column(text)
             yield pa.RecordBatch.from_arrays([*own, body, *columns], names=[*keep, text, *added])
 
-    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keep, text]]
-    fields += [f"{k} {v}" for k, v in added.items()] if last else [f"`{held}` {_HELD}"]
-    return df.select(*keep, text, *([held] if more else [])).mapInArrow(run, ", ".join(fields))
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keep, text]] + [f"{k} {v}" for k, v in added.items()]
+    return df.select(*keep, text, *([held] if held else [])).mapInArrow(run, ", ".join(fields))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

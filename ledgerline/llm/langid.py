@@ -10,9 +10,9 @@ and a text's code length is an exact sum, for every byte of the text. The langua
 the shortest code wins; ties go to the first name.
 
 Training reads a bounded sample: about ``SAMPLE`` documents a language, chosen by a hash
-of the id; of each language the ``NODES`` nodes with the highest counts are kept, so that no
-language loses nodes because others are learned. Both bounds are parameters; the model's
-size follows from them and the number of languages.
+of the id. All nodes of the sample are kept, as sorted arrays of the byte strings that occur in
+a language, so a language takes memory in proportion to its own sample and the model in
+proportion to the languages. A batch's different byte strings are coded once.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no
 training rows everything is ``und``. Repeated rows get equal results. Very long texts are
@@ -36,22 +36,30 @@ from .common import free_name, resident, set_aside, ship, text_runs
 
 #: Training documents of a language, about.
 SAMPLE = 500
-#: Nodes of a language's context tree.
-NODES = 2000
 DEPTH = 3
 UNKNOWN = "und"
-#: A text is in no language if plain bytes, at 8 bits each and so many bits for saying so, are a shorter code.
-REJECT_BITS = 64.0
+#: A text is in no language if its code takes more bits a byte than this: plain bytes would be shorter.
+REJECT_BITS = 8.0
 _TOGETHER = 1 << 20
 
 
+@dataclass(frozen=True)
+class Order:
+    """Nodes of one length of a language's tree: what follows them, and what a byte that doesn't costs."""
+
+    #: Node and next byte as a number, sorted, and the chance of that byte.
+    grams: np.ndarray
+    chance: np.ndarray
+    #: Nodes, sorted, and the factor on the shorter node's chance of any other byte.
+    nodes: np.ndarray
+    escape: np.ndarray
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    #: Nodes as (order, bytes as a number); the root is the first.
-    nodes: np.ndarray
-    #: Bits of each byte after each node, by node * 256 + byte and language.
-    bits: np.ndarray
+    #: For each language its orders, shortest first.
+    orders: tuple[tuple[Order, ...], ...]
 
 
 def _grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +83,7 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, starts.astype(np.int64), sizes
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, nodes: int = NODES) -> LanguageModel:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> LanguageModel:
     """Model of the rows with a language, from about ``sample`` of them a language."""
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -104,67 +112,56 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     for name in languages:
         own = found[found["lang"] == name].sort_values("gram")
         per_language.append((own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)))
-    return _freeze(languages, per_language, nodes)
-
-
-def _order(grams: np.ndarray, n: np.ndarray, order: int) -> dict[int, dict[int, float]]:
-    """Counts of the bytes after each string of ``order`` bytes."""
-    keys, inverse = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(keys))
-    out: dict[int, dict[int, float]] = {}
-    for k, v in zip(keys.tolist(), total.tolist(), strict=True):
-        out.setdefault(k >> 8, {})[k & 255] = v
-    return out
-
-
-def _freeze(languages: tuple[str, ...], per_language: list[tuple[np.ndarray, np.ndarray]], nodes: int) -> LanguageModel:
-    tables = [[_order(g, n, k) for k in range(DEPTH + 1)] for g, n in per_language]
-    union = {(0, 0)}
-    for t in tables:
-        # A node counts no more often than its suffix, so a suffix is kept wherever the node is.
-        weight = {(order, c): sum(after.values()) for order, contexts in enumerate(t) for c, after in contexts.items()}
-        union.update(sorted(weight, key=lambda x: (-weight[x], x))[: max(1, nodes)])
-    kept = sorted(union)
-    number = {x: i for i, x in enumerate(kept)}
-    bits = np.empty((len(kept), 256, len(languages)), dtype=np.float64)
-    for l, t in enumerate(tables):
-        p = np.empty((len(kept), 256))
-        for (order, c), i in number.items():
-            below = p[number[order - 1, c & ((1 << 8 * (order - 1)) - 1)]] if order else np.full(256, 1 / 256)
-            after = t[order].get(c)
-            if not after:
-                p[i] = below
-                continue
-            seen = np.fromiter(after, dtype=np.int64)
-            n = np.fromiter(after.values(), dtype=np.float64)
-            total = n.sum() + len(seen)
-            left = 1 - below[seen].sum()
-            p[i] = below * (len(seen) / total / left) if left > 1e-12 else 0
-            p[i, seen] = n / total if left > 1e-12 else n / n.sum()
-        bits[:, :, l] = -np.log2(np.maximum(p, 1e-30))
-    return LanguageModel(languages, np.array(kept, dtype=np.int64), bits.reshape(256 * len(kept), len(languages)).astype(np.float32))
-
-
-def node_table(nodes: np.ndarray) -> np.ndarray:
-    """For each string of DEPTH bytes, its deepest node."""
-    out = np.zeros(1 << 8 * DEPTH, dtype=np.uint16 if len(nodes) < 1 << 16 else np.uint32)
-    for i, (order, c) in enumerate(nodes.tolist()):  # by order: deeper nodes overwrite
-        if order:
-            out.reshape(-1, 1 << 8 * order)[:, c] = i
-    return out
-
-
-def code_lengths(model: LanguageModel, deepest: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return LanguageModel(languages, tuple(_freeze(g, n) for g, n in per_language))
+
+
+def _freeze(grams: np.ndarray, n: np.ndarray) -> tuple[Order, ...]:
+    """The orders of one language from the counts of strings of ``DEPTH`` + 1 bytes."""
+    out: list[Order] = []
+    for k in range(DEPTH + 1):
+        own, inverse = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        seen = np.bincount(inverse, weights=n, minlength=len(own))
+        nodes, at, kinds = np.unique(own >> 8, return_inverse=True, return_counts=True)
+        bytes_ = np.bincount(at, weights=seen, minlength=len(nodes))
+        left = 1 - np.bincount(at, weights=_chances(out, own), minlength=len(nodes))
+        some = left > 1e-12  # else all bytes were seen here
+        total = np.where(some, bytes_ + kinds, bytes_)
+        out.append(Order(own, seen / total[at], nodes, np.where(some, kinds / total / np.where(some, left, 1), 0)))
+    return tuple(out)
+
+
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key, whether it is there)."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
+
+
+def _chances(orders: Iterable[Order], grams: np.ndarray) -> np.ndarray:
+    """The chance of each string's last byte after those before it, by the given orders."""
+    p = np.full(len(grams), 1 / 256)
+    for k, o in enumerate(orders):
+        own = grams & ((1 << 8 * (k + 1)) - 1)
+        at, known = _find(o.grams, own)
+        node, there = _find(o.nodes, own >> 8)
+        escaped = np.where(there, p * o.escape[node] if len(o.nodes) else p, p)
+        p = np.where(known, o.chance[at] if len(o.grams) else p, escaped)
+    return p
+
+
+def code_lengths(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bits of each text under each language, bytes of each text)."""
     raw, starts, sizes = _joined(texts)
     out = np.zeros((len(texts), len(model.languages)))
     full = np.flatnonzero(sizes)
     if len(full) and len(model.languages):
         context, byte = _grams(raw, starts)
-        place = deepest[context].astype(np.int64) << 8 | byte
-        cost = model.bits[place].astype(np.float64)
+        different, inverse = np.unique(context.astype(np.uint32) << np.uint32(8) | byte, return_inverse=True)
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        out[full] = np.add.reduceat(cost, first[full], axis=0)
+        for l, orders in enumerate(model.orders):
+            cost = -np.log2(np.maximum(_chances(orders, different.astype(np.int64)), 1e-30))
+            out[full, l] = np.add.reduceat(cost[inverse], first[full])
     return out, sizes
 
 
@@ -181,10 +178,10 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
     source = df.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, deepest = resident(("langid", token), lambda: (frozen.value, node_table(frozen.value.nodes)))
+        m = resident(("langid", token), lambda: frozen.value)
         names = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in text_runs(batches, text, _TOGETHER):
-            bits, sizes = code_lengths(m, deepest, [t or "" for t in batch.column(text).to_pylist()])
+            bits, sizes = code_lengths(m, [t or "" for t in batch.column(text).to_pylist()])
             known = np.array(batch.column(mark).to_pylist(), dtype=bool) & bool(m.languages)
             best = bits.argmin(axis=1) if m.languages else np.zeros(len(sizes), dtype=np.int64)
             least = bits.min(axis=1) if m.languages else np.zeros(len(sizes))
@@ -201,12 +198,11 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep_text:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", max_bits: float = REJECT_BITS) -> DataFrame:
-    """Rows whose language is known: not ``und``, and not better coded as plain bytes by over ``max_bits`` bits.
+    """Rows whose language is known: not ``und``, and coded in ``max_bits`` bits a byte or fewer.
 
     The columns of :func:`predict` that ``docs`` has already are carried along under other names.
     """
     plain, aside = set_aside(docs, "lang_pred", "score", "bits_per_byte")
     found = predict(plain, model, text)
-    foreign = (F.col("bits_per_byte") - 8) * F.octet_length(text) > max_bits
-    kept = found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= max_bits))
     return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))

@@ -84,7 +84,7 @@ def brute(doc, items, window=10):
 def test_automaton_equals_brute_force(items, doc, window):
     named = [(str(k), [w.encode() for w in x]) for k, x in enumerate(items)]
     seq = [w.encode() for w in doc]
-    spans, found, _ = decontam.ItemAutomaton(named, window).scan(seq)
+    spans, found = decontam.ItemAutomaton(named, window).scan(seq)
     hit, want = brute(seq, named, window)
     assert {i for a, b in decontam.merge_spans(spans) for i in range(a, b)} == hit
     assert sum(b - a for a, b in spans) == len(hit) and found == want

@@ -44,9 +44,9 @@ def slow_bits(grams, text, depth=langid.DEPTH):
 def test_code_lengths_equal_the_definition(spark):
     train = {"x": texts("abc ", 6, 1), "y": texts("cdé ", 6, 2)}
     df = spark.createDataFrame([(i, t, lang) for lang, ts in train.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
-    model = langid.train(df, nodes=10**6)
+    model = langid.train(df)
     probe = ["abca dé", "q", "", "ab" * 50]
-    bits, sizes = langid.code_lengths(model, langid.node_table(model.nodes), probe)
+    bits, sizes = langid.code_lengths(model, probe)
     for k, lang in enumerate(model.languages):
         assert np.allclose(bits[:, k], [slow_bits(train[lang], t) for t in probe], rtol=1e-5)
     assert sizes.tolist() == [len(t.encode()) for t in probe]
@@ -54,9 +54,22 @@ def test_code_lengths_equal_the_definition(spark):
 
 def test_every_distribution_sums_to_one(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts("abcdef ", 20, 3))], "doc_id long, text string, lang string")
-    m = langid.train(df, nodes=40)
-    assert len(m.nodes) == 40
-    assert np.allclose((2.0 ** -m.bits[:, 0].reshape(40, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
+    m = langid.train(df)
+    heads = [0, *(int.from_bytes(x, "big") for x in (b"abc", b"a b", b"zzz", b"zab", b"f", b"   "))]
+    grams = np.array([h << 8 | c for h in heads for c in range(256)])
+    assert np.allclose(langid._chances(m.orders[0], grams).reshape(-1, 256).sum(axis=1), 1)
+
+
+def test_fifty_languages_take_memory_by_their_samples(spark):
+    """Each language has letters of its own; none loses nodes to others, and a repeated text keeps its rate."""
+    rows = [(50 * k + i, "".join(random.Random(50 * k + i).choices([chr(0x4E00 + 40 * k + j) for j in range(20)], k=40)), f"l{k:02}") for k in range(50) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df)
+    got = langid.predict(df, m).filter("lang_pred = lang").count()
+    assert len(m.languages) == 50 and got == 200
+    assert sum(o.grams.nbytes + o.chance.nbytes + o.nodes.nbytes + o.escape.nbytes for orders in m.orders for o in orders) < 50 * 4 * 120 * 4 * 32
+    short = spark.createDataFrame([(1, "ж я"), (2, "ж я " * 500), (3, rows[0][1][:3]), (4, rows[0][1] * 50)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_identified(short, m).collect()) == [3, 4]
 
 
 def test_language_rows(spark):

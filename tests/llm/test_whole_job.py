@@ -21,6 +21,25 @@ def test_a_window_over_several_spans_counts_each_word_once(spark, max_words):
     assert got == {1: (10, 10, ["1", "2"], True, ""), 2: (11, 10, ["1", "2"], False, "z")}
 
 
+@pytest.mark.parametrize("max_words", [25, 40, 10**6])
+def test_blocks_of_the_benchmark_change_nothing(spark, max_words):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    long_ = [words[i % 200] for i in range(100)]
+    items = [(f"i{k}", " ".join(r.choices(words, k=r.randrange(1, 40)))) for k in range(20)] + [("long", " ".join(long_)), ("none", None)]
+    rows = [(k, " ".join(["x", *r.choice(items[:20])[1].split(" ")[:25], "y", *r.choices(words, k=9)])) for k in range(30)] + [(90, "a " + " ".join(long_) + " b"), (91, None), (90, "a " + " ".join(long_) + " b")]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, spans string")
+    got = decontam.find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), max_words=max_words, cleaned=True)
+    whole = decontam.ItemAutomaton([(i, decontam.words(t)) for i, t in items])
+    want = []
+    for i, t in rows:
+        spans, found = whole.scan(decontam.words(t))
+        spans = decontam.merge_spans(spans)
+        want.append((i, "kept", len(decontam.words(t)), sum(b - a for a, b in spans), sorted(found), max((b - a for a, b in spans), default=0)))
+    assert sorted(((x.doc_id, x.spans, x.n_words, x.n_hit, x.hit_items, x.longest_span) for x in got.collect()), key=str) == sorted(want, key=str)
+    assert [x.longest_span for x in got.filter("doc_id = 90").collect()] == [100, 100]
+
+
 @pytest.fixture(scope="module")
 def lines(spark, tmp_path_factory):
     """Documents of lines of one to seven words, of few different words."""
