@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out benchmark passages; a document that they cover for the most part goes."""
-    plain, aside = set_aside(docs, "n_words", "n_hit", "hit_items", "longest_match", "covered")
+    plain, aside = set_aside(docs, "n_words", "n_hit", "hit_items", "longest_span", "covered")
     found = decontam.find_contamination(plain, table(spark, sf_dir, "benchmark"), cleaned=True, max_coverage=MAX_COVERAGE)
     kept = found.filter(~F.col("covered") & F.col("text").isNotNull())
     return _counted(kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns)))
