@@ -10,7 +10,11 @@ is handed on, so memory follows the undecided lines, not the transcript.
 
 Defined cases: a null or empty transcript has no turns and renders to ''. Lines before any
 marker take the likeliest role, by their features. Ties go to the first state. Repeated
-turns are turns of their own. The probabilities are parameters of :class:`SpeakerModel`.
+turns are turns of their own; an empty table gives an empty table; a very long turn is read line by
+line. Columns that are added may not be there already (ValueError).
+
+The probabilities of :class:`SpeakerModel` are learned from labelled turns by :func:`fit`; its defaults
+serve where there are none.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+#: Labelled turns to learn from, about.
+SAMPLE = 20_000
 ROLES = ("system", "user", "assistant")
 #: Names of speakers in transcripts (fixed values).
 NAMES = {
@@ -69,7 +76,8 @@ class SpeakerModel:
     own_marker: float = 0.93
     false_marker: float = 0.01
     later_marker: float = 0.002
-    #: Weights of the line kinds by role.
+    #: Weights of the line kinds by role; of first lines, where they are known apart.
+    first_kinds: dict[str, tuple[float, ...]] | None = None
     kinds: dict[str, tuple[float, ...]] = field(default_factory=lambda: {"system": (0.02, 0.18, 0.4, 0.35, 0.05), "user": (0.3, 0.05, 0.15, 0.45, 0.05), "assistant": (0.05, 0.25, 0.35, 0.3, 0.05)})
 
     def tables(self) -> tuple[list[float], list[list[float]], dict[tuple[str | None, str], list[float]]]:
@@ -87,11 +95,55 @@ class SpeakerModel:
                 for role in ROLES:
                     first = self.own_marker if seen == role else self.false_marker if seen else 1 - self.own_marker - 2 * self.false_marker
                     later = self.later_marker if seen else 1 - 3 * self.later_marker
-                    out += [log(first * self.kinds[role][k]), log(later * self.kinds[role][k])]
+                    out += [log(first * (self.first_kinds or self.kinds)[role][k]), log(later * self.kinds[role][k])]
                 emit[seen, kind] = out
         return start, step, emit
 
 
+def fit(turns_: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", marked: float = SpeakerModel.own_marker, sample: int = SAMPLE) -> SpeakerModel:
+    """The model of about ``sample`` turns with a role, chosen by a hash of conversation and turn.
+
+    Learned are what role follows which (the turn numbered one less; a turn without one counts as a
+    start), how long turns are, what kinds of lines a role's turns begin and go on with, and
+    how often lines look like markers that are none. ``marked`` is the share of turns that bear
+    their marker in the transcripts to come. All counts are smoothed by one; roles other than
+    the known ones and null keys teach nothing. At most some dozens of counts reach the driver.
+    """
+    ship(turns_.sparkSession)
+    all_ = turns_.select(F.col(conv).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    all_ = all_.filter(F.col("role").isin(*ROLES) & F.col("conv").isNotNull() & F.col("turn").isNotNull())
+    place = F.crc32(F.concat_ws(" ", F.lit("chat"), F.col("conv").cast("string"), F.col("turn").cast("string")).cast("binary")) / F.lit(float(1 << 32))
+    chosen = all_.filter(place < sample / max(1, all_.count()))
+    before = all_.groupBy("conv", (F.col("turn") + 1).alias("turn")).agg(F.min("role").alias("before"))
+    pairs = {(b or "", r): n for b, r, n in chosen.select("conv", "turn", "role").join(before, ["conv", "turn"], "left").groupBy("before", "role").count().collect()}
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, line in enumerate(t.split("\n")):
+                    key = (r, i == 0, line_kind(line), marker(line)[0] is not None)
+                    seen[key] = seen.get(key, 0) + 1
+        yield pa.RecordBatch.from_pylist([{"role": r, "first": f, "kind": k, "like": m, "n": n} for (r, f, k, m), n in seen.items()], schema=_COUNTS)
+
+    lines = [tuple(r) for r in chosen.select("role", "text").mapInArrow(count, "role string, first boolean, kind string, like boolean, n bigint").groupBy("role", "first", "kind", "like").sum("n").collect()]
+    total = lambda **want: sum(x[4] for x in lines if all(x[("role", "first", "kind", "like").index(k)] == v for k, v in want.items()))
+
+    def shares(counts: list[int]) -> tuple[float, ...]:
+        return tuple((c + 1) / (sum(counts) + len(counts)) for c in counts)
+
+    kinds = {f: {r: shares([total(role=r, first=f, kind=k) for k in KINDS]) for r in ROLES} for f in (True, False)}
+    first, later = total(first=True), total(first=False)
+    return SpeakerModel(
+        follow={b: shares([pairs.get((b, r), 0) for r in ROLES]) for b in ("", *ROLES)}, stay=(later + 1) / (first + later + 2), own_marker=marked,
+        false_marker=(1 - marked) * (total(first=True, like=True) + 1) / (first + 2) / 2, later_marker=(total(first=False, like=True) + 1) / (later + 2) / 3,
+        kinds=kinds[False], first_kinds=kinds[True],
+    )
+
+
+_COUNTS = pa.schema([("role", pa.string()), ("first", pa.bool_()), ("kind", pa.string()), ("like", pa.bool_()), ("n", pa.int64())])
+
+
 class Decoder:
     """Viterbi over the lines of one transcript; ``push`` and ``close`` yield (line, state) as they become final."""
 
@@ -218,22 +270,26 @@ def mark(role: str | None, style: int) -> str:
     return form.format(names[ROLES.index(role)]) if role in ROLES else ""
 
 
-def reformat_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", model: SpeakerModel | None = None) -> DataFrame:
+def reformat_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", model: SpeakerModel | None = None, bare: int = 0) -> DataFrame:
     """Write each conversation as a transcript, parse it blind to the roles, render it again.
 
     One row a conversation: conv_id, n_lines, n_turns, n_given (turns of the table), roles
     (initials of the recovered roles), agreed (turns whose role is the given one, by
-    place), rendered_sha256. Rows stream sorted by conversation and turn, so a task holds
-    only undecided lines however long a conversation is. Rows with a null conversation are
-    one conversation; null roles have no marker, null texts are empty.
+    place), lines_agreed (lines that come back with the given role), rendered_sha256. Of ``bare``
+    turns one, by hash, is written without its marker (0: none), so its speaker is to be told
+    from its lines and its neighbours. Rows stream sorted by conversation and turn, so a task holds
+    only undecided lines, and two letters a turn, however long a conversation is. Rows with
+    a null conversation are one conversation; null roles have no marker, null texts are empty.
     """
     ship(df.sparkSession)
     m = model or SpeakerModel()
     kind = df.schema[conv].dataType.simpleString()
     source = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = source.withColumn("style", F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % len(STYLES))
+    chance = F.crc32(F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary"))
+    source = source.withColumn("bare", chance % bare == 0 if bare else F.lit(False))
     dealt = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    names = ["conv_id", "n_lines", "n_turns", "n_given", "roles", "agreed", "rendered_sha256"]
+    names = ["conv_id", "n_lines", "n_turns", "n_given", "roles", "agreed", "lines_agreed", "rendered_sha256"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -241,19 +297,19 @@ def reformat_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "tu
         for batch in batches:
             schema = schema or pa.schema([pa.field("conv_id", batch.schema.field("conv_id").type), *((n, pa.string() if n in ("roles", "rendered_sha256") else pa.int64()) for n in names[1:])])
             done = []
-            for c, r, t, s in zip(*(batch.column(n) for n in ("conv_id", "role", "text", "style")), strict=True):
+            for c, r, t, s, b in zip(*(batch.column(n) for n in ("conv_id", "role", "text", "style", "bare")), strict=True):
                 c = c.as_py()
                 if at is None or at.key != c:
                     if at is not None:
                         done.append(at.close())
                     at = _Conversation(c, m)
-                at.add(r.as_py(), t.as_py(), s.as_py())
+                at.add(r.as_py(), t.as_py(), None if b.as_py() else s.as_py())
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=schema)
         if at is not None:
             yield pa.RecordBatch.from_pylist([at.close()], schema=schema)
 
-    return dealt.mapInArrow(run, f"conv_id {kind}, n_lines bigint, n_turns bigint, n_given bigint, roles string, agreed bigint, rendered_sha256 string")
+    return dealt.mapInArrow(run, f"conv_id {kind}, n_lines bigint, n_turns bigint, n_given bigint, roles string, agreed bigint, lines_agreed bigint, rendered_sha256 string")
 
 
 class _Conversation:
@@ -265,15 +321,20 @@ class _Conversation:
         self.found: list[str] = []
         self.role: str | None = None
         self.body: list[str] = []
+        #: Given roles of lines that aren't decided yet.
+        self.pending: deque[str | None] = deque()
+        self.lines_agreed = 0
 
-    def add(self, role: str | None, text: str, style: int) -> None:
+    def add(self, role: str | None, text: str, style: int | None) -> None:
         self.given.append((role or " ")[0])
-        for line in (mark(role, style) + text).split("\n"):
+        for line in ((mark(role, style) if style is not None else "") + text).split("\n"):
             self.n_lines += 1
+            self.pending.append(role)
             for decided in self.decoder.push(line):
                 self._line(*decided)
 
     def _line(self, line: str, state: int) -> None:
+        self.lines_agreed += self.pending.popleft() == ROLES[state // 2]
         if state % 2 == 0:
             self._end()
             self.role = ROLES[state // 2]
@@ -293,5 +354,5 @@ class _Conversation:
         agreed = sum(a == b for a, b in zip(self.given, self.found, strict=False))
         return {
             "conv_id": self.key, "n_lines": self.n_lines, "n_turns": len(self.found), "n_given": len(self.given),
-            "roles": "".join(self.found), "agreed": agreed, "rendered_sha256": self.digest.hexdigest(),
+            "roles": "".join(self.found), "agreed": agreed, "lines_agreed": self.lines_agreed, "rendered_sha256": self.digest.hexdigest(),
         }

@@ -18,6 +18,9 @@ URL_RULES = [
     urlfilter.Rule("block", "net", "/fr/"),
 ]
 
+#: Of so many turns one has no marker in the transcripts of op6.
+BARE = 8
+
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digest(table(spark, sf_dir, "documents"))
@@ -71,7 +74,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.reformat_conversations(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations")
+    model = chat.fit(turns.filter(id_bucket("conv_id", 5) != 0), marked=1 - 1 / BARE)
+    return chat.reformat_conversations(turns, model=model, bare=BARE)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,31 @@ def test_transcripts_without_turns(spark):
     assert out == {1: 2, None: 1, 2: 2} and chat.reformat_conversations(conv.limit(0)).count() == 0
 
 
+def test_fitted_speakers_equal_plain_counts(spark):
+    rows = [(1, 0, "user", "why?\nuser: x"), (1, 1, "assistant", "- a\n- b\n"), (1, 2, "user", "ok"), (2, 0, "system", "be brief"), (2, 1, "user", "q: what?"), (None, 0, "user", "x"), (3, 0, None, "x"), (3, 1, "other", "y"), (1, 1, "assistant", None)]
+    m = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), marked=0.5)
+    assert m.follow[""] == pytest.approx((2 / 5, 2 / 5, 1 / 5)) and m.follow["user"] == pytest.approx((1 / 5, 1 / 5, 3 / 5)) and m.follow["system"] == pytest.approx((1 / 4, 2 / 4, 1 / 4))
+    assert m.stay == pytest.approx(4 / 11) and m.later_marker == pytest.approx(2 / 5 / 3) and m.false_marker == pytest.approx(0.5 * 2 / 8 / 2)
+    assert m.first_kinds["user"] == pytest.approx((3 / 8, 1 / 8, 1 / 8, 2 / 8, 1 / 8)) and m.kinds["assistant"] == pytest.approx((1 / 7, 2 / 7, 1 / 7, 1 / 7, 2 / 7))
+    empty = chat.fit(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert all(sum(w) == pytest.approx(1) for w in (*empty.follow.values(), *empty.kinds.values())) and chat.parse("User: hi\nBot: yo", empty) == [("user", "hi"), ("assistant", "yo")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="sample tables are not here")
+def test_fitted_speakers_tell_unmarked_turns_of_held_out_conversations(spark):
+    from ledgerline.llm.common import id_bucket
+
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    held_out = turns.filter(id_bucket("conv_id", 5) == 0)
+    share = {}
+    for name, model in (("fitted", chat.fit(turns.filter(id_bucket("conv_id", 5) != 0), marked=0.75)), ("given", chat.SpeakerModel(own_marker=0.75))):
+        r = chat.reformat_conversations(held_out, model=model, bare=4).agg({"lines_agreed": "sum", "n_lines": "sum"}).first()
+        share[name] = r["sum(lines_agreed)"] / r["sum(n_lines)"]
+    assert share["fitted"] > share["given"] and share["fitted"] > 0.8, share
+    whole = chat.reformat_conversations(held_out, model=chat.SpeakerModel()).filter("lines_agreed <> n_lines OR agreed <> n_given").count()
+    assert whole == 0
+
+
 @here
 def test_queries_have_their_columns(spark):
     q = entry.queries()
