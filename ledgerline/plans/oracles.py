@@ -236,7 +236,9 @@ ORACLES["diff_pct_change"] = f"""
 WITH m AS (SELECT last_day(day) AS month, {total('o_totalprice')} AS total FROM {ORD} GROUP BY 1),
 p AS (SELECT *, last_value(CASE WHEN month(month) <> 5 THEN total END IGNORE NULLS) OVER (ORDER BY month) AS level FROM m)
 SELECT month, round(total - lag(total) OVER (ORDER BY month), 4) AS diff, round((level - lag(level, 12) OVER (ORDER BY month)) / lag(level, 12) OVER (ORDER BY month) * 100, 6) AS pct_12 FROM p"""
-ORACLES["quarter_grid_days"] = f"SELECT q, {qe('q')} AS quarter_end FROM range(8000, 8100) t(q)"
+ORACLES["quarter_grid_days"] = f"""
+SELECT q, {qe('q')} AS quarter_end, coalesce(n, 0) AS n_orders
+FROM range(7964, 8000) t(q) LEFT JOIN (SELECT {qi('day')} AS q, count(*) AS n FROM {ORD} GROUP BY 1) o USING (q)"""
 ORACLES["span_expand"] = f"""
 WITH o AS (SELECT o_orderkey, {qi('day')} AS s, {qi('(day + CAST(o_orderkey % 900 AS INT))')} AS e FROM {ORD})
 SELECT o_orderkey, q, {qe('q')} AS quarter_end FROM o JOIN range(7972, 7992) t(q) ON q BETWEEN s AND e"""
