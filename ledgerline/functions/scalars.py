@@ -91,3 +91,9 @@ def same_keys(keys: list[str], suffix: str) -> Column:
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"{k}{suffix}"))
     return match
+
+
+def percent(share: str | Column, digits: int = 1) -> Column:
+    """A share as text, like 12.5%; null stays null."""
+    x = _c(share)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f%%", x * 100))

@@ -85,3 +85,44 @@ def extraction_status(parts: DataFrame, by: str) -> DataFrame:
     """success if all parts succeeded, failed if none, else partial."""
     ok = F.count_if(F.col("ok"))
     return parts.groupBy(by).agg(F.count(F.lit(1)).alias("n_parts"), ok.alias("n_ok"), F.when(ok == F.count(F.lit(1)), "success").when(ok == 0, "failed").otherwise("partial").alias("status"))
+
+
+def _offending(df: DataFrame, key: list[str], said: str) -> None:
+    """Raises with the number of rows of ``df`` and some keys, if there are any; one small job."""
+    some = df.select(*key).orderBy(*key).limit(5).collect()
+    if some:
+        raise ValueError(f"{said}: {df.count()} keys, among them {[tuple(r) for r in some]}")
+
+
+def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df``, if each non-null key stands once; else ValueError with some that don't."""
+    counted = df.dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("n__"))
+    _offending(counted.filter("n__ > 1"), key, f"{key} is not unique")
+    return df
+
+
+def require_unambiguous(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``df``, if no key has two different non-null values; else ValueError with some that have."""
+    counted = df.dropna(subset=[*key, value]).groupBy(*key).agg((F.min(value) != F.max(value)).alias("differ__"))
+    _offending(counted.filter("differ__"), key, f"{key} has several values of {value}")
+    return df
+
+
+def join_once(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Left join by ``key`` that can't add rows: ``right`` must have each key once (ValueError)."""
+    return left.join(require_unique(right, key), key, "left")
+
+
+def key_coverage(left: DataFrame, right: DataFrame, key: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, n_keys, n_covered, share) of the keys of ``left`` that ``right`` has; nulls aren't covered."""
+    mine = left.select(*by, *key).distinct()
+    theirs = right.select(*key).dropna().distinct().withColumn("there__", F.lit(True))
+    n, hit = F.count(F.lit(1)), F.count("there__")
+    return mine.join(theirs, key, "left").groupBy(*by).agg(n.alias("n_keys"), hit.alias("n_covered"), F.try_divide(hit, n).alias("share"))
+
+
+def require_coverage(left: DataFrame, right: DataFrame, key: list[str], least: float) -> None:
+    """ValueError if ``right`` has less than the share ``least`` of the keys of ``left``."""
+    row = key_coverage(left, right, key).first()
+    if row["n_keys"] and row["share"] < least:
+        raise ValueError(f"{row['n_covered']} of {row['n_keys']} keys are covered, under {least:.1%}")

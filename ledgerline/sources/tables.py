@@ -139,3 +139,31 @@ def fetch_or_load(spark: SparkSession, path: str, fetch: Callable[[], DataFrame]
             return df
     with_retry(fetch).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def unique_columns(names: Iterable[str]) -> list[str]:
+    """Names in their order, each once whatever its case, as it stands first."""
+    first: dict[str, str] = {}
+    for n in names:
+        first.setdefault(n.lower(), n)
+    return list(first.values())
+
+
+def sql_literal(value: object) -> str:
+    """A value as a SQL literal for a predicate that a database evaluates; ids of digits stay numbers."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int | float):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def log_missing_years(df: DataFrame, year: str, first: int, last: int) -> list[int]:
+    """The years from ``first`` to ``last`` without a row, logged; at most one number a year reaches the driver."""
+    have = {r[0] for r in df.filter(F.col(year).between(first, last)).select(year).distinct().collect()}
+    missing = [y for y in range(first, last + 1) if y not in have]
+    if missing:
+        log.warning("no rows of the years %s", missing)
+    return missing
