@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import same_keys
+
+#: Slices of scores from 0 to 1 whose sums are added up before those of single scores.
+SLICES = 4096
+
 
 def winsorize(df: DataFrame, columns: list[str], train: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip columns to quantiles of the training rows; nulls stay. All bounds are one scalar, of one scan."""
@@ -108,13 +113,19 @@ def signed_rank_test(leads: DataFrame, lead: str, by: list[str] = (), exact_up_t
 def score_metrics(df: DataFrame, label: str, score: str, by: list[str], floor: float = 1e-15) -> DataFrame:
     """n, positives, AUC (ties count half), PR-AUC (average precision), Brier score and log loss by group.
 
-    Rows without label or score don't count. Rows are summed by score before any window, so
-    the window sees one row a different score; a score of many digits should be rounded.
+    Rows without label or score don't count. Rows are summed by score first, and the running
+    sums are made in two levels, over ``SLICES`` slices of the score and within each: no window holds
+    all different scores of a group.
     """
     known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     cells = known.groupBy(*by, score).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score))
-    cells = cells.withColumns({"above_p": F.sum("p").over(down), "above_n": F.sum("n").over(down)})
+    cells = cells.withColumn("slice__", F.floor(F.col(score) * SLICES))
+    higher = Window.partitionBy(*by).orderBy(F.desc("slice__")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cells.groupBy(*by, "slice__").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    base = whole.select(*(F.col(b).alias(f"{b}__s") for b in by), F.col("slice__").alias("slice____s"), *(F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(f"base_{c}") for c in ("p", "n")))
+    down = Window.partitionBy(*by, "slice__").orderBy(F.desc(score))
+    own = cells.withColumns({f"own_{c}": F.sum(c).over(down) for c in ("p", "n")})
+    cells = own.join(base, same_keys([*by, "slice__"], "__s")).withColumns({f"above_{c}": F.col(f"own_{c}") + F.col(f"base_{c}") for c in ("p", "n")})
     s, p, q = F.col(score), F.col("p"), F.col("n") - F.col("p")
     sure = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), s))
     out = cells.groupBy(*by).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import quarter_end
-from ..operators import analysts, classifiers, merton, modelling, regression
+from ..operators import analysts, classifiers, merton, modelling, quantiles, regression
 from .queries import QUERIES, _events, _orders, _signals, _t, _total
 
 NAMES: list[str] = []
@@ -73,6 +73,16 @@ def merton_firm_months(spark, sf_dir):
     return merton.merton_quarters(merton.merton_months(daily, "firm", "day", least=20), "firm")
 
 
+@query
+def column_quantiles(spark, sf_dir):
+    """Quantiles of the lines' prices and quantities, and the rows of both tails that clipping at them would change."""
+    li = _t(spark, sf_dir, "lineitem")
+    found = quantiles.exact_quantiles(li, ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.99])
+    tails = li.agg(*(F.count_if((F.col(c) < q[0]) | (F.col(c) > q[2])).alias(c) for c, q in found.items())).first()
+    rows = [(c, *(round(x, 6) for x in q), tails[c]) for c, q in found.items()]
+    return spark.createDataFrame(rows, "column_name string, q01 double, q50 double, q99 double, n_tails bigint")
+
+
 _OUTCOMES = """
   SELECT s.user_id, s.q, s.top, s.n, CASE WHEN e.user_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, s.q >= 15 AS late
   FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS q, max(floor(value))::DOUBLE AS top, count(*)::DOUBLE AS n FROM events GROUP BY ALL) s
@@ -165,4 +175,8 @@ SELECT firm, quarter_end, c.statpers AS statpers, c.fpedats AS fpedats, c.meanes
 FROM fresh
 """
 
-ORACLES: dict[str, str] = {"panel_regression": _PANEL, "walk_forward_classifier": _FOLDS, "analyst_panel": _ANALYSTS}
+_QUANTILES = " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, round(q[1], 6) AS q01, round(q[2], 6) AS q50, round(q[3], 6) AS q99, (SELECT count(*) FROM lineitem WHERE {c} < q[1] OR {c} > q[3]) AS n_tails
+FROM (SELECT quantile_cont({c}, [0.01, 0.5, 0.99]) AS q FROM lineitem)""" for c in ("l_extendedprice", "l_quantity"))
+
+ORACLES: dict[str, str] = {"column_quantiles": _QUANTILES, "panel_regression": _PANEL, "walk_forward_classifier": _FOLDS, "analyst_panel": _ANALYSTS}
