@@ -228,8 +228,8 @@ def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         both = materialize(done.unionByName(found), "linesettled")
         drop_materialized(found, *([done] if k else []))
         done = both
+        tidy(spark)
     drop_materialized(rows, words)
-    tidy(spark)
     return done
 
 
