@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,8 @@ RESOLVE_MARGIN = 0.05
 FUZZY_LEAST = 0.92
 FUZZY_CORE = 6
 FUZZY_BLOCK = 4
+#: Firms' names of up to so many letters meet by what is left of them when letters go, longer ones by pieces.
+FUZZY_SHORT = 20
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -60,21 +64,122 @@ def _layer(state: DataFrame, firms: DataFrame, key: str, match: str, note: bool
     )
 
 
+def _least_common(a: int, b: int) -> int:
+    """The fewest characters in matching blocks with which names of these lengths are similar enough."""
+    m = int(FUZZY_LEAST * (a + b) / 2)
+    while m and 2.0 * (m - 1) / (a + b) >= FUZZY_LEAST:
+        m -= 1
+    while 2.0 * m / (a + b) < FUZZY_LEAST:
+        m += 1
+    return m
+
+
+def _partners(n: int) -> list[int]:
+    """Lengths of names that can be similar enough to one of ``n`` characters."""
+    return [k for k in range(max(FUZZY_CORE, n // 2), 2 * n) if _least_common(n, k) <= min(n, k)]
+
+
+def _without(name: str, keep: int) -> set[str]:
+    """All that is left of a name when some of its letters go, none of the block's."""
+    return {name[:FUZZY_BLOCK] + "".join(c) for c in combinations(name[FUZZY_BLOCK:], keep - FUZZY_BLOCK)} if keep >= FUZZY_BLOCK else {""}
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """(from, to) of the pieces of a name of ``n`` characters behind its block: one more than the letters in which a similar name differs."""
+    most = max(n + k - 2 * _least_common(n, k) for k in _partners(n))
+    edges = [FUZZY_BLOCK + (n - FUZZY_BLOCK) * i // (most + 1) for i in range(most + 2)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def firm_keys(name: str) -> set[str]:
+    """Keys of a firm's name; see :func:`_pairs`."""
+    n = len(name)
+    if n <= FUZZY_SHORT:
+        return set().union(*(_without(name, m) for m in {_least_common(n, k) for k in _partners(n)}))
+    return {f"{name[:FUZZY_BLOCK]}|{n}|{i}|{name[a:b]}" for i, (a, b) in enumerate(_cuts(n))}
+
+
+def borrower_keys(name: str) -> set[str]:
+    """Keys of a borrower's name; see :func:`_pairs`."""
+    n = len(name)
+    short = {_least_common(n, k) for k in _partners(n) if k <= FUZZY_SHORT}
+    keys = set().union(*(_without(name, m) for m in short))
+    for k in _partners(n):
+        if k > FUZZY_SHORT:
+            m = _least_common(n, k)
+            keys.update(f"{name[:FUZZY_BLOCK]}|{k}|{i}|{name[a + d:b + d]}" for i, (a, b) in enumerate(_cuts(k)) for d in range(m - k, n - m + 1) if a + d >= FUZZY_BLOCK and b + d <= n)
+    return keys
+
+
+def _shorter(name: str) -> set[str]:
+    return _without(name, len(name) - 1)
+
+
+def _keyed(df: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataFrame:
+    """(name, key__), some 100,000 rows at a time."""
+
+    def emit(batches):
+        for pdf in batches:
+            names, found = [], []
+            for x in pdf[name]:
+                mine = keys(x)
+                names += [x] * len(mine)
+                found += mine
+                if len(found) >= 100_000:
+                    yield pd.DataFrame({name: names, "key__": found})
+                    names, found = [], []
+            yield pd.DataFrame({name: names, "key__": found})
+
+    return df.select(name).mapInPandas(emit, f"`{name}` string, key__ string")
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Different (name_core, other__) among which is each pair that is similar enough.
+
+    The letters in matching blocks are a common subsequence, and equal first letters can always be
+    part of the longest one. So of two names of lengths a and b both hold the same sequence of
+    ``_least_common(a, b)`` letters: short firms' names meet by all such sequences. With a long name these
+    are many; but it differs in so few places that one of its pieces stands whole in the other
+    name, shifted by at most the letters that go or come.
+    """
+    near = F.udf(lambda n: _partners(n), "array<int>")
+    block = F.substring("name_core", 1, FUZZY_BLOCK)
+    sizes = left.groupBy(block.alias("block__"), F.length("name_core").alias("n__")).agg(F.count(F.lit(1)).alias("c__"))
+    wanted = sizes.select("block__", F.explode(near("n__")).alias("size__")).distinct()
+    there = right.withColumns({"block__": F.substring("other__", 1, FUZZY_BLOCK), "size__": F.length("other__")}).join(wanted, ["block__", "size__"], "left_semi")
+    return _keyed(left, "name_core", borrower_keys).join(_keyed(there, "other__", firm_keys), "key__").select("name_core", "other__").distinct()
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """(name_core, best__): the score and name of the most similar other name that is similar enough."""
+    scored = pairs.withColumn("s__", similarity("other__", "name_core")).filter(F.col("s__") >= FUZZY_LEAST)
+    return scored.groupBy("name_core").agg(F.max("s__").alias("top__"), F.max_by("other__", F.struct("s__", "other__")).alias("other__")).select("name_core", F.struct(F.col("top__").alias("s__"), "other__").alias("best__"))
+
+
+def closest_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name_core, close): the most similar of ``right``'s names (other__) of the same first letters, if similar enough.
+
+    Names that are equal or one letter apart are looked up first. A pair further apart scores n / (n + 1)
+    at most, n being the length of the name; so only names without a better one meet all others.
+    """
+    same = left.join(right, F.col("name_core") == F.col("other__")).select("name_core", "other__")
+    less = _keyed(left, "name_core", _shorter).join(right, F.col("key__") == F.col("other__")).select("name_core", "other__")
+    more = left.join(_keyed(right, "other__", _shorter), F.col("name_core") == F.col("key__")).select("name_core", "other__")
+    near = _best(same.unionByName(less).unionByName(more)).persist()
+    n = F.length("name_core")
+    sure = near.filter(F.col("best__.s__") > n / (n + 1))
+    rest = left.join(sure.select("name_core"), "name_core", "left_anti")
+    return sure.unionByName(_best(_pairs(rest, right))).select("name_core", F.col("best__.other__").alias("close"))
+
+
 def _close(state: DataFrame, firms: DataFrame) -> DataFrame:
     """``state`` plus ``close``: for open borrowers the most similar core name of the same first letters, if similar enough."""
-    block = F.substring("name_core", 1, FUZZY_BLOCK)
-    right = firms.filter(F.length("name_core") >= FUZZY_CORE).select(F.col("name_core").alias("other__"), block.alias("block__")).distinct()
-    left = state.withColumn("ask__", F.when(F.col("gvkey").isNull() & (F.length("name_core") >= FUZZY_CORE), block))
-    # Length and edit distance bound the ratio: what lies outside the matching blocks is at least
-    # as much as the edits. So most pairs of a block are never scored, and none that counts is lost.
-    sizes = F.length("name_core") + F.length("other__")
-    bound = 2 * F.least(F.length("name_core"), F.length("other__")) / sizes >= FUZZY_LEAST
-    edits = F.levenshtein("name_core", "other__") <= (1 - FUZZY_LEAST) * sizes + 1e-6
-    scored = left.join(right, (F.col("ask__") == F.col("block__")) & bound & edits, "left").withColumn("s__", similarity("other__", "name_core"))
-    near = F.when(F.col("s__") >= FUZZY_LEAST, F.struct("s__", "other__"))
-    best = F.max(near).over(Window.partitionBy("id"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("other__"))
-    return scored.withColumns({"best__": best, "place__": first}).filter("place__ = 1").select(*state.columns, F.col("best__.other__").alias("close"))
+    long = F.length("name_core") >= FUZZY_CORE
+    asked = F.when(F.col("gvkey").isNull() & long, F.col("name_core"))
+    left = state.select(asked.alias("name_core")).dropna().distinct().persist()
+    right = firms.filter(long).select(F.col("name_core").alias("other__")).distinct().persist()
+    found = closest_names(left, right).withColumnRenamed("name_core", "ask__")
+    return state.withColumn("ask__", asked).join(found, "ask__", "left").select(*state.columns, "close")
 
 
 def link_borrowers(borrowers: DataFrame, firms: DataFrame, fuzzy: bool = False, securities: DataFrame | None = None) -> DataFrame:
@@ -95,6 +200,7 @@ def link_borrowers(borrowers: DataFrame, firms: DataFrame, fuzzy: bool = False,
     state = _layer(state, known, "name_norm", "exact_name")
     state = _layer(state, known, "name_core", "core_name")
     if fuzzy:
+        state = state.persist()
         state = _layer(_close(state, known), known, "close", "fuzzy_name", note=False)
     return state.select("id", *_FOUND)
 

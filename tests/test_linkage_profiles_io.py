@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,26 @@ def test_stream_of_ratings(spark, tmp_path):
     q.awaitTermination()
     got = [(r.issue_id, r.worst, r.ended, r.n) for r in spark.read.parquet(out).collect()]
     assert (1, 12.0, True, 3) in got
+
+
+def test_similar_names_of_one_block_meet_without_all_pairs(spark):
+    draw = random.Random(3)
+    names, firms = set(), set()
+    for size in [6, 8, 11, 15, 19, 21, 26, 41] * 12:
+        name = "ACME" + "".join(draw.choice("012X") for _ in range(size - 4))
+        names.add(name)
+        for _ in range(3):
+            other = list(name)
+            for _ in range(draw.randint(0, 1 + size // 12)):
+                i = draw.randint(4, len(other) - 1)
+                other[i:i + draw.randint(0, 1)] = draw.choice(["", "0", "X", "7Y"])
+            firms.add("".join(other))
+    names, firms = ({x for x in n if len(x) >= 6} for n in (names, firms))
+    score = lambda x, y: (SequenceMatcher(None, y, x).ratio(), y)
+    want = {x: best[1] for x in names if (best := max(score(x, y) for y in firms))[0] >= linkage.FUZZY_LEAST}
+    left, right = (spark.createDataFrame([(x,) for x in sorted(n)], f"{c} string") for n, c in ((names, "name_core"), (firms, "other__")))
+    assert dict(linkage.closest_names(left, right).collect()) == want and 50 < len(want)
+    # Each name meets a few others, not its block, and every similar one is among them.
+    near = {(x, y) for x in names for y in firms if score(x, y)[0] >= linkage.FUZZY_LEAST}
+    met = {tuple(r) for r in linkage._pairs(left, right).collect()}
+    assert near <= met and len(met) < len(names) * len(firms) / 4
