@@ -68,48 +68,94 @@ def merton(df: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFra
     return df.mapInPandas(solve, f"{fields}, {extra}")
 
 
-def asset_values(equity: np.ndarray, debt: np.ndarray, rate: np.ndarray, vol: float, start: np.ndarray | None = None) -> np.ndarray:
+def asset_values(equity: np.ndarray, debt: np.ndarray, rate: np.ndarray, vol: float | np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """The asset values at which a call on the assets is worth the equity, a horizon of one year.
 
     Newton's steps: the call's value is convex and rising in the assets', so from the second
-    on they come from above and never overshoot.
+    on they come from above and never overshoot. ``vol`` is one number, or one for each value.
     """
     v = equity + debt if start is None else start.copy()
     due = debt * np.exp(-rate)
-    open_ = np.arange(len(v))
+    vol = np.broadcast_to(np.asarray(vol, float), v.shape)
+    open_, left = np.arange(len(v)), (v, due, equity, vol)
     for _ in range(100):
-        d1 = (np.log(v[open_] / due[open_]) + vol**2 / 2) / vol
+        vo, do, eo, so = left
+        d1 = (np.log(vo / do) + so**2 / 2) / so
         n1 = _cdf(d1)
-        step = (v[open_] * n1 - due[open_] * _cdf(d1 - vol) - equity[open_]) / np.maximum(n1, 1e-12)
-        v[open_] = np.maximum(v[open_] - step, equity[open_])
-        open_ = open_[np.abs(step) > 1e-10 * v[open_]]
-        if not len(open_):
+        step = (vo * n1 - do * _cdf(d1 - so) - eo) / np.maximum(n1, 1e-12)
+        vo = np.maximum(vo - step, eo)
+        v[open_] = vo
+        more = np.abs(step) > 1e-10 * vo
+        if not more.any():
             break
+        open_, left = open_[more], (vo[more], do[more], eo[more], so[more])
     return v
 
 
 def month_estimate(equity: np.ndarray, debt: np.ndarray, rate: np.ndarray, tolerance: float = 1e-5, rounds: int = 50) -> tuple:
-    """(asset_value, asset_vol, asset_return, distance, edf, rounds, converged) of one window of days.
+    """(asset_value, asset_vol, asset_return, distance, edf, rounds, converged) of one window of days; see :func:`month_estimates`."""
+    found = month_estimates(equity, debt, rate, np.array([0]), np.array([len(equity)]), tolerance, rounds)
+    return tuple(None if isinstance(x := c[0].item(), float) and math.isnan(x) else x for c in found)
+
+
+def month_estimates(equity: np.ndarray, debt: np.ndarray, rate: np.ndarray, low: np.ndarray, high: np.ndarray, tolerance: float = 1e-5, rounds: int = 50) -> tuple[np.ndarray, ...]:
+    """(asset_value, asset_vol, asset_return, distance, edf, rounds, converged), each an array over windows of days low <= i < high.
 
     The asset volatility starts from the equity's; with it the days' asset values are solved, their
-    log returns give a new volatility, until it changes by no more than ``tolerance``.
+    log returns give a new volatility, until it changes by no more than ``tolerance``. Windows are
+    solved side by side, but each by itself. What can't be estimated is NaN.
     """
-    moves = np.diff(np.log(equity))
-    start = moves.std(ddof=1) * math.sqrt(YEAR)
-    vol, v, k, settled = start * equity[-1] / (equity[-1] + debt[-1]), None, 0, False
-    if not vol > 0:
-        return (None,) * 5 + (0, False)
-    while k < rounds and not settled:
-        v = asset_values(equity, debt, rate, vol, v)
-        grown = np.diff(np.log(v))
-        new = grown.std(ddof=1) * math.sqrt(YEAR)
-        settled, vol, k = abs(new - vol) <= tolerance, new, k + 1
-        if not vol > 0:
-            return (None,) * 5 + (k, False)
-    v = asset_values(equity, debt, rate, vol, v)
-    drift = float(np.diff(np.log(v)).mean() * YEAR)
-    distance = float((math.log(v[-1] / debt[-1]) + drift - vol**2 / 2) / vol)
-    return float(v[-1]), float(vol), drift, distance, 0.5 * math.erfc(distance / math.sqrt(2)), k, settled
+    n = len(low)
+    value, vol, drift, distance, edf = (np.full(n, np.nan) for _ in range(5))
+    k, settled = np.zeros(n, np.int64), np.zeros(n, bool)
+    if not n:
+        return value, vol, drift, distance, edf, k, settled
+
+    def deviation(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A year's deviation of the moves within each window, whose values stand one after another."""
+        at, m = np.cumsum(size) - size, size - 1
+        moves = np.diff(np.log(x), append=0.0)
+        moves[at + m] = 0.0
+        away = moves - np.repeat(np.add.reduceat(moves, at) / m, size)
+        away[at + m] = 0.0
+        return np.sqrt(np.add.reduceat(away * away, at) / (m - 1)) * math.sqrt(YEAR)
+
+    def flat(which: np.ndarray) -> tuple:
+        """Places in the days, and numbers of days, of some windows."""
+        size = high[which] - low[which]
+        return np.arange(size.sum()) + np.repeat(low[which] - (np.cumsum(size) - size), size), size
+
+    open_ = np.arange(n)
+    at, size = flat(open_)
+    last = high - 1
+    vol = deviation(equity[at], size) * equity[last] / (equity[last] + debt[last])
+    open_ = np.flatnonzero(vol > 0)
+    at, size = flat(open_)
+    e, d, r, v = equity[at], debt[at], rate[at], None
+    done, solved = open_[:0], np.empty(0)
+    while len(open_):
+        v = asset_values(e, d, r, np.repeat(vol[open_], size), v)
+        new = deviation(v, size)
+        near = np.abs(new - vol[open_]) <= tolerance
+        vol[open_], k[open_] = new, k[open_] + 1
+        good = new > 0
+        settled[open_] = near & good
+        stop = near | ~good | (k[open_] >= rounds)
+        if stop.any():
+            done, solved = np.concatenate([done, open_[stop & good]]), np.concatenate([solved, v[np.repeat(stop & good, size)]])
+            keep = np.repeat(~stop, size)
+            open_, size, e, d, r, v = open_[~stop], size[~stop], e[keep], d[keep], r[keep], v[keep]
+    if len(done):
+        at, size = flat(done)
+        v = asset_values(equity[at], debt[at], rate[at], np.repeat(vol[done], size), solved)
+        end = np.cumsum(size) - 1
+        s = vol[done]
+        value[done] = v[end]
+        drift[done] = np.log(v[end] / v[end - size + 1]) / (size - 1) * YEAR
+        distance[done] = (np.log(v[end] / debt[last[done]]) + drift[done] - s**2 / 2) / s
+        edf[done] = [0.5 * math.erfc(x / math.sqrt(2)) for x in distance[done]]
+    vol[np.isnan(value)] = np.nan
+    return value, vol, drift, distance, edf, k, settled
 
 
 def merton_months(daily: DataFrame, firm: str, day: str, months: int = 12, least: int = 60) -> DataFrame:
@@ -128,17 +174,25 @@ def merton_months(daily: DataFrame, firm: str, day: str, months: int = 12, least
     fields = f"`{firm}` {kind}, month_end date, n_days bigint, asset_value double, asset_vol double, asset_return double, distance double, edf double, rounds int, converged boolean"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day__")
-        when = pd.DatetimeIndex(pd.to_datetime(pdf["day__"]))
-        period = when.year * 12 + when.month
-        e, d, r = (pdf[c].to_numpy(float) for c in ("equity", "debt", "rate"))
-        rows = []
-        for m in np.unique(period):
-            window = np.flatnonzero((period <= m) & (period > m - months))
-            found = month_estimate(e[window], d[window], r[window]) if len(window) >= max(3, least) else (None,) * 7
-            last = pd.Timestamp((m - 1) // 12, (m - 1) % 12 + 1, 1) + pd.offsets.MonthEnd(0)
-            rows.append((key[0], last.date(), len(window), *found))
-        return pd.DataFrame(rows, columns=[firm, "month_end", "n_days", "asset_value", "asset_vol", "asset_return", "distance", "edf", "rounds", "converged"]).astype({"rounds": "Int32", "converged": "boolean"})
+        when = pd.to_datetime(pdf["day__"]).to_numpy().astype("datetime64[M]").astype(np.int64)
+        place = np.argsort(pd.to_datetime(pdf["day__"]).to_numpy(), kind="stable")
+        period = when[place]
+        e, d, r = (pdf[c].to_numpy(float)[place] for c in ("equity", "debt", "rate"))
+        each = np.unique(period)
+        low, high = np.searchsorted(period, each - months, "right"), np.searchsorted(period, each, "right")
+        long = high - low >= max(3, least)
+        found = month_estimates(e, d, r, low[long], high[long])
+        out = {firm: [key[0]] * len(each), "month_end": ((each + 1).astype("datetime64[M]").astype("datetime64[D]") - 1).astype(object), "n_days": high - low}
+        for name, x in zip(("asset_value", "asset_vol", "asset_return", "distance", "edf"), found[:5], strict=True):
+            whole = np.full(len(each), np.nan)
+            whole[long] = x
+            out[name] = pd.array(whole, dtype="Float64")
+            out[name][np.isnan(whole)] = pd.NA
+        for name, x, kind in zip(("rounds", "converged"), found[5:], ("Int32", "boolean"), strict=True):
+            whole = pd.array([None] * len(each), dtype=kind)
+            whole[long] = x
+            out[name] = whole
+        return pd.DataFrame(out)
 
     # Few bytes and much work a firm: a fixed number of partitions, which isn't coalesced by size.
     tasks = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -155,3 +155,20 @@ def test_single_rows_do_not_depend_on_their_batch(spark):
     for k in (0, 13, 59, 98, 99):
         assert tuple(merton.merton(spark.createDataFrame([next(r for r in rows if r[0] == k)], schema)).first()) == together[k]
     assert together[98][5:] == (None,) * 3
+
+
+def test_windows_side_by_side_are_solved_as_each_alone():
+    draw = np.random.default_rng(4)
+    e, d, r = 4e5 + draw.exponential(6e4, 400), 1.5e5 + draw.integers(1, 13, 400) * 5e3, np.full(400, 0.03)
+    e[300:] = 5e5  # no moves at all: nothing to estimate
+    low, high = np.array([0, 5, 60, 310, 100]), np.array([60, 90, 200, 390, 103])
+    found = merton.month_estimates(e, d, r, low, high)
+    for i, (a, b) in enumerate(zip(low, high, strict=True)):
+        alone = merton.month_estimate(e[a:b], d[a:b], r[a:b])
+        assert (alone[0] is None) == (i == 3) == bool(np.isnan(found[0][i]))
+        for x, y in zip(alone, (c[i] for c in found), strict=True):
+            assert x is None and np.isnan(y) or x == pytest.approx(y, rel=1e-9)
+    # The call on the assets is worth the equity on the window's last day.
+    v, s, due = found[0][2], found[1][2], d[199] * np.exp(-0.03)
+    d1 = (np.log(v / due) + s * s / 2) / s
+    assert v * merton._cdf(np.array([d1]))[0] - due * merton._cdf(np.array([d1 - s]))[0] == pytest.approx(e[199], rel=1e-8)
