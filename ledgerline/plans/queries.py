@@ -840,11 +840,15 @@ def describe_columns(spark, sf_dir):
 
 @query
 def tranche_panel(spark, sf_dir):
-    """Loans: lines of an order, exploded over ship modes; one a tranche, the newest active one a firm and quarter."""
-    li = _t(spark, sf_dir, "lineitem").join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Loans: lines of an order; one a tranche, the newest active one a firm and quarter.
+
+    Lines repeat numbers within an order: of those the first as they stand in the files counts.
+    """
+    lines = _t(spark, sf_dir, "lineitem").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    li = lines.join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     start = F.col("l_shipdate").cast("date")
-    loans = li.select(F.col("l_orderkey").alias("tranche"), F.col("o_custkey").alias("gvkey"), start.alias("start"), F.date_add(start, 200).alias("maturity"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("amount"))
-    return accounting.active_tranches(loans, ["tranche"], ["line"], "start", "maturity", *GRID).select("gvkey", "q", "tranche", "start", "amount")
+    loans = li.select(F.col("l_orderkey").alias("tranche"), F.col("o_custkey").alias("gvkey"), start.alias("start"), F.date_add(start, 200).alias("maturity"), F.col("l_linenumber").alias("line"), "file", "row", F.col("l_quantity").alias("amount"))
+    return accounting.active_tranches(loans, ["tranche"], ["line", "file", "row"], "start", "maturity", *GRID).select("gvkey", "q", "tranche", "start", "amount")
 
 
 @query

@@ -1,5 +1,6 @@
 """Queries run over whole tables, which have more rows here than those of tests/test_entry.py."""
 
+import datetime as dt
 import os
 from difflib import SequenceMatcher
 
@@ -67,3 +68,17 @@ def test_all_people_and_firms(spark, duck):
 @pytest.mark.parametrize("name", ["time_align", "span_expand", "valid_window_join", "window_grace_join", "latest_valid_left", "range_overlap"])
 def test_all_orders_and_lines(spark, duck, name):
     assert same_rows(spark, duck, name)
+
+
+def test_lines_that_repeat_a_number_count_as_they_stand_in_the_files(spark, tmp_path):
+    columns = "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp"
+    folder = tmp_path / "lineitem.parquet"
+    # Spark reads the larger file first; the lines of the smaller one stand first.
+    for part, n in (("a", 40), ("b", 4000)):
+        rows = [(k, 1, float(len(part) + n + i), dt.datetime(1995, 1, 1 + 9 * i)) for k in range(n) for i in (1, 0)]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / part))
+        folder.mkdir(exist_ok=True)
+        next((tmp_path / part).glob("*.parquet")).rename(folder / f"{part}.parquet")
+    spark.createDataFrame([(k, k, dt.datetime(1995, 1, 1)) for k in range(4000)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.tranche, r.start.day, r.amount) for r in entry.queries()["tranche_panel"](spark, str(tmp_path)).collect()}
+    assert got == {(k, 10, 42.0 if k < 40 else 4002.0) for k in range(4000)}
