@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import expand_span, open_end, quarter_end_of, quarter_index
 from ..functions.scalars import in_set, lookup
 from .select import first_by, last_by, middle_by
-from .temporal import asof_backward, gap_lag, valid_join
+from .temporal import gap_lag, valid_join
 
 # Agencies, notations, and codes with a role of their own.
 AGENCY_NAMES = {"SPR": "sp", "MR": "moodys", "FR": "fitch"}
@@ -99,20 +99,23 @@ def issue_quarters(ratings: DataFrame, master: DataFrame, defaults: DataFrame, f
     """
     first_default = defaults.groupBy("issue_id").agg(F.min("default_date").alias("default_date"))
     ends = F.least(open_end("maturity"), open_end("default_date"))
-    lives = master.join(first_default, "issue_id", "left").withColumns({"start_q": quarter_index("offering_date"), "end_q": quarter_index(ends)})
-    rated = ratings.select("rating_type", "issue_id").distinct()
-    grid = expand_span(lives.select("issue_id", "start_q", "end_q").join(rated, "issue_id"), "start_q", "end_q", "q", first, last)
-    grid = grid.select("rating_type", "issue_id", "q", quarter_end_of("q").alias("quarter_end"))
-    known = ratings.select("rating_type", "issue_id", "rating_date", "ord", "is_terminator")
-    held = asof_backward(grid, known, ["rating_type", "issue_id"], "quarter_end", "rating_date")
-    return held.filter(F.col("rating_date").isNotNull() & ~F.coalesce("is_terminator", F.lit(True))).drop("rating_date", "is_terminator")
+    lives = master.join(first_default, "issue_id", "left").select("issue_id", quarter_index("offering_date").alias("start_q"), quarter_index(ends).alias("end_q")).dropna()
+    # A record holds from its own quarter to the one before the next record's, so quarters are made only after the sort.
+    after = F.lead("rating_date").over(Window.partitionBy("rating_type", "issue_id").orderBy("rating_date"))
+    held = ratings.filter(F.col("rating_date").isNotNull()).select(
+        "rating_type", "issue_id", "ord", "is_terminator", quarter_index("rating_date").alias("from__"), F.coalesce(quarter_index(after) - 1, F.lit(last)).alias("to__")
+    ).filter(~F.coalesce("is_terminator", F.lit(True)) & (F.col("from__") <= F.col("to__")))
+    spans = held.join(lives, "issue_id").withColumns({"from__": F.greatest("from__", "start_q"), "to__": F.least("to__", "end_q")})
+    return expand_span(spans, "from__", "to__", "q", first, last).select("rating_type", "issue_id", "q", quarter_end_of("q").alias("quarter_end"), "ord")
 
 
 def enrich(quarters: DataFrame, master: DataFrame, links: DataFrame) -> DataFrame:
     """Seniority, firm, and the issue's own rating one quarter earlier."""
-    rows = quarters.join(master.select("issue_id", "security_level", "offering_amt"), "issue_id").join(links.select("issue_id", "gvkey"), "issue_id")
-    known = rows.withColumn("rating_source", lookup(SOURCE_OF_LEVEL, "security_level")).filter(F.col("rating_source").isNotNull())
-    return known.withColumn("prev_ord", gap_lag("ord", ["rating_type", "issue_id"], "q"))
+    # Quarters are many to each byte that was shuffled: a fixed number of partitions, which isn't coalesced by size.
+    tasks = int(quarters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = quarters.repartition(tasks, "issue_id").withColumn("prev_ord", gap_lag("ord", ["rating_type", "issue_id"], "q"))
+    rows = own.join(master.select("issue_id", "security_level", "offering_amt"), "issue_id").join(links.select("issue_id", "gvkey"), "issue_id")
+    return rows.withColumn("rating_source", lookup(SOURCE_OF_LEVEL, "security_level")).filter(F.col("rating_source").isNotNull())
 
 
 def reference_ratings(d: DataFrame) -> DataFrame:

@@ -227,3 +227,13 @@ def test_issue_master_and_routes(spark):
     assert got == {1: ("g1", "both"), 3: ("g3", "b")}
     clash = spark.createDataFrame([("g9", "123456789")], "gvkey string, cusip string")
     assert ratings.link_issues(m, bonds, firms, clash).count() == 0
+
+
+def test_quarters_are_made_after_the_ratings_are_sorted(spark):
+    clean = spark.createDataFrame([(1, "SPR", D(1992, 2, 1), 5.0, False), (1, "SPR", D(1992, 3, 1), 6.0, False), (1, "SPR", D(1992, 8, 1), None, True), (1, "SPR", D(1993, 1, 1), 7.0, False)], "issue_id long, rating_type string, rating_date date, ord double, is_terminator boolean")
+    master = spark.createDataFrame([(1, D(1991, 5, 1), None)], "issue_id long, offering_date date, maturity date")
+    none = spark.createDataFrame([], "issue_id long, default_date date")
+    out = ratings.issue_quarters(clean, master, none, 1992 * 4, 1993 * 4 + 1)
+    assert sorted((r.q - 1992 * 4, r.ord) for r in out.collect()) == [(0, 6.0), (1, 6.0), (4, 7.0), (5, 7.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
