@@ -59,22 +59,34 @@ def standard_filings(df: DataFrame) -> DataFrame:
     return last_by(rows, ["gvkey", "datadate"], "rdq", "datafqtr", "datacqtr")
 
 
-def filing_metrics(df: DataFrame) -> DataFrame:
-    """One row: what each step of :func:`standard_filings` leaves, and what it drops.
+MARKS = ("standard__", "kept__", "full__", "sic__", "sich__", "undated__")
 
-    One scan and one exchange: rows are summed by their whole content, with a flag for each step,
-    then by firm and period, so neither repeated rows nor repeated keys need a job of their own.
+
+def step_rows(df: DataFrame) -> DataFrame:
+    """Different complete rows with their number (n__) and a flag for each step of :func:`filing_metrics`.
+
+    Only rows that pass all steps are told apart; of the others the flags are all that counts, so
+    they fall together before they are shuffled. The columns of the standard format are the same in all complete rows.
     """
-    have = set(df.columns)
     standard = F.coalesce(_standard(), F.lit(False))
     sic, sich = F.col("sic").try_cast("int"), F.col("sich").try_cast("int")
+    kept = standard & industry_kept(_industry())
     dated = F.col("gvkey").isNotNull() & F.col("datadate").isNotNull() & F.col("rdq").isNotNull()
     flags = df.withColumns({
-        "standard__": standard, "kept__": standard & industry_kept(_industry()), "full__": standard & industry_kept(_industry()) & dated,
-        "sic__": standard & sic.isNotNull(), "sich__": standard & sic.isNull() & sich.isNotNull(), "undated__": standard & industry_kept(_industry()) & F.col("rdq").isNull(),
+        "standard__": standard, "kept__": kept, "full__": kept & dated,
+        "sic__": standard & sic.isNotNull(), "sich__": standard & sic.isNull() & sich.isNotNull(), "undated__": kept & F.col("rdq").isNull(),
     })
-    marks = ["standard__", "kept__", "full__", "sic__", "sich__", "undated__"]
-    per_row = flags.groupBy(*sorted(have), *marks).agg(F.count(F.lit(1)).alias("n__"))
+    told = flags.select(*(F.when(F.col("full__"), F.col(c)).alias(c) for c in sorted(set(df.columns) - set(STANDARD_FORMAT))), *MARKS)
+    return told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("n__"))
+
+
+def filing_metrics(df: DataFrame) -> DataFrame:
+    """One row: what each step of :func:`standard_filings` leaves, and what it drops.
+
+    One scan: complete rows are summed by their whole content, with a flag for each step,
+    then by firm and period, so neither repeated rows nor repeated keys need a job of their own.
+    """
+    per_row, marks = step_rows(df), MARKS
     counts = [F.sum(F.when(F.col(m), F.col("n__")).otherwise(0)).alias(m) for m in marks]
     per_key = per_row.groupBy("gvkey", "datadate").agg(F.sum("n__").alias("n__"), F.sum(F.when(F.col("full__"), F.col("n__") - 1).otherwise(0)).alias("exact__"), *counts)
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")

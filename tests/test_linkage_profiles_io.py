@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators import linkage, merton, modelling, profiles
+from ledgerline.operators import accounting, linkage, merton, modelling, profiles
 from ledgerline.sources import sinks, tables
 from ledgerline.streaming import ratings as stream
 
@@ -176,3 +176,14 @@ def test_similar_names_of_one_block_meet_without_all_pairs(spark):
     near = {(x, y) for x in names for y in firms if score(x, y)[0] >= linkage.FUZZY_LEAST}
     met = {tuple(r) for r in linkage._pairs(left, right).collect()}
     assert near <= met and len(met) < len(names) * len(firms) / 4
+
+
+def test_filings_that_some_step_drops_are_not_told_apart(spark):
+    items = "indfmt datafmt popsrc consol sic sich gvkey datadate rdq atq".split()
+    row = lambda i, **k: tuple((dict(zip(items, ("INDL", "STD", "D", "C", "2000", None, "g", "d", "r", i), strict=True)) | k).values())
+    rows = [row(0), row(0), row(1)] + [row(i, indfmt="FS") for i in range(300)] + [row(i, rdq=None) for i in range(200)] + [row(i, sic="6100") for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'atq' else 'string'}" for c in items))
+    assert sorted(r.n__ for r in accounting.step_rows(df).collect()) == [1, 2, 100, 200, 300]
+    m = accounting.filing_metrics(df).first()
+    assert (m.raw_rows, m.after_standard_filters, m.after_sic_exclusions, m.after_required_dates) == (603, 303, 203, 3)
+    assert (m.missing_rdq_rows, m.exact_duplicate_rows, m.duplicate_gvkey_datadate_keys, m.duplicate_observations_dropped, m.sic_rows_from_sic) == (200, 1, 1, 2, 303)
