@@ -34,6 +34,8 @@ time; a line's row in the join holds 64 bytes a key, whatever its length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, StringType
@@ -53,12 +55,14 @@ LEAST = 3
 ROUNDS = 4
 #: Of these, rounds in which the first open line leads.
 FIRSTS = 2
+#: Keys shared by more lines than this make a family, which leaders settle before the join.
+FAMILY = 32
 #: Up to so many words, one parity word tells sets apart as well as two.
-SHORT = 32
+SHORT = 64
 #: Bits for each id in the table that tells which texts to read again, and most words of it.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 20
-#: Blanks other than the plain one, and line ends.
-_BLANKS = "[\\t\\x0B\\f\\r\\n]"
+#: Blanks of a line other than the plain one.
+_BLANKS = "[\\t\\x0B\\f\\r]"
 _KEY_BITS = 58
 
 
@@ -67,9 +71,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _split(text: str) -> Column:
-    """Words of a text, with empty ones where blanks adjoin; one plain blank splits fastest."""
-    return F.split(F.regexp_replace(F.lower(text), _BLANKS, " "), " ", -1)
+def _plain(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with texts in lower case and plain blanks only; one plain blank splits fastest."""
+    lower = F.lower(text)
+    return docs.withColumn(text, F.when(F.col(text).rlike(_BLANKS), F.regexp_replace(lower, _BLANKS, " ")).otherwise(lower))
+
+
+def _split(text: str | Column) -> Column:
+    """Words of a plain text, with empty ones where blanks adjoin."""
+    return F.split(text, " ", -1)
 
 
 def _shift_left(value: Column, by: Column | int) -> Column:
@@ -89,10 +99,10 @@ def _dense(sparse: DataFrame, size: int, value: Column) -> Column:
 
 
 def _word_levels(docs: DataFrame) -> Column:
-    """Rarity of the words of all texts by hash bucket: one array of fixed length."""
-    words = docs.select(F.explode(_split("text")).alias("word"))
+    """Rarity of the words of all plain texts by hash bucket, above the bits of a key: one array of fixed length."""
+    words = docs.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     seen = words.select(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("place"), F.lit(1).cast("bigint").alias("value"))
-    return _dense(seen, BUCKETS, F.least(F.floor(F.log2(F.sum("value") + 1)), F.lit(31)).cast("tinyint"))
+    return _dense(seen, BUCKETS, _shift_left(F.least(F.floor(F.log2(F.sum("value") + 1)), F.lit(31)).cast("bigint"), _KEY_BITS))
 
 
 def _id_filter(ids: DataFrame, n: int) -> tuple[Column, int]:
@@ -118,28 +128,31 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
 
     A key holds the word's level above 58 bits of its hash, so that keys sort by rarity.
     Two words of a line may share a key; both stay, which keeps the counts of shared keys
-    at least as high as those of shared words. The first digest is of the keys, the second
-    of whole hashes. The optimizer moves the scalar table of levels into the one expression
+    at least as high as those of shared words. The digests are of whole hashes. Short sets
+    have one parity word, and 0. The optimizer moves the scalar table of levels into the one expression
     that reads it, as long as what it stands beside reads ``hashes`` more than once; as a
     column the table would be copied for every line.
     """
-    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("bigint")
-    key = lambda h: _shift_left(level(h), _KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
+    docs = _plain(docs)
+    key = lambda h: F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
+    bit = lambda k: F.shiftright(k, 24).bitwiseAND(F.lit(63)).cast("int")
 
-    def odd(half: int) -> Column:
-        """Parity of the words of one half, by six bits of the key."""
-        mine = F.filter("keys", lambda k: k.bitwiseAND(F.lit(1 << 20)) == half << 20)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(_one(F.shiftright(k, 24))))
+    def parity(of: Callable[[Column], Column]) -> Column:
+        """Parity of the words by six bits of the key; ``of`` is 1 for those that count."""
+        return F.aggregate("keys", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(_shift_left(of(k), bit(k))))
 
     where = ["doc", "hash", "line_no"]
     hashes = F.array_distinct(F.transform(_split("line"), lambda w: F.xxhash64(w)))
-    lines = _lines(docs).select(*where, F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("hashes"))
-    folded = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h))
-    lines = lines.select(*where, "hashes", folded.alias("d2"), F.size("hashes").cast("bigint").alias("n"))
-    lines = lines.withColumn("levels", _word_levels(docs)).select(*where, "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
+    lines = _lines(docs).select(*where, F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("hashes"))
+    digests = [F.xxhash64("hashes").alias("d1"), F.xxhash64(F.lit(1), "hashes").alias("d2"), F.size("hashes").cast("bigint").alias("n")]
+    lines = lines.select(*where, "hashes", *digests).withColumn("levels", _word_levels(docs))
+    lines = lines.select(*where, "d1", "d2", "n", F.sort_array(F.transform("hashes", key)).alias("keys"))
     prefix = F.slice("keys", F.lit(1), F.least(F.col("n"), F.col("n") - _least_size(F.col("n"), percent) + 2).cast("int"))
     whole = F.when(F.col("n") >= _sizes(percent)[0], F.col("keys"))
-    return lines.select(*where, F.xxhash64("keys").alias("d1"), "d2", "n", prefix.alias("prefix"), whole.alias("whole"), odd(0).alias("q0"), odd(1).alias("q1"))
+    every = parity(lambda k: F.lit(1).cast("bigint"))
+    half = F.when(F.col("n") < SHORT, F.lit(0).cast("bigint")).otherwise(parity(lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(1).cast("bigint"))))
+    lines = lines.select(*where, "d1", "d2", "n", prefix.alias("prefix"), whole.alias("whole"), every.alias("every"), half.alias("q1"))
+    return lines.select(*where, "d1", "d2", "n", "prefix", "whole", F.col("every").bitwiseXOR(F.col("q1")).alias("q0"), "q1")
 
 
 def _sizes(percent: int) -> list[int]:
@@ -167,15 +180,9 @@ def _parted(classes: DataFrame, percent: int) -> DataFrame:
     sparse = dealt.groupBy("id", "level", "k", "p").agg(F.collect_set("part").alias("parts")).filter(F.size("parts") <= F.col("k"))
     empty = sparse.select("id", "level", F.explode(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.col("p") - 1), "parts")).alias("part"), F.lit(0).cast("bigint").alias("held"))
     keys = dealt.select("id", "level", "part", "held").unionByName(empty).select("id", F.xxhash64("level", "part", "held").alias("key"))
-    none = F.lit(0).cast("bigint")
-    own = long_.select("id", "ord", F.shiftleft("n", 32).alias("np"), *_folded(long_))
-    return keys.join(own, "id").select("key", "id", "ord", "np", "q0", "q1", none.alias("before"), none.alias("between"))
-
-
-def _folded(classes: DataFrame) -> tuple[Column, Column]:
-    """Parity words: for short sets one of all words, and 0."""
-    short = F.col("n") < SHORT
-    return F.when(short, F.col("q0").bitwiseXOR(F.col("q1"))).otherwise(F.col("q0")).alias("q0"), F.when(short, F.lit(0).cast("bigint")).otherwise(F.col("q1")).alias("q1")
+    marks = [c for c in classes.columns if c == "done"]
+    own = long_.select("id", "ord", F.shiftleft("n", 32).alias("np"), "q0", "q1", *marks)
+    return keys.join(own, "id").select("key", "id", "ord", "np", "q0", "q1", *marks)
 
 
 def _order(doc: str, kind: DataType) -> Column:
@@ -190,32 +197,42 @@ def _order(doc: str, kind: DataType) -> Column:
     return F.coalesce(value, F.lit(-(1 << 63)).cast("bigint"))
 
 
-def _families(classes: DataFrame) -> DataFrame:
-    """(key, id, at, np, q0, q1) of the classes that share a leader key with another one.
+def _families(classes: DataFrame) -> DataFrame | None:
+    """(key, id, at, np, q0, q1) of the classes whose leader key more than ``FAMILY`` share; None without such keys.
 
     Leader keys are the pairs among the three words of the prefix with the least hashes,
     so that near copies choose the same ones more often than not.
     """
     least = F.slice(F.sort_array(F.transform("prefix", lambda k: F.xxhash64(k))), 1, LEAST)
-    picked = classes.select("id", "at", F.shiftleft("n", 32).alias("np"), *_folded(classes), least.alias("w"))
     two = lambda i, j: F.xxhash64(F.get("w", F.lit(i)), F.get("w", F.lit(j)))
     keys = F.array(*[two(i, j) for j in range(LEAST) for i in range(j)])
-    rows = picked.select("id", "at", "np", "q0", "q1", F.explode(F.slice(keys, F.lit(1), F.expr("int(size(w) * (size(w) - 1) / 2)"))).alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    return rows.join(shared, "key")
+    some = F.slice(keys, F.lit(1), F.expr("int(size(w) * (size(w) - 1) / 2)"))
+    rows = lambda *more: classes.select(*more, least.alias("w")).select(*more, F.explode(some).alias("key"))
+    shared = materialize(rows().groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > FAMILY).select("key"), "linekeys")
+    n = shared.count()
+    found = materialize(_near(rows("id", "at", "n", "q0", "q1"), shared, n, "key").withColumn("np", F.shiftleft("n", 32)).drop("n"), "linefamilies") if n else None
+    drop_materialized(shared)
+    return found
 
 
-def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(id, ``earlier``) of the classes that a leader settles, in rounds.
+def _near(rows: DataFrame, few: DataFrame, n: int, *on: str) -> DataFrame:
+    """The rows whose ``on`` is among the ``n`` rows of ``few``; only what a bit table lets through is shuffled."""
+    return rows.filter(_may_hold(_id_filter(few.select(*on), n), list(on))).join(few, list(on))
+
+
+def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """(id, at, ``earlier``) of the classes that a leader settles, in rounds; None without large families.
 
     In the first rounds the open members of a key meet the first of them, in the others one
     drawn by hash from all members, settled ones included. Those that verify are settled.
     What is open after the last round is left to the join.
     """
     spark = classes.sparkSession
-    rows = materialize(_families(classes), "linefamilies")
+    rows = _families(classes)
+    if rows is None:
+        return None
     words = _words_of(rows.select("id", "at").distinct(), texts)
-    done = spark.createDataFrame([], words.select("id", F.col("at").alias("earlier")).schema)
+    done = spark.createDataFrame([], words.select("id", "at", F.col("at").alias("earlier")).schema)
     for k in range(ROUNDS):
         open_ = rows.join(done.select("id"), "id", "left_anti")
         among, order = (open_, F.struct("at")) if k < FIRSTS else (rows, F.struct(F.xxhash64("id", F.lit(k))))
@@ -234,25 +251,22 @@ def _settled(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _keyed(classes: DataFrame, percent: int) -> DataFrame:
-    """A row for each key of each class: (key, id, ord, np, q0, q1, before, between).
+    """A row for each key of each class: (key, id, ord, np, q0, q1), and ``done`` where the classes have it.
 
     ``np`` packs n, the place of the key's first word, and whether the key is of two words.
-    ``before`` is the word's key before the (first) word, ``between`` the one before the
-    second word unless that is the first; or 0. Sets in which one of them is the same too
-    share an earlier word, or an earlier second one, and meet there.
     """
+    marks = [c for c in classes.columns if c == "done"]
     frequent = lambda k: F.shiftright(k, _KEY_BITS) >= F.lit(FREQUENT.bit_length() - 1)
     shorter = (F.col("n") - _least_size(F.col("n"), percent) + 1).cast("int")
-    before = lambda i: F.coalesce(F.get("prefix", i - 1), F.lit(0).cast("bigint"))
-    spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i"), before(i).alias("before"), F.lit(0).cast("bigint").alias("between")))
+    spots = F.transform("prefix", lambda k, i: F.struct(k.alias("k"), _shift_left(i.cast("bigint"), 1).alias("i")))
     rare = F.filter(F.slice(spots, F.lit(1), shorter), lambda x: ~frequent(x["k"]))
     many = F.filter(spots, lambda x: frequent(x["k"]))
     after = lambda all_, x: F.filter(all_, lambda y: y["i"] > x["i"])
-    pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"), x["before"].alias("before"), F.when(y["i"] - x["i"] > 2, y["before"]).otherwise(F.lit(0).cast("bigint")).alias("between"))
+    pair = lambda x, y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), (x["i"] + 1).alias("i"))
     pairs = F.flatten(F.transform(many, lambda x: F.transform(after(many, x), lambda y: pair(x, y))))
     keys = F.when(F.size(many) < 2, rare).otherwise(F.concat(rare, pairs))
-    rows = classes.filter(F.col("n") < LONG).select("id", "ord", "n", *_folded(classes), F.explode(keys).alias("x"))
-    short = rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", F.col("x.before").alias("before"), F.col("x.between").alias("between"))
+    rows = classes.filter(F.col("n") < LONG).select("id", "ord", "n", "q0", "q1", *marks, F.explode(keys).alias("x"))
+    short = rows.select(F.col("x.k").alias("key"), "id", "ord", F.shiftleft("n", 32).bitwiseOR(F.col("x.i")).alias("np"), "q0", "q1", *marks)
     return short.unionByName(_parted(classes, percent))
 
 
@@ -282,19 +296,19 @@ def _words_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     near = near.filter(_may_hold(_id_filter(wanted.select(*where), n), where))
     words = F.array_distinct(F.array_remove(_split("line"), ""))
     # Rows that share id and text give equal lines; one of them is enough.
-    read = materialize(near.join(wanted, where).select("id", "at", words.alias("words")).dropDuplicates(["id"]), "linewords")
+    read = materialize(_plain(near.join(wanted, where), "line").select("id", "at", words.alias("words")).dropDuplicates(["id"]), "linewords")
     drop_materialized(wanted)
     return read
 
 
 def _similar(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, the similar ones: (id of the later, ``earlier``: the first place found)."""
+    """Of pairs (a, b) of classes, the similar ones: (id and place of the later, ``earlier``: the first place found)."""
     end = lambda x: words.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("words").alias(f"w{x}"))
     both = pairs.join(end("a"), "a").join(end("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = both.filter(common * 100 >= (F.size("wa") + F.size("wb") - common) * percent)
-    later = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"), F.least("at_a", "at_b").alias("earlier"))
-    return materialize(later.groupBy("id").agg(F.min("earlier").alias("earlier")), "linelinks")
+    later = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("earlier"))
+    return materialize(later.groupBy("id").agg(F.min("at").alias("at"), F.min("earlier").alias("earlier")), "linelinks")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1) -> DataFrame:
@@ -310,41 +324,46 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = 1)
     tidy(spark)
     lines = wide.filter(F.col("n") >= max(1, min_words))
     place = F.struct("doc", "line_no", "hash")
-    merged = lines.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "whole", "q0", "q1")])
-    classes = materialize(merged.withColumn("id", F.xxhash64("d1", "d2")), "lineclasses")
-    tidy(spark)
-    repeated = classes.filter("copies > 1").select("d1", "d2", F.col("at").alias("earlier"))
-    repeats = lines.select("doc", "hash", "line_no", "d1", "d2").join(repeated, ["d1", "d2"]).filter(place != F.col("earlier"))
+    parts = ["n", "prefix", "whole", "q0", "q1"]
+    # Sets that occur once are classes as they stand; only the others are gathered.
+    several = materialize(lines.groupBy("d1", "d2").agg(F.count("*").alias("copies")).filter("copies > 1").select("d1", "d2"), "linecopies")
+    again = _may_hold(_id_filter(several, several.count()), ["d1", "d2"])
+    merged = lines.filter(again).groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in parts])
+    merged = materialize(merged, "lineclasses")
+    repeated = merged.filter("copies > 1").select("d1", "d2", F.col("at").alias("earlier"))
+    repeats = lines.filter(again).select("doc", "hash", "line_no", "d1", "d2").join(repeated, ["d1", "d2"]).filter(place != F.col("earlier"))
     repeats = materialize(repeats.select("doc", "hash", "line_no", "earlier"), "linerepeats")
-    drop_materialized(wide)
+    tidy(spark)
+    classes = lines.filter(~again).select("d1", "d2", place.alias("at"), *parts).unionByName(merged.select("d1", "d2", "at", *parts))
 
     # Sets so small that one word more or less is too much are similar to equal sets only.
     joinable = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    joinable = joinable.select("id", "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), "n", "prefix", "whole", "q0", "q1")
+    joinable = joinable.select(F.xxhash64("d1", "d2").alias("id"), "at", _order("at.doc", docs.schema["doc"].dataType["of"].dataType).alias("ord"), *parts)
     settled = _settled(joinable, texts, percent)
-
-    maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
-    checked = materialize(joinable.filter(maybe).join(settled.select("id", F.lit(True).alias("done")), "id", "left"), "linesettled")
-    open_ = _keyed(joinable.filter(~maybe).unionByName(checked.filter("done IS NULL").drop("done")), percent)
-    closed = _keyed(checked.filter("done"), percent)
-    # Both joins read the same columns under the same filters, so that all uses of the open rows share one exchange.
-    not_after = (F.col("u.id") != F.col("v.id")) & (F.col("u.ord") <= F.col("v.ord"))
-    once = lambda c: (F.col(f"u.{c}") != F.col(f"v.{c}")) | (F.col(f"u.{c}") == 0)
-    fresh = once("before") & once("between")
-    meet = lambda u, v, which: u.alias("u").join(v.alias("v"), (F.col("u.key") == F.col("v.key")) & which & fresh & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
-    met = meet(open_, open_, not_after & ((F.col("u.ord") < F.col("v.ord")) | (F.col("u.id") < F.col("v.id")))).unionByName(meet(closed, open_, not_after))
+    open_or_not = joinable.drop("at").withColumn("done", F.lit(False))
+    if settled is not None:
+        maybe = _may_hold(_id_filter(settled.select("id"), settled.count()), ["id"])
+        checked = joinable.drop("at").filter(maybe).join(settled.select("id", F.lit(True).alias("settled")), "id", "left")
+        checked = materialize(checked.withColumn("done", F.col("settled").isNotNull()).drop("settled"), "linesettled")
+        open_or_not = open_or_not.filter(~maybe).unionByName(checked)
+
+    # The later of two lines is an open one. No condition is of one side alone, so that both share one exchange.
+    rows = _keyed(open_or_not, percent)
+    u, v = rows.alias("u"), rows.alias("v")
+    tied = (F.col("u.ord") == F.col("v.ord")) & ((F.col("u.id") < F.col("v.id")) | (F.col("u.done") & (F.col("u.id") != F.col("v.id"))))
+    not_after = ((F.col("u.ord") < F.col("v.ord")) | tied) & (~F.col("v.done") | (F.col("u.ord") > F.col("v.ord")))
+    met = u.join(v, (F.col("u.key") == F.col("v.key")) & not_after & _alike("u", "v", percent)).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
     ends = materialize(met.distinct(), "linepairs")
-    ids = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
-    words = _words_of(joinable.select("id", "at").join(ids, "id"), texts)
+    ids = materialize(ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct(), "lineends")
     tidy(spark)
-    found = _similar(ends, words, percent)
-    drop_materialized(ends, words)
-
-    # A settled line that was met again may turn out to be the later one; it has its partner already.
-    links = settled.unionByName(found.join(settled.select("id"), "id", "left_anti"))
-    near = links.join(classes.select("id", "at"), "id").select("at.*", "earlier").select("doc", "hash", "line_no", "earlier")
-    out = materialize(repeats.unionByName(near).distinct(), "linesgone")
-    drop_materialized(classes, repeats, settled, checked, found)
+    words = _words_of(_near(joinable.select("id", "at"), ids, ids.count(), "id"), texts)
+    near = _similar(ends, words, percent)
+    drop_materialized(ends, ids, words)
+    if settled is not None:
+        # A settled line that was met again may turn out to be the later one; it has its partner already.
+        near = settled.unionByName(near.join(settled.select("id"), "id", "left_anti"))
+    out = materialize(repeats.unionByName(near.select("at.*", "earlier").select("doc", "hash", "line_no", "earlier")).distinct(), "linesgone")
+    drop_materialized(wide, several, merged, repeats, *([settled, checked] if settled is not None else []))
     tidy(spark)
     return out
 

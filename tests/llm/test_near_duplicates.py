@@ -201,3 +201,26 @@ def test_materialize_and_names(spark):
     drop_materialized(df)
     with pytest.raises(Exception):
         df.count()
+
+
+@pytest.mark.parametrize("family", [1, 6, 32])
+def test_only_large_families_are_led(spark, monkeypatch, family):
+    """Key rows are narrow, small families go to the join unled, and all sizes give the same result."""
+    monkeypatch.setattr(linededup, "FAMILY", family)
+    r = random.Random(5)
+    rows = []
+    for size in (2, 3, 12):
+        base = [f"w{size}x{k}" for k in range(20)]
+        rows += [" ".join([*base, f"own{size}x{i}"]) for i in range(size)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in linededup.dedup_lines(df).collect()) == lines_left(rows)
+    plain = df.select(linededup.F.struct("doc_id").alias("doc"), linededup.F.xxhash64("text").alias("hash"), "text")
+    made = linededup._sketches(plain, 80).select(linededup.F.xxhash64("d1", "d2").alias("id"), linededup.F.struct("doc").alias("at"), linededup.F.lit(0).alias("ord"), "n", "prefix", "whole", "q0", "q1")
+    assert linededup._keyed(made, 80).columns == ["key", "id", "ord", "np", "q0", "q1"]
+    led = linededup._families(made)
+    assert (led is None) == (family == 32)
+    if led is not None:
+        assert led.groupBy("key").count().filter(linededup.F.col("count") <= family).isEmpty()
+        drop_materialized(led)
