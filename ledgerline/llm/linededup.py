@@ -16,7 +16,7 @@ goes itself doesn't matter, so the result doesn't depend on any order of work.
 4. Leaders: lines that share two words, of three chosen by hash from the longer prefix, meet
    the first of them; those that verify are settled. The others meet other leaders, for a
    fixed number of rounds. So families of near copies are settled at a cost in proportion
-   to them.
+   to them. Keys that at most ``FAMILY`` lines share need no leader; the join has few pairs there.
 5. Join: open lines meet each other, and the settled ones before them. Settled lines meet
    none, so no pair is made within a settled family.
 6. Length, positional and parity filters (bits in which parity sketches differ bound the
@@ -29,7 +29,7 @@ type with an order; null ids come first in it. Rows that share id and text are t
 alike: neither is later than the other. Other columns pass through, whatever their names;
 the columns of ``details`` may not be there already (ValueError). An empty table gives an
 empty table. Very long texts are split into lines and words inside the JVM, one row at a
-time; a line's row in the join holds 64 bytes a key, whatever its length.
+time; a line's row in the join holds 56 bytes a key, whatever its length.
 """
 
 from __future__ import annotations
