@@ -116,7 +116,7 @@ def _shorter(name: str) -> set[str]:
 
 
 def _keyed(df: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataFrame:
-    """(name, key__), some 100,000 rows at a time."""
+    """(name, key__), some 100,000 rows at a time; many a name, which Spark's estimate leaves out, so they are not broadcast."""
 
     def emit(batches):
         for pdf in batches:
@@ -128,9 +128,10 @@ def _keyed(df: DataFrame, name: str, keys: Callable[[str], set[str]]) -> DataFra
                 if len(found) >= 100_000:
                     yield pd.DataFrame({name: names, "key__": found})
                     names, found = [], []
-            yield pd.DataFrame({name: names, "key__": found})
+            if found:  # Spark can't turn a frame without rows and types into strings
+                yield pd.DataFrame({name: names, "key__": found})
 
-    return df.select(name).mapInPandas(emit, f"`{name}` string, key__ string")
+    return df.select(name).mapInPandas(emit, f"`{name}` string, key__ string").hint("merge")
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -152,8 +153,10 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _best(pairs: DataFrame) -> DataFrame:
     """(name_core, best__): the score and name of the most similar other name that is similar enough."""
-    scored = pairs.withColumn("s__", similarity("other__", "name_core")).filter(F.col("s__") >= FUZZY_LEAST)
-    return scored.groupBy("name_core").agg(F.max("s__").alias("top__"), F.max_by("other__", F.struct("s__", "other__")).alias("other__")).select("name_core", F.struct(F.col("top__").alias("s__"), "other__").alias("best__"))
+    # Filtered after the aggregate: a filter on the score itself would be copied through the join's equality to all keys.
+    scored = pairs.withColumn("s__", similarity("other__", "name_core"))
+    best = scored.groupBy("name_core").agg(F.max("s__").alias("top__"), F.max_by("other__", F.struct("s__", "other__")).alias("other__")).filter(F.col("top__") >= FUZZY_LEAST)
+    return best.select("name_core", F.struct(F.col("top__").alias("s__"), "other__").alias("best__"))
 
 
 def closest_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -192,6 +195,8 @@ def link_borrowers(borrowers: DataFrame, firms: DataFrame, fuzzy: bool = False,
     """
     people = with_name_keys(borrowers, "name").withColumn("ticker", F.upper(F.trim("ticker")))
     known = with_name_keys(firms, "name")
+    if fuzzy:
+        known = known.persist()  # five joins read it
     listed = known if securities is None else with_name_keys(securities, "name")
     listed = listed.withColumn("ticker", F.upper(F.trim("ticker")))
     none = {"gvkey": F.lit(None).cast(firms.schema["gvkey"].dataType), "match_type": F.lit("unmatched"), "name_similarity": F.lit(None).cast("double")}

@@ -187,3 +187,17 @@ def test_filings_that_some_step_drops_are_not_told_apart(spark):
     m = accounting.filing_metrics(df).first()
     assert (m.raw_rows, m.after_standard_filters, m.after_sic_exclusions, m.after_required_dates) == (603, 303, 203, 3)
     assert (m.missing_rdq_rows, m.exact_duplicate_rows, m.duplicate_gvkey_datadate_keys, m.duplicate_observations_dropped, m.sic_rows_from_sic) == (200, 1, 1, 2, 303)
+
+
+def test_keys_that_fill_their_frames_leave_no_empty_one(spark):
+    names = spark.createDataFrame([("many",), ("none",)], "name string").coalesce(1)
+    many = lambda x: {str(i) for i in range(100_000 if x == "many" else 0)}
+    assert [tuple(r) for r in linkage._keyed(names, "name", many).groupBy("name").count().collect()] == [("many", 100_000)]
+    assert linkage._keyed(names.filter("name = 'none'"), "name", many).count() == 0
+
+
+def test_names_are_scored_after_they_met_and_keys_are_not_broadcast(spark):
+    left, right = spark.createDataFrame([("ACME12",)], "name_core string"), spark.createDataFrame([("ACME13",)], "other__ string")
+    less = linkage._keyed(left, "name_core", linkage._shorter).join(right, F.col("key__") == F.col("other__")).select("name_core", "other__")
+    plan = linkage._best(less)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_ratio(") == 1 and "strategy=merge" in plan
